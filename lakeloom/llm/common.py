@@ -58,7 +58,7 @@ def release(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._scratch)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers' path even where it is not installed."""
     sc = df.sparkSession.sparkContext
     if not getattr(sc, "_lakeloom_shipped", False):

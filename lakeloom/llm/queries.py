@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import language_id, line_clean, packing, token_counts, token_records
+from lakeloom.llm import decontaminate, language_id, line_clean, packing, token_counts, token_records
 from lakeloom.llm.common import table
 
 
@@ -36,7 +36,13 @@ def op9_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ALL = (op1_token_counts, op4_language_id, op5_packing, op7_token_records, op9_line_clean)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_join("items", ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated", "spans")
+
+
+_ALL = (op1_token_counts, op4_language_id, op5_packing, op7_token_records, op9_line_clean, op10_decontaminate)
 
 ORACLES: dict[str, str] = {}
 
