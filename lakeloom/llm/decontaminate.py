@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +147,7 @@ class Phrases:
         for t in texts:
             w = words(t)
             counts.append(len(w))
-            parts.append(np.fromiter((number.get(x, 1) for x in w), np.int32, len(w)))
+            parts.append(np.fromiter(map(number.get, w, repeat(1)), np.int32, len(w)))
             parts.append(np.zeros(1, np.int32))
         n = np.array(counts, np.int64)
         out: list[tuple[int, list, list]] = [(c, [], []) for c in counts]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, language_id, line_clean, packing, token_counts, token_records
+from lakeloom.llm import decontaminate, language_id, line_clean, near_dedup, packing, token_counts, token_records
 from lakeloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.read_records(files, with_ids=False).drop("ids")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_clean.line_clean(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars", "n_navigation", "n_noise", "n_boilerplate", "n_punctuation",
@@ -42,7 +46,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated", "spans")
 
 
-_ALL = (op1_token_counts, op4_language_id, op5_packing, op7_token_records, op9_line_clean, op10_decontaminate)
+_ALL = (op1_token_counts, op4_language_id, op5_packing, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
 
 ORACLES: dict[str, str] = {}
 
