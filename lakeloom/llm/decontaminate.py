@@ -79,9 +79,7 @@ class FMIndex:
 
     def __init__(self, s: np.ndarray, top: int):
         n, ends = len(s), s == 0
-        texts = int(ends.sum())
-        # ends sort apart and before all words, so ties stop at the end of a text
-        sa, _ = suffix_array(np.where(ends, np.cumsum(ends) - 1, s + texts))
+        sa = suffix_array(s)
         self.n = n
         self.before = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=top + 1))]).astype(np.int64)
         self.tree = Wavelet(s[sa - 1], top)

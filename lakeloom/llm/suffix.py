@@ -5,32 +5,39 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the suffixes in order, rank of each position) of a sequence that ends in a unique symbol.
+def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Positions of the suffixes of texts, in order.
 
-    Symbols are non-negative; to sort many texts apart, end each with a symbol of its own.
+    s holds the texts one after another, each ended by number 0; other numbers are positive.
+    Ends count as different symbols, in the order of the texts and below all others, so no
+    comparison passes the end of a text. With ``depth`` suffixes are ordered by that many
+    symbols at least, and equal ones stand in any order.
     """
     n = len(s)
     if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     bits = max(1, int(s.max()).bit_length())
     h = max(1, min(n, 62 // bits))
     key = s.astype(np.int64)
+    ended = key == 0
     for j in range(1, h):
         key = key << bits
-        key[: n - j] |= s[j:]
+        # what follows an end does not matter
+        key[: n - j] |= np.where(ended[: n - j], 0, s[j:])
+        ended[: n - j] |= s[j:] == 0
+        ended[n - j :] = True
     sa = np.argsort(key, kind="stable")
     key = key[sa]
     first = np.ones(n, bool)
-    first[1:] = key[1:] != key[:-1]
+    # equal keys with an end inside differ by that end, and the stable sort has put them in its order
+    first[1:] = (key[1:] != key[:-1]) | ended[sa[1:]]
     at = np.arange(n)
-    head = np.maximum.accumulate(np.where(first, at, 0))
     rank = np.empty(n, np.int64)
-    rank[sa] = head
+    rank[sa] = np.maximum.accumulate(np.where(first, at, 0))
     tied = ~first
     tied[:-1] |= ~first[1:]
     idx = np.flatnonzero(tied)
-    while len(idx):
+    while len(idx) and (depth is None or h < depth):
         sub = sa[idx]
         key = (rank[sub] << 32) | rank[np.minimum(sub + h, n - 1)]
         order = np.argsort(key, kind="stable")
@@ -43,4 +50,4 @@ def suffix_array(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tied[:-1] |= ~first[1:]
         idx = idx[tied]
         h *= 2
-    return sa, rank
+    return sa
