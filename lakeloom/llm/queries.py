@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, language_id, line_clean, near_dedup, packing, token_counts, token_records
+from lakeloom.llm import decontaminate, language_id, line_clean, near_dedup, packing, repeats, token_counts, token_records
 from lakeloom.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))[0]
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.removal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", repeats.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_records.write_records(table(spark, sf_dir, "documents"), token_records.record_path(spark), token_records.default_vocabulary())
     return token_records.read_records(files, with_ids=False).drop("ids")
@@ -46,7 +51,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated", "spans")
 
 
-_ALL = (op1_token_counts, op4_language_id, op5_packing, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
+_ALL = (op1_token_counts, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
 
 ORACLES: dict[str, str] = {}
 
