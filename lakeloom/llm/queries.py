@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import decontaminate, language_id, line_clean, near_dedup, packing, repeats, token_counts, token_records
+from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, packing, repeats, token_counts, token_records, url_filter
 from lakeloom.llm.common import table
 
 
@@ -16,6 +16,17 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limit_table(token_counts.histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"))))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = f"{chat.END}{chat.START}assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.render(chat.fold_events(chat.messages_as_events(talks))))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.sample(docs))
@@ -51,7 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated", "spans")
 
 
-_ALL = (op1_token_counts, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
+_ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
 
 ORACLES: dict[str, str] = {}
 
