@@ -1,8 +1,65 @@
-"""The corpus pipeline; its stages follow once their operators exist."""
+"""The corpus pipeline: language, near duplicates, repeated strings, benchmark, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.llm import decontaminate, language_id, near_dedup, packing, repeats
+from lakeloom.llm.common import scratch, table
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; texts without a letter go."""
+    return language_id.with_known_language(docs, language_id.sample(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.one_of_each(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that occur elsewhere too; emptied documents go."""
+    return _counted(repeats.clean_texts(docs))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of the benchmark; emptied documents go."""
+    return _counted(decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets and batches of what is left."""
+    return packing.pack(docs)[0]
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_duplicates),
+    ("suffix_dedup", repeated_strings),
+    ("decontaminate", benchmark),
+    ("packing", pack),
+]
+
+#: Suffix and language stages have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

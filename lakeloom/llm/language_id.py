@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,26 @@ def parser(samples: Samples) -> Parser:
     return _PARSERS[key][1]
 
 
+def _tag(samples: Samples, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds lang_pred and score to batches with a text column, which is left out."""
+    p = parser(samples)
+    for b in batches:
+        texts = b["text"].to_pylist()
+        langs: list[str] = []
+        scores, at = [np.zeros(0)], 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and chars < 4_000_000:
+                chars += len(texts[end] or "")
+                end += 1
+            lang, score = p.predict(texts[at:end])
+            langs += lang
+            scores.append(score)
+            at = end
+        names = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], [*names, "lang_pred", "score"])
+
+
 def identify(docs: DataFrame, samples: Samples) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text.
 
@@ -196,22 +217,12 @@ def identify(docs: DataFrame, samples: Samples) -> DataFrame:
     text. Null texts, texts without a letter and any text where nothing was learned get
     ``und`` with score 0. Equal costs go to the first language by name. Only text is used.
     """
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return map_arrow(d, partial(_tag, samples), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(samples)
-        for b in batches:
-            texts = b["text"].to_pylist()
-            langs, scores, at = [], [], 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (chars < 4_000_000):
-                    chars += len(texts[end] or "")
-                    end += 1
-                lang, score = p.predict(texts[at:end])
-                langs += lang
-                scores.append(score)
-                at = end
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_arrow(d, run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+def with_known_language(docs: DataFrame, samples: Samples) -> DataFrame:
+    """The rows of docs, all columns as they were, whose text has a language; ``und`` goes."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("docs"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["docs"].dataType.simpleString()
+    return map_arrow(rows, partial(_tag, samples), f"docs {kind}, lang_pred string, score double").where(F.col("lang_pred") != UNKNOWN).select("docs.*")

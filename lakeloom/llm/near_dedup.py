@@ -245,3 +245,19 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     out = sig.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
+    """docs, same columns, with one document of each group of near duplicates: the smallest doc_id.
+
+    Rows that repeat a doc_id are one document, and one row of it stays. Rows without a
+    doc_id stay.
+    """
+    found = near_duplicates(docs, rules)
+    gone = found.where("not kept").select("doc_id").distinct()
+    twice = cut(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if twice.isEmpty():
+        return kept.select(docs.columns)
+    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

@@ -260,7 +260,7 @@ def _windows(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 _MERGED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _remove(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(size: int, as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         spans, kept = [], []
         for t, ranges in zip(b["text"].to_pylist(), b["ranges"].to_pylist()):
@@ -277,9 +277,11 @@ def _remove(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 at = z
             out.append(raw[at:])
             spans.append([{"start": a, "end": z} for a, z in merged])
-            kept.append(b"".join(out))
+            left = b"".join(out)
+            # a cut may leave some bytes of a character; as text those are dropped
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
         names = [c for c in b.schema.names if c not in ("text", "ranges")]
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(spans, _MERGED), pa.array(kept, pa.binary())], [*names, "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(spans, _MERGED), pa.array(kept, pa.string() if as_text else pa.binary())], [*names, "spans", "kept"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -338,7 +340,7 @@ def repeated_ranges(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -
     return out
 
 
-def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, as_text: bool = False) -> DataFrame:
     """docs and two more columns: ``_spans``, the byte runs removed, and ``_kept``, the bytes left.
 
     Every byte goes that lies in a string of ``size`` bytes which also starts anywhere else
@@ -351,7 +353,7 @@ def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -
     names = docs.columns
     rows = d.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("docs"), F.col("_text").alias("text"), F.col("_ranges").alias("ranges"))
     kind = rows.schema["docs"].dataType.simpleString()
-    out = map_arrow(rows, partial(_remove, size), f"docs {kind}, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out = map_arrow(rows, partial(_remove, size, as_text), f"docs {kind}, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
     return out.select("docs.*", F.col("spans").alias("_spans"), F.col("kept").alias("_kept"))
 
 
@@ -362,5 +364,15 @@ def removal(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -> DataFr
     return out.select("doc_id", F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))
 
 
+def clean_texts(docs: DataFrame, *, size: int = 200) -> DataFrame:
+    """docs, same columns, with the repeats cut from their texts; a document that loses everything goes.
+
+    A character of which a cut leaves some bytes only is dropped.
+    """
+    out = without_repeats(docs, size=size, as_text=True)
+    out = out.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.col("_kept")))
+    return out.where((F.size("_spans") == 0) | (F.length(F.trim("text")) > 0)).drop("_spans", "_kept")
+
+
 def removed_bytes(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
