@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +49,17 @@ def register_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = T
 
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+
+
+def ship(spark: SparkSession) -> None:
+    """Put this package on the Python workers' path, once per session, where it is not installed on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lakeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="lakeloom-")) / "lakeloom.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(to))
+    sc._lakeloom_shipped = True
