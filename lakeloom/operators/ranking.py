@@ -35,6 +35,28 @@ def global_rank(df: DataFrame, value: str, key: str, name: str = "rn") -> DataFr
     return d.withColumn("_own", own).join(F.broadcast(before), ["_v", "_k"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("bigint")).drop("_v", "_k", "_own", "_before")
 
 
+def long_ranks(df: DataFrame, features: list[str], key: str, keep: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """(f, rn, keep...) for each non-null value of the features: its place within feature number f; and rows per feature.
+
+    The same ranking as global_rank() for many columns at once: one pass for the
+    quantiles, one shuffle for the ranks.
+    """
+    at = [i / RANGES for i in range(1, RANGES)]
+    row = df.agg(F.percentile_approx(key, at, 10_000).alias("key"), *(x for i, c in enumerate(features) for x in (F.count(c).alias(f"n{i}"), F.percentile_approx(F.col(c).cast("double"), at, 10_000).alias(f"e{i}")))).first()
+    table = lambda edges, kind: F.array(*(F.lit(e).cast(kind) for e in sorted(set(edges or [])))).cast(f"array<{kind}>")
+    edges = F.element_at(F.array(*(table(row[f"e{i}"], "double") for i in range(len(features)))), F.col("f") + 1)
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(features))))
+    d = df.select(F.col(key).alias("_key"), *keep, cells.alias("c")).select("_key", *keep, "c.f", "c.v").where("v is not null")
+    tied = F.array_contains(edges, F.col("v"))
+    below = lambda es, x: F.size(F.filter(es, lambda e: e < x))
+    d = d.withColumn("_v", 2 * below(edges, F.col("v")) + tied.cast("int")).withColumn("_k", F.when(F.col("_v") % 2 == 1, below(table(row["key"], dict(df.dtypes)[key]), F.col("_key"))).otherwise(0))
+    sizes = d.groupBy("f", "_v", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("f", "_v", "_k", (F.sum("_n").over(Window.partitionBy("f").orderBy("_v", "_k")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("f", "_v", "_k").orderBy("v", "_key"))
+    d = d.withColumn("_own", own).join(F.broadcast(before), ["f", "_v", "_k"])
+    return d.select("f", (F.col("_before") + F.col("_own")).cast("bigint").alias("rn"), *keep), {c: row[f"n{i}"] for i, c in enumerate(features)}
+
+
 def quantile_bucket(rn: Column, n: Column, q: int | Column) -> Column:
     """Bucket 1..q of place rn among n, by the edges 1 + (j/q)(n-1) of a quantile cut over ranks."""
     if isinstance(q, int):

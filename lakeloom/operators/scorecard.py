@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.ranking import exact_medians, global_rank, quantile_bucket
+from lakeloom.operators.ranking import exact_medians, long_ranks, quantile_bucket
 
 NUMERIC = ["recency_days", "frequency", "monetary", "avg_amount", "qty_mean", "channels", "tenure_days"]
 
@@ -78,17 +78,27 @@ def corr_dropped(df: DataFrame, cols: list[str], limit: float = 0.9) -> DataFram
     return corr_long(df, cols).where(F.col("r") > limit).select(F.col("b").alias("feature")).distinct()
 
 
+def _buckets(df: DataFrame, features: list[str], target: str, key: str, bins: int) -> DataFrame:
+    """(f, bucket, n, event) for every feature, numbered in order."""
+    near = df.agg(*(F.approx_count_distinct(c).alias(c) for c in features)).first()
+    # only a column with few values can have fewer than the bins; those are counted exactly
+    few = [c for c in features if near[c] < 8 * bins]
+    exact = df.agg(*(F.countDistinct(c).alias(c) for c in few)).first() if few else {}
+    q = {c: max(1, min(bins, exact[c])) if c in few else bins for c in features}
+    ranked, n = long_ranks(df, features, key, [target])
+    of = lambda d, kind: F.element_at(F.array(*(F.lit(d[c]).cast(kind) for c in features)), F.col("f") + 1)
+    bucket = quantile_bucket(F.col("rn"), of(n, "bigint"), of(q, "int"))
+    return ranked.groupBy("f", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(target).cast("bigint").alias("event"))
+
+
 def bucket_counts(df: DataFrame, feature: str, target: str = "label", key: str = "customer_id", bins: int = 6) -> DataFrame:
     """(bucket, n, event) of equal-count buckets over ranks; ties rank by key. Fewer distinct values than bins give as many buckets."""
-    n, distinct = df.agg(F.count(feature), F.countDistinct(feature)).first()
-    q = min(distinct, bins)
-    ranked = global_rank(df.where(F.col(feature).isNotNull()).select(key, feature, target), feature, key)
-    return ranked.groupBy(quantile_bucket(F.col("rn"), F.lit(n), max(1, q)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(target).cast("bigint").alias("event"))
+    return _buckets(df, [feature], target, key, bins).drop("f")
 
 
-def woe_iv(counts: DataFrame) -> DataFrame:
+def woe_iv(counts: DataFrame, by: list[str] = ()) -> DataFrame:
     """counts with event_rate, non_event_rate, woe and iv, half an event added to each bucket. A handful of rows."""
-    every = Window.partitionBy()
+    every = Window.partitionBy(*by)
     k = F.count(F.lit(1)).over(every)
     non = F.col("n") - F.col("event")
     er = (F.col("event") + 0.5) / (F.sum("event").over(every) + 0.5 * k)
@@ -99,12 +109,10 @@ def woe_iv(counts: DataFrame) -> DataFrame:
 
 
 def information_value(df: DataFrame, features: list[str], target: str = "label", key: str = "customer_id", bins: int = 6) -> DataFrame:
-    """(feature, iv); a feature with one value has 0."""
-    out = None
-    for f in features:
-        one = woe_iv(bucket_counts(df, f, target, key, bins)).agg(F.when(F.count(F.lit(1)) > 1, F.sum("iv")).otherwise(0.0).alias("iv")).select(F.lit(f).alias("feature"), "iv")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(feature, iv), all features in one pass; a feature with one value, or none, has 0."""
+    iv = woe_iv(_buckets(df, features, target, key, bins), ["f"]).groupBy("f").agg(F.when(F.count(F.lit(1)) > 1, F.sum("iv")).otherwise(0.0).alias("iv"))
+    names = df.sparkSession.createDataFrame(list(enumerate(features)), "f int, feature string")
+    return names.join(iv, "f", "left").select("feature", F.coalesce("iv", F.lit(0.0)).alias("iv"))
 
 
 def category_iv(df: DataFrame, feature: str, target: str = "label") -> DataFrame:

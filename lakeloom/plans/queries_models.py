@@ -1 +1,57 @@
 """Queries: components, models and scores; rows only, since no SQL expresses a fit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakeloom.operators import models, prep, scorecard
+from lakeloom.plans.adapters import frame
+from lakeloom.plans.queries_scorecard import features
+from lakeloom.plans.registry import register
+
+
+def _split(spark, d):
+    f = prep.stratified_split(features(spark, d), "label", "customer_id")
+    train, test = f.where("split = 'train'"), f.where("split = 'test'")
+    return models.fit_preparation(train, scorecard.NUMERIC), train, test
+
+
+@register("pca_components")
+def _(spark, d):
+    prepared, train, _test = _split(spark, d)
+    return models.pca_variance(prepared.transform(train), max_components=3)
+
+
+@register("logistic_scores")
+def _(spark, d):
+    prepared, train, test = _split(spark, d)
+    m = models.fit_logistic(prepared.transform(train), "label")
+    return models.score(m, prepared.transform(test)).select("customer_id", "label", F.round("probability", 6).alias("probability"), "prediction")
+
+
+@register("boosted_scores")
+def _(spark, d):
+    prepared, train, test = _split(spark, d)
+    m = models.fit_boosted(prepared.transform(train), "label", trees=20)
+    return models.score(m, prepared.transform(test)).select("customer_id", "label", F.round("probability", 6).alias("probability"), "prediction")
+
+
+@register("regression_scores")
+def _(spark, d):
+    h = prep.house_price_chain(frame(spark, d, "housing"), "target", "id")
+    m = models.fit_regression(h, ["size", "price", "rooms"], "target", trees=20)
+    return m.transform(h).select("id", "target", F.round("prediction", 6).alias("prediction"))
+
+
+@register("regression_response")
+def _(spark, d):
+    h = prep.house_price_chain(frame(spark, d, "housing"), "target", "id")
+    m = models.fit_regression(h, ["size", "price", "rooms"], "target", trees=5)
+    return models.response(models.decode_requests(spark, '[{"size": 1.0, "price": 0.5, "rooms": 2.0}, {"size": -1, "price": 0, "rooms": 1}]', ["size", "price", "rooms"]), m)
+
+
+@register("synthetic_transactions")
+def _(spark, d):
+    from lakeloom.sources.readers import synthetic_transactions
+
+    return synthetic_transactions(spark, 8_000, 1_000, seed=42)
