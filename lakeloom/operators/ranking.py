@@ -58,12 +58,16 @@ def long_ranks(df: DataFrame, features: list[str], key: str, keep: list[str]) ->
 
 
 def quantile_bucket(rn: Column, n: Column, q: int | Column) -> Column:
-    """Bucket 1..q of place rn among n, by the edges 1 + (j/q)(n-1) of a quantile cut over ranks."""
+    """Bucket 1..q of place rn among n, by the edges 1 + (j/q)(n-1) of a quantile cut over ranks.
+
+    j/q is a step times j, made a percentage and back: the roundings of the usual library,
+    which decide on which side of an edge a whole rank falls.
+    """
     if isinstance(q, int):
         q = F.lit(q)
     step = F.lit(1.0) / q
     js = F.sequence(F.lit(1), F.greatest(q.cast("int") - 1, F.lit(1)))
-    edge = F.aggregate(js, F.lit(1), lambda a, j: a + ((j <= q - 1) & (rn > 1 + (j * step) * (n - 1))).cast("int"))
+    edge = F.aggregate(js, F.lit(1), lambda a, j: a + ((j <= q - 1) & (rn > 1 + (j * step) * 100.0 / 100.0 * (n - 1))).cast("int"))
     return edge
 
 

@@ -93,9 +93,9 @@ def _(spark, d):
 def _bucket_sql(feature: str) -> str:
     return f"""
     SELECT bucket, count(*) AS n, CAST(sum(label) AS BIGINT) AS event FROM (
-        SELECT label, CAST(1 + (CASE WHEN rn > 1 + (1 * (1.0::DOUBLE / q)) * (n - 1) AND 1 < q THEN 1 ELSE 0 END) + (CASE WHEN rn > 1 + (2 * (1.0::DOUBLE / q)) * (n - 1) AND 2 < q THEN 1 ELSE 0 END)
-             + (CASE WHEN rn > 1 + (3 * (1.0::DOUBLE / q)) * (n - 1) AND 3 < q THEN 1 ELSE 0 END) + (CASE WHEN rn > 1 + (4 * (1.0::DOUBLE / q)) * (n - 1) AND 4 < q THEN 1 ELSE 0 END)
-             + (CASE WHEN rn > 1 + (5 * (1.0::DOUBLE / q)) * (n - 1) AND 5 < q THEN 1 ELSE 0 END) AS INTEGER) AS bucket
+        SELECT label, CAST(1 + (CASE WHEN rn > 1 + (1 * (1.0::DOUBLE / q)) * 100 / 100 * (n - 1) AND 1 < q THEN 1 ELSE 0 END) + (CASE WHEN rn > 1 + (2 * (1.0::DOUBLE / q)) * 100 / 100 * (n - 1) AND 2 < q THEN 1 ELSE 0 END)
+             + (CASE WHEN rn > 1 + (3 * (1.0::DOUBLE / q)) * 100 / 100 * (n - 1) AND 3 < q THEN 1 ELSE 0 END) + (CASE WHEN rn > 1 + (4 * (1.0::DOUBLE / q)) * 100 / 100 * (n - 1) AND 4 < q THEN 1 ELSE 0 END)
+             + (CASE WHEN rn > 1 + (5 * (1.0::DOUBLE / q)) * 100 / 100 * (n - 1) AND 5 < q THEN 1 ELSE 0 END) AS INTEGER) AS bucket
         FROM (SELECT label, row_number() OVER (ORDER BY {feature}, customer_id) AS rn, count(*) OVER () AS n, (SELECT least(6, count(DISTINCT {feature})) FROM f) AS q FROM f WHERE {feature} IS NOT NULL)
     ) GROUP BY 1"""
 
