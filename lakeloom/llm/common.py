@@ -5,15 +5,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.session import ship
+
 #: Words between ASCII white space, as a Java and RE2 pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -67,15 +67,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers' path even where it is not installed."""
-    sc = df.sparkSession.sparkContext
-    if not getattr(sc, "_lakeloom_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="lakeloom-")) / "lakeloom.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f"{root.name}/{f.relative_to(root)}")
-        sc.addPyFile(str(to))
-        sc._lakeloom_shipped = True
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import cut, release
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether every node has one edge up, to a node that has none."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("up")))).alias("n")).select("n.*")
+    return ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("root")).where("ups > 1 or (ups = 1 and root = 0)").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable from each node of the edges (a, b).
 
-    Large-star and small-star rounds alternate until nothing moves, which takes about the
-    logarithm of the longest path. Neighbours are never gathered into lists: each step is
-    a minimum per node, combined before the shuffle, and a join. Edges with a null end or
-    from a node to itself connect nothing.
+    Large-star and small-star rounds alternate until only stars are left, which takes about
+    the logarithm of the longest path. Neighbours are never gathered into lists: each step
+    is a minimum per node, combined before the shuffle, and a join. Edges with a null end
+    or from a node to itself connect nothing.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = cut(e, "edges")
     for _ in range(max_rounds):
-        both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # larger neighbours move to the smallest of the neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        # smaller neighbours and the node itself move to the smallest
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = cut(small, "edges")
-        moved = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
+        if _settled(e):
+            break
+        # larger neighbours of b move to the smallest of its neighbourhood
+        both = e.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select("x.*")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("b"), F.least("u", "m").alias("m"))
+        large = e.join(low, "b").select("a", "m").where("a <> m")
+        # a node has few smaller neighbours; it and they move to the smallest of those
+        small = large.withColumn("low", F.min("m").over(Window.partitionBy("a")))
+        moved = small.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("m").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*")
+        new = cut(moved.where("a <> b").distinct(), "edges")
         release(e)
         e = new
-        if moved:
-            break
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
+    return cut(e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct()), "components")

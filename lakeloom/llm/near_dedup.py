@@ -234,13 +234,12 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     schema = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, " + ", ".join(f"{k} bigint" for k in keys)
     sig = cut(map_arrow(d, partial(_sign, r), schema), "signatures")
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in keys))
-    banded = cut(classes.select("node", F.explode(F.array(*keys)).alias("key")), "bands")
+    classes = cut(sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in keys)), "classes")
+    banded = classes.select("node", F.explode(F.array(*keys)).alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
     near = components(banded.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = _verified(docs, near, r)
     found = components(links)
-    classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"))
     classes = classes.join(found, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
