@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, packing, repeats, token_counts, token_records, url_filter
+from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, oracles, packing, repeats, token_counts, token_records, url_filter
 from lakeloom.llm.common import table
 
 
@@ -59,12 +59,12 @@ def op9_line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_join("items", ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated", "spans")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
 _ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat_format": oracles.OP3, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
