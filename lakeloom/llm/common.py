@@ -68,9 +68,20 @@ def free_shuffles(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers' path even where it is not installed."""
     ship(df.sparkSession)
+    # rows hold whole texts: the usual ten thousand a batch would take too much memory
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lakeloom.llm.common import map_arrow
+from lakeloom.llm.common import fresh, map_arrow
 
 UNKNOWN = "und"
 #: Texts are parsed in blocks of this many symbols, so that long texts parse as fast as many short ones; a phrase ends with its block.
@@ -190,8 +191,8 @@ def parser(samples: Samples) -> Parser:
     return _PARSERS[key][1]
 
 
-def _tag(samples: Samples, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds lang_pred and score to batches with a text column, which is left out."""
+def _tag(samples: Samples, keep_text: bool, names: tuple[str, str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds language and score, under the names given, to batches with a text column."""
     p = parser(samples)
     for b in batches:
         texts = b["text"].to_pylist()
@@ -206,8 +207,8 @@ def _tag(samples: Samples, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             langs += lang
             scores.append(score)
             at = end
-        names = [c for c in b.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], [*names, "lang_pred", "score"])
+        kept = [c for c in b.schema.names if keep_text or c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], [*kept, *names])
 
 
 def identify(docs: DataFrame, samples: Samples) -> DataFrame:
@@ -218,11 +219,11 @@ def identify(docs: DataFrame, samples: Samples) -> DataFrame:
     ``und`` with score 0. Equal costs go to the first language by name. Only text is used.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_arrow(d, partial(_tag, samples), "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return map_arrow(d, partial(_tag, samples, False, ("lang_pred", "score")), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def with_known_language(docs: DataFrame, samples: Samples) -> DataFrame:
     """The rows of docs, all columns as they were, whose text has a language; ``und`` goes."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("docs"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["docs"].dataType.simpleString()
-    return map_arrow(rows, partial(_tag, samples), f"docs {kind}, lang_pred string, score double").where(F.col("lang_pred") != UNKNOWN).select("docs.*")
+    lang, score = (fresh(docs, c) for c in ("lang_pred", "score"))
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType())])
+    return map_arrow(docs, partial(_tag, samples, True, (lang, score)), schema).where(F.col(lang) != UNKNOWN).drop(lang, score)

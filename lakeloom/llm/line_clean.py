@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import SPACE, text_or_empty
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_BLANKS = " \t\n\x0b\f\r"
-#: Fixed characters of the base count n_symbols.
-_SYMBOLS = "#*$%&|<>"
 #: Phrases of page furniture, lower case.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "cookie policy", "enable javascript", "javascript is disabled",
@@ -48,27 +45,27 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _chars(text: Column, drop: str) -> Column:
-    """Code points of the text outside a set."""
-    return F.length(F.translate(text, drop, ""))
-
-
-def _line(text: Column, r: LineRules) -> Column:
-    """(text, word characters, rule that it breaks or null) of one line."""
-    n = _count(text, _WORD)
+def _facts(text: Column, furniture: Column) -> Column:
+    """What the rules need of a line; each fact is worked out once, and the dear ones only where they can matter."""
+    separators = F.when(text.rlike(r"[|»›•>/\\-]"), _count(text, r"(?<![^\x20\x09-\x0D])[|»›•>/\\-]+(?![^\x20\x09-\x0D])")).otherwise(0)
+    noisy = F.when(text.rlike(r"[#*$%&|<>]|!!"), _count(text, r"(?:[#*$%&|<>]|!!)[.,;:]?(?![^\x20\x09-\x0D])")).otherwise(0)
     low = F.lower(text)
     boiler = F.lit(False)
     for p in BOILERPLATE:
         boiler = boiler | low.contains(p)
-    closed = text.rlike(r"[.!?:;,…。！？\"')\]”’»][\x20\x09-\x0D]*$")
-    why = (
-        F.when(_count(text, r"(?<![^\x20\x09-\x0D])[|»›•>/\\-]+(?![^\x20\x09-\x0D])") >= F.greatest(F.lit(1.0), n * r.separator_share), "navigation")
-        .when(_count(text, r"(?:[#*$%&|<>]|!!)[.,;:]?(?![^\x20\x09-\x0D])") >= F.greatest(F.lit(1.0), n * r.noisy_share), "noise")
-        .when(boiler & (n <= 40), "boilerplate")
-        .when((n <= r.short_words) & ~closed, "navigation")
+    return F.struct(text.alias("t"), _count(text, _WORD).alias("n"), separators.alias("separators"), noisy.alias("noisy"), (furniture & boiler).alias("boiler"))
+
+
+def _broken(x: Column, r: LineRules) -> Column:
+    """The rule that a line breaks, or null."""
+    n, text = x["n"], x["t"]
+    return (
+        F.when(x["separators"] >= F.greatest(F.lit(1.0), n * r.separator_share), "navigation")
+        .when(x["noisy"] >= F.greatest(F.lit(1.0), n * r.noisy_share), "noise")
+        .when(x["boiler"] & (n <= 40), "boilerplate")
+        .when((n <= r.short_words) & ~text.rlike(r"[.!?:;,…。！？\"')\]”’»][\x20\x09-\x0D]*$"), "navigation")
         .when((n >= r.unpunctuated_words) & ~text.rlike(r"[.!?…。！？]"), "punctuation")
-    )
-    return F.struct(text.alias("t"), n.alias("n"), _chars(text, _BLANKS).alias("c"), why.alias("why"))
+    )
 
 
 def line_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -85,39 +82,46 @@ def line_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     # words in document order; a text that starts with white space gives an empty first piece
     d = d.select("doc_id", "text", F.filter(F.split(text, SPACE), lambda w: w != "").alias("w"))
     n = F.size("w")
-    # the hash of each window of eight words
-    d = d.select(
-        "doc_id", "text", n.alias("n_words"),
-        F.when(n >= 8, F.transform(F.sequence(F.lit(0), F.greatest(n - 8, F.lit(0))), lambda i: F.xxhash64(F.slice("w", i + 1, F.lit(8)))))
-        .otherwise(F.array().cast("array<bigint>")).alias("h"),
-    )
+    # the hash of each window of eight words, from those of two and four
+    word_chars = F.length(F.array_join("w", "")).cast("bigint")
+    low = F.lower(text)
+    furniture = F.lit(False)
+    for p in BOILERPLATE:
+        furniture = furniture | low.contains(p)
+    d = d.select("doc_id", "text", n.alias("n_words"), word_chars.alias("word_chars"), furniture.alias("furniture"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    for k in (1, 2, 4):
+        d = d.withColumn("h", F.zip_with("h", F.slice("h", k + 1, F.size("h")), lambda a, b: F.xxhash64(a, b)))
+    d = d.withColumn("h", F.slice("h", 1, F.greatest(F.col("n_words") - 7, F.lit(0))))
     # most texts repeat no window: a distinct count says so without a sort
     d = d.select(
-        "doc_id", "text", "n_words",
+        "doc_id", "text", "n_words", "word_chars", "furniture",
         F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
         .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("s"),
     )
     same = lambda x, j: (F.coalesce(F.get("s", j + 1)["h"] == x["h"], F.lit(False))) | ((j > 0) & F.coalesce(F.get("s", j - 1)["h"] == x["h"], F.lit(False)))
-    d = d.select("doc_id", "text", "n_words", F.sort_array(F.transform(F.filter("s", same), lambda x: x["i"])).alias("p"))
+    d = d.select("doc_id", "text", "n_words", "word_chars", "furniture", F.sort_array(F.transform(F.filter("s", same), lambda x: x["i"])).alias("p"))
     # each repeated window covers the words up to the next one, eight at most
     covered = F.aggregate(F.transform("p", lambda x, j: F.least(F.lit(8), F.coalesce(F.get("p", j + 1) - x, F.lit(8)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     d = d.select(
-        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), covered.alias("n_repeat_words"),
-        _chars(text, _BLANKS).cast("bigint").alias("word_chars"), (F.length("text") - _chars(text, _SYMBOLS)).cast("bigint").alias("n_symbols"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), covered.alias("n_repeat_words"), "word_chars", "furniture",
+        _count(text, r"[#*$%&|<>]").cast("bigint").alias("n_symbols"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
+    d = d.withColumn("facts", F.transform(F.array_distinct("lines"), lambda x: _facts(x, F.col("furniture"))))
     d = d.select(
-        "doc_id", "n_words", "n_repeat_words", "word_chars", "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.transform(F.array_distinct("lines"), lambda x: _line(x, r)).alias("judged"),
+        "doc_id", "n_words", "n_repeat_words", "word_chars", "n_symbols", F.size("lines").alias("n_lines"),
+        (F.size("lines") - F.size("facts")).cast("bigint").alias("n_dup_lines"),
+        F.transform("facts", lambda x: F.struct(x["t"].alias("t"), _broken(x, r).alias("why"))).alias("judged"),
     )
-    d = d.select("*", F.filter("judged", lambda x: x["why"].isNull()).alias("good"))
-    kept_chars = F.aggregate("good", F.lit(0).cast("bigint"), lambda a, x: a + x["c"])
+    d = d.withColumn("good", F.transform(F.filter("judged", lambda x: x["why"].isNull()), lambda x: x["t"]))
+    d = d.withColumn("clean_text", F.array_join("good", "\n"))
+    kept_chars = F.when(F.size("good") == F.col("n_lines"), F.col("word_chars")).otherwise(F.length(F.regexp_replace("clean_text", SPACE, "")).cast("bigint"))
     base = (F.col("n_words") < r.min_words) | (100 * F.col("n_repeat_words") > r.max_repeat_percent * F.col("n_words"))
     removed = lambda rule: F.size(F.filter("judged", lambda x: x["why"] == rule)).cast("bigint").alias(f"n_{rule}")
     d = d.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         kept_chars.alias("kept_chars"), *(removed(x) for x in ("navigation", "noise", "boilerplate", "punctuation")),
-        F.array_join(F.transform("good", lambda x: x["t"]), "\n").alias("clean_text"),
+        "clean_text",
     )
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= r.min_kept_share * F.col("word_chars")))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") >= r.min_kept_share * F.col("word_chars")))
+    # a later filter on the verdict must not be copied down into every step above: a generator stops it
+    return d.select(F.explode(F.array(F.struct(*d.columns))).alias("r")).select("r.*")

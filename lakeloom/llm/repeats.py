@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lakeloom.llm.common import cut, free_shuffles, map_arrow, mix64, release, spread, text_or_empty
+from lakeloom.llm.common import cut, free_shuffles, fresh, map_arrow, mix64, release, spread, text_or_empty
 from lakeloom.llm.suffix import suffix_array
 
 _U = np.uint64
@@ -106,7 +107,7 @@ _TABLES: dict[int, np.ndarray] = {}
 
 def _table(base: int, n: int) -> np.ndarray:
     if base not in _TABLES or len(_TABLES[base]) < n:
-        x = np.full(max(n, 2 * _PIECE), base, np.uint64)
+        x = np.full(max(n, _PIECE + 1_000), base, np.uint64)
         x[0] = 1
         _TABLES[base] = np.multiply.accumulate(x)
     return _TABLES[base][:n]
@@ -260,33 +261,39 @@ def _windows(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 _MERGED = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _remove(size: int, as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(size: int, ranges_name: str, names: tuple[str, str], as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the removed spans, and the bytes left; or puts those, as text, into the column text."""
     for b in batches:
         spans, kept = [], []
-        for t, ranges in zip(b["text"].to_pylist(), b["ranges"].to_pylist()):
-            raw = t.encode("utf-8", "surrogatepass")
+        for t, ranges in zip(b["text"].to_pylist(), b[ranges_name].to_pylist()):
             merged: list[list[int]] = []
             for x in sorted((x["a"], x["b"] + size - 1) for x in ranges or ()):
                 if merged and x[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], x[1])
                 else:
                     merged.append(list(x))
-            out, at = [], 0
+            spans.append([{"start": a, "end": z} for a, z in merged])
+            if as_text and not merged:
+                kept.append(t)
+                continue
+            raw, out, at = (t or "").encode("utf-8", "surrogatepass"), [], 0
             for a, z in merged:
                 out.append(raw[at:a])
                 at = z
             out.append(raw[at:])
-            spans.append([{"start": a, "end": z} for a, z in merged])
             left = b"".join(out)
             # a cut may leave some bytes of a character; as text those are dropped
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
-        names = [c for c in b.schema.names if c not in ("text", "ranges")]
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(spans, _MERGED), pa.array(kept, pa.string() if as_text else pa.binary())], [*names, "spans", "kept"])
+        held = [c for c in b.schema.names if c != ranges_name]
+        if as_text:
+            yield pa.RecordBatch.from_arrays([*(pa.array(kept, pa.string()) if c == "text" else b[c] for c in held), pa.array(spans, _MERGED)], [*held, names[0]])
+        else:
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in held), pa.array(spans, _MERGED), pa.array(kept, pa.binary())], [*held, *names])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rows are told apart by id and text; equal rows share a key and, being equal, a result."""
-    return docs.withColumns({"_text": text_or_empty(), "_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))}).withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("_text")))
+    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_row": F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty())})
 
 
 def repeated_ranges(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -> DataFrame:
@@ -296,7 +303,7 @@ def repeated_ranges(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -
     too large for a task; its windows are counted exactly by content instead, with sums
     combined before the shuffle.
     """
-    d = _keyed(docs.select("doc_id", "text")).select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), F.col("_text").alias("text"))
+    d = _keyed(docs.select("doc_id", "text")).select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), text_or_empty().alias("text"))
     spark = docs.sparkSession
     found = cut(map_arrow(d.where(F.octet_length("text") >= size), partial(_find, size), _STRETCH), "stretches")
     again = found.groupBy("anchor").agg(F.sum("anchors").alias("n")).where("n > 1").select("anchor")
@@ -340,28 +347,30 @@ def repeated_ranges(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -
     return out
 
 
-def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, as_text: bool = False) -> DataFrame:
-    """docs and two more columns: ``_spans``, the byte runs removed, and ``_kept``, the bytes left.
+def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, as_text: bool = False) -> tuple[DataFrame, str, str]:
+    """docs and two more columns, and their names: the byte runs removed and the bytes left.
+
+    With ``as_text`` the bytes left stand in the column text instead, as text.
 
     Every byte goes that lies in a string of ``size`` bytes which also starts anywhere else
     in the table, the same document included; strings are judged on the input. Null text is
     empty. Texts shorter than ``size`` stay whole. Rows that are equal are copies of each
     other, so all of each that is long enough goes. An empty table gives no rows.
     """
-    r = repeated_ranges(docs, size=size, hot_bytes=hot_bytes).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("ranges").alias("_ranges"))
-    d = _keyed(docs).join(r, ["_doc", "_row"], "left")
-    names = docs.columns
-    rows = d.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("docs"), F.col("_text").alias("text"), F.col("_ranges").alias("ranges"))
-    kind = rows.schema["docs"].dataType.simpleString()
-    out = map_arrow(rows, partial(_remove, size, as_text), f"docs {kind}, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
-    return out.select("docs.*", F.col("spans").alias("_spans"), F.col("kept").alias("_kept"))
+    r = repeated_ranges(docs, size=size, hot_bytes=hot_bytes)
+    doc, row, ranges, spans, kept = (fresh(docs, c) for c in ("_doc", "_row", "_ranges", "_spans", "_kept"))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), row: F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty())})
+    d = keyed.join(r.toDF(doc, row, ranges), [doc, row], "left").select(*docs.columns, ranges)
+    more = [StructField(spans, d.select(F.array(F.struct(F.lit(1).cast("bigint").alias("start"), F.lit(1).cast("bigint").alias("end")))).schema[0].dataType)]
+    more += [] if as_text else [StructField(kept, BinaryType())]
+    return map_arrow(d, partial(_remove, size, ranges, (spans, kept), as_text), StructType([*docs.schema.fields, *more])), spans, kept
 
 
 def removal(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, spans, kept (the bytes left)."""
-    d = docs.select("doc_id", "text")
-    out = without_repeats(d.select("doc_id", F.col("text").cast("string").alias("text")), size=size, hot_bytes=hot_bytes)
-    return out.select("doc_id", F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"))
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out, spans, kept = without_repeats(d, size=size, hot_bytes=hot_bytes)
+    return out.select("doc_id", F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"), F.col(spans).alias("spans"), F.col(kept).alias("kept"))
 
 
 def clean_texts(docs: DataFrame, *, size: int = 200) -> DataFrame:
@@ -369,9 +378,8 @@ def clean_texts(docs: DataFrame, *, size: int = 200) -> DataFrame:
 
     A character of which a cut leaves some bytes only is dropped.
     """
-    out = without_repeats(docs, size=size, as_text=True)
-    out = out.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.col("_kept")))
-    return out.where((F.size("_spans") == 0) | (F.length(F.trim("text")) > 0)).drop("_spans", "_kept")
+    out, spans, _ = without_repeats(docs, size=size, as_text=True)
+    return out.where((F.size(spans) == 0) | (F.length(F.trim("text")) > 0)).drop(spans)
 
 
 def removed_bytes(spans: Column) -> Column:
