@@ -71,6 +71,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     # rows hold whole texts: the usual ten thousand a batch would take too much memory
     if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.mapInArrow(run, schema)
 
 

@@ -23,6 +23,8 @@ from lakeloom.llm.common import fresh, map_arrow
 UNKNOWN = "und"
 #: Texts are parsed in blocks of this many symbols, so that long texts parse as fast as many short ones; a phrase ends with its block.
 BLOCK = 1024
+#: Characters of texts parsed together, about; it bounds a task's memory.
+PIECE = 1_000_000
 #: Symbols: 0 for everything but letters, 1 for letters that the model has not, then letters.
 _CLASSES = 64
 
@@ -98,6 +100,13 @@ def automaton(symbols: list[int]) -> np.ndarray:
     return table
 
 
+def _sums(flags: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text of the sizes given, one text after another."""
+    at = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=at[1:])
+    return (at[ends] - at[ends - sizes]).astype(np.int64)
+
+
 class Parser:
     """The automata of all languages in one table, stepped for many blocks at once."""
 
@@ -137,9 +146,7 @@ class Parser:
         ends = np.cumsum(n)
         firsts = (ends - n)[n > 0]
         keep[firsts] = True
-        at = np.concatenate([[0], np.cumsum(keep)])
-        letters = np.concatenate([[0], np.cumsum(self.alpha[points])])
-        return c[keep], at[ends] - at[ends - n], letters[ends] - letters[ends - n]
+        return c[keep], _sums(keep, ends, n), _sums(self.alpha[points], ends, n)
 
     def phrases(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Phrases per text and language."""
@@ -200,7 +207,7 @@ def _tag(samples: Samples, keep_text: bool, names: tuple[str, str], batches: Ite
         scores, at = [np.zeros(0)], 0
         while at < len(texts):
             end, chars = at, 0
-            while end < len(texts) and chars < 4_000_000:
+            while end < len(texts) and chars < PIECE:
                 chars += len(texts[end] or "")
                 end += 1
             lang, score = p.predict(texts[at:end])

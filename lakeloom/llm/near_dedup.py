@@ -46,7 +46,7 @@ class _WordHash(dict):
     """64-bit hashes of words, remembered; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -104,7 +104,7 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], chars: int = 2_000_000):
+def _batches(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000):
     """(batch, first row, texts) in pieces of about so many characters."""
     for b in batches:
         texts, at = b["text"].to_pylist(), 0
