@@ -26,9 +26,9 @@ _U = np.uint64
 #: Bytes of an anchor's k-gram.
 GRAM = 32
 #: Bytes worked on at a time; a piece's positions fit in the low bits of a key.
-_PIECE, _BITS = 1_000_000, 21
+_PIECE, _BITS = 400_000, 21
 #: Bytes of text in one transform, about; and the most that one anchor may bring to it.
-BLOCK, HOT = 2_000_000, 16_000_000
+BLOCK, HOT = 500_000, 4_000_000
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
@@ -186,14 +186,14 @@ def repeated_suffixes(s: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(n, bool)
     if n < 2:
         return out
-    sa = suffix_array(s, size)
+    sa = suffix_array(s, size).astype(np.int32)
     bwt = s[sa - 1]
-    order = np.argsort(bwt.astype(np.uint16 if s.max() < 65_536 else np.int64), kind="stable")
-    step = np.empty(n, np.int64)  # the row of the suffix one longer
-    step[order] = np.arange(n)
+    order = np.argsort(bwt.astype(np.uint16 if s.max() < 65_536 else np.int64), kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)  # the row of the suffix one longer
+    step[order] = np.arange(n, dtype=np.int32)
     same = np.zeros(n + 1, bool)
     same[1:n] = bwt[order][1:] == bwt[order][:-1]
-    after, before = np.full(n, n, np.int64), np.full(n, -1, np.int64)  # the next and last row with the same number before it
+    after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)  # the next and last row with the same number before it
     after[order[:-1]] = np.where(same[1:n], order[1:], n)
     before[order[1:]] = np.where(same[1:n], order[:-1], -1)
     open_ = np.ones(n + 1, bool)
