@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,23 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Of the C library, where it has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def _lean(run: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    give_back()
+    yield from run(batches)
+    give_back()
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow, with this package on the workers' path even where it is not installed."""
     ship(df.sparkSession)
@@ -72,7 +91,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
         df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(partial(_lean, run), schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -25,7 +25,7 @@ from lakeloom.llm.suffix import suffix_array
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: A shard's characters, about; it bounds a task's memory.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: Every so many positions keep their place; documents' first words always do.
 SAMPLE = 16
 #: Windows searched at a time; more are searched in further passes over the same rows.
