@@ -92,10 +92,43 @@ def test_url_rules(spark):
         assert (r.verdict == "allow") == (r.score >= r.threshold) or u[4]
 
 
-def test_url_models_tell_classes_apart(spark):
-    rows = [(i, f"http://s{i}.example.org/{'es' if i % 2 else 'en'}/{i * 7 % 1000}") for i in range(600)] + [(1000 + i, f"http://s{i}.example.net/{'es' if i % 2 else 'en'}/2{i}") for i in range(100)]
-    got = [r for r in url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect() if r.rule is None]
-    assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) >= 90
+def test_url_scores_equal_plain_counts(spark, monkeypatch):
+    """Scores, threshold and verdicts against counts in dictionaries; blocks of a few URLs and one very long one."""
+    monkeypatch.setattr(url_filter, "BLOCK", 500)
+    r = random.Random(2)
+    urls = [f"https://{r.choice('ab')}{r.randrange(9)}.{r.choice(['example.org/es', 'example.org/en', 'example.net/de', 'y.com/de', 'y.com/fr'])}/{r.choice(['news', 'shop', 'é'])}{r.randrange(40)}?q" for _ in range(300)]
+    urls += [urls[0]] * 9 + [None, "", "no scheme", "http://", "http://x.net/" + "long" * 100_000]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumns({c: F.lit("clash") for c in ("score", "block", "text", "key", "aside", "verdict")})
+    got = url_filter.judge(d.repartition(3)).withColumn("aside", F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(5)) == 0).orderBy("page_id").collect()
+    assert [x.page_id for x in got] == list(range(len(urls)))
+    side = [x.verdict if x.rule and not x.aside else None for x in got]
+    want = brute.url_scores([(x.host + x.path, k) for x, k in zip(got, side)])
+    assert np.allclose([x.score for x in got], want, atol=1e-9)
+    threshold = brute.url_threshold([(s, x.verdict == "allow") for s, x in zip(want, got) if x.rule and x.aside])
+    assert abs(got[0].threshold - threshold) < 1e-9
+    assert all(x.rule or abs(s - threshold) < 1e-9 or (x.verdict == "allow") == (s >= threshold) for s, x in zip(want, got))
+
+
+@pytest.mark.parametrize("n", [1_000, 20_000, 100_000])
+def test_url_models_hold_at_any_size(spark, n):
+    """Hosts and words that vary without end: one class has words of its own. Accuracy does not fall as the URLs grow."""
+    good, bad = "news article story science review".split(), "casino betting loan poker jackpot".split()
+    odd = lambda salt: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256), 1, 7)
+    pick = F.element_at(F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, good))).otherwise(F.array(*map(F.lit, bad))), (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int"))
+    ruled, accepted = F.col("id") % 5 != 0, F.col("id") % 2 == 0
+    host = F.concat(odd("h"), F.lit("."), F.when(~ruled, "net").when(accepted, "org").otherwise("com"))
+    url = F.concat(F.lit("http://"), host, F.when(ruled & ~accepted, "/de/").otherwise("/en/"), odd("p"), F.lit("-"), pick, F.lit("-"), odd("q"))
+    got = url_filter.judge(spark.range(n).select(F.col("id").alias("page_id"), url.alias("url"))).where("rule is null")
+    hits = {r[0]: r[1] for r in got.groupBy((F.col("page_id") % 2 == 0).alias("accepted")).agg(F.avg(((F.col("verdict") == "allow") == (F.col("page_id") % 2 == 0)).cast("double"))).collect()}
+    assert sum(hits.values()) / 2 > 0.97
+
+
+def test_url_rules_for_one_class(spark):
+    rows = [(i, f"http://s{i}.example.org/x") for i in range(40)] + [(99, "http://y.net/z")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules=(("org", "/", "allow"),)).collect()
+    assert {r.threshold for r in got} == {0.0} and len(got) == 41
+    none = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), rules=()).collect()
+    assert {(r.verdict, r.score) for r in none} == {("allow", 0.0)}
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
