@@ -19,8 +19,8 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; texts without a letter go."""
-    return language_id.with_known_language(docs, language_id.sample(docs))
+    """Documents that a learned language explains; texts without a letter and noise go."""
+    return language_id.in_languages(docs, language_id.sample(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
