@@ -15,10 +15,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import map_arrow, spread
+from lakeloom.llm.common import fresh, map_arrow, spread
 from lakeloom.llm.suffix import suffix_array
 
 #: Fixed words of a text, once A-Z is lower case: runs outside ASCII's other characters.
@@ -28,8 +28,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 SHARD = 2_000_000
 #: Every so many positions keep their place; documents' first words always do.
 SAMPLE = 16
-#: Windows searched at a time; more are searched in further passes over the same rows.
-BLOCK = 100_000
+#: Bytes of benchmark text searched at a time; more is searched in further passes over the same rows.
+BLOCK = 4_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -117,26 +117,29 @@ class FMIndex:
 
 
 class Phrases:
-    """Benchmark windows numbered over their own words."""
+    """The windows of benchmark items, numbered over their own words, each once."""
 
-    def __init__(self, windows: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
         self.number: dict[bytes, int] = {}
-        ids: dict[tuple[int, ...], int] = {}
-        pairs: set[tuple[int, str]] = set()
-        for item, ws in windows:
-            t = tuple(self.number.setdefault(w, len(self.number) + 2) for w in ws)  # 1: any other word
-            pairs.add((ids.setdefault(t, len(ids)), item))
-        self.size = np.array([len(t) for t in ids], np.int64)
-        widest = int(self.size.max()) if ids else 0
-        self.matrix = np.zeros((len(ids), widest), np.int64)
-        for k, t in enumerate(ids):
-            self.matrix[k, widest - len(t) :] = t
-        items = sorted({i for _, i in pairs})
-        place = {i: k for k, i in enumerate(items)}
-        by = sorted((p, place[i]) for p, i in pairs)
-        self.items = items
-        self.item_of = np.array([i for _, i in by], np.int64)
-        self.item_at = np.searchsorted([p for p, _ in by], np.arange(len(ids) + 1))
+        rows, owner = [np.zeros((0, size), np.int32)], [np.zeros(0, np.int64)]
+        self.items = sorted({i for i, _ in items if i is not None})
+        place = {i: k for k, i in enumerate(self.items)}
+        for item, text in items:
+            w = words(text)
+            if not w:
+                continue
+            n = np.array([self.number.setdefault(x, len(self.number) + 2) for x in w], np.int32)  # 1: any other word
+            # aligned to the right; 0 is no word
+            n = n if len(n) >= size else np.concatenate([np.zeros(size - len(n), np.int32), n])
+            rows.append(np.lib.stride_tricks.sliding_window_view(n, size))
+            owner.append(np.full(len(rows[-1]), place.get(item, -1)))
+        self.matrix, of = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.size = (self.matrix > 0).sum(1)
+        who = np.concatenate(owner)
+        # windows of items without an id are searched like any other, and name no item
+        pairs = np.unique(np.stack([of.ravel()[who >= 0], who[who >= 0]], 1), axis=0)
+        self.item_of = pairs[:, 1]
+        self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
 
     def find(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
         """For each text: words, spans [start, end) of hit words, items with a window in it."""
@@ -149,7 +152,7 @@ class Phrases:
             parts.append(np.zeros(1, np.int32))
         n = np.array(counts, np.int64)
         out: list[tuple[int, list, list]] = [(c, [], []) for c in counts]
-        if not len(self.size) or not texts:
+        if not len(self.matrix) or not texts:
             return out
         full = np.concatenate(parts)
         # other words in a row say no more than one of them
@@ -205,12 +208,12 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 _READY: dict[int, Phrases] = {}
 
 
-def _phrases(windows: list[tuple[str, list[bytes]]]) -> Phrases:
-    key = hash(tuple((i, *w) for i, w in windows))
+def _phrases(items: list[tuple[str | None, str]], size: int) -> Phrases:
+    key = hash((*items, size))
     if key not in _READY:
         if len(_READY) > 3:
             _READY.clear()
-        _READY[key] = Phrases(windows)
+        _READY[key] = Phrases(items, size)
     return _READY[key]
 
 
@@ -218,9 +221,9 @@ _FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("sta
 _FOUND_DDL = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
 
-def _scan(windows, text: str, found: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds what the windows hit to column ``found``; shards are cut from each batch."""
-    p = _phrases(windows)
+def _scan(benchmark, size: int, text: str, found: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds what the benchmark's windows hit to column ``found``; shards are cut from each batch."""
+    p = _phrases(benchmark, size)
     for b in batches:
         texts, old = b[text].to_pylist(), b[found].to_pylist()
         got, at = [], 0
@@ -234,7 +237,7 @@ def _scan(windows, text: str, found: str, batches: Iterator[pa.RecordBatch]) ->
         rows = []
         for g, o in zip(got, old):
             spans, items = g[1], g[2]
-            if o and o["items"]:
+            if o and o["spans"]:
                 spans = _merge([(s["start"], s["end"]) for s in o["spans"]], spans)
                 items = sorted({*o["items"], *items})
             rows.append({"n_words": g[0], "spans": [{"start": s, "end": e} for s, e in spans], "items": items})
@@ -242,54 +245,43 @@ def _scan(windows, text: str, found: str, batches: Iterator[pa.RecordBatch]) ->
         yield pa.RecordBatch.from_arrays([pa.array(rows, _FOUND) if c == found else b.column(i) for i, c in enumerate(names)], names)
 
 
-def _words_of(text: Column) -> Column:
-    """A benchmark text's words, by built-in functions."""
-    low = F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, block: int = BLOCK) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: n_words, spans of hit words and the items found.
 
-
-def windows_of(benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(item_id string, window array<string>), distinct: every run of ``size`` words, or a shorter item whole."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), _words_of(F.col("text")).alias("w")).where("item_id is not null and size(w) > 0")
-    b = b.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.slice("w", i + 1, F.lit(size)))).alias("window"))
-    return b.distinct()
-
-
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, *, size: int = 10, block: int = BLOCK) -> DataFrame:
-    """docs with one more column ``_found``: n_words, spans of hit words and the items found.
-
-    Every document is searched whole. The windows are counted; up to ``block`` of them
+    Every run of ``size`` words of an item is searched, or a shorter item whole, in every
+    document, whole. The benchmark's bytes are summed first; up to about ``block`` of them
     travel to the tasks at once, and more are searched in further passes over the same
-    rows, so what is sent is bounded. Null text has no words. Empty tables find nothing.
-    Repeated rows are searched each; benchmark rows without id or words have no windows.
+    rows, so what a task holds is bounded (an item is in one pass). Null text has no words.
+    Empty tables find nothing. Repeated rows are searched each. Items without an id are
+    searched but not named; items without words have no windows.
     """
-    w = windows_of(benchmark, size)
-    n = w.count()
-    passes = max(1, -(-n // block))
-    out = docs.withColumn("_found", F.lit(None).cast(_FOUND_DDL))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
+    found = fresh(docs, "_found")
+    out = docs.withColumn(found, F.lit(None).cast(_FOUND_DDL))
     for k in range(passes):
-        part = w if passes == 1 else w.where(F.pmod(F.xxhash64("window"), F.lit(passes)) == k)
-        rows = sorted((r.item_id, [x.encode() for x in r.window]) for r in part.collect())
-        out = map_arrow(out, partial(_scan, rows, "text", "_found"), out.schema)
-    return out
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] or "", r[1]))
+        out = map_arrow(out, partial(_scan, rows, size, "text", found), out.schema)
+    return out, found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, spans, items, contaminated."""
-    f = find_benchmark(docs.select("doc_id", "text"), benchmark, **options)
-    hit = F.aggregate("_found.spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
-    return f.select("doc_id", F.col("_found.n_words").alias("n_words"), hit.alias("n_hit"), F.col("_found.spans").alias("spans"), F.array_sort("_found.items").alias("items"), (F.size("_found.spans") > 0).alias("contaminated"))
+    f, found = find_benchmark(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, **options)
+    hit = F.aggregate(f"{found}.spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
+    return f.select("doc_id", F.col(f"{found}.n_words").alias("n_words"), hit.alias("n_hit"), F.col(f"{found}.spans").alias("spans"), F.array_sort(f"{found}.items").alias("items"), (F.size(f"{found}.spans") > 0).alias("contaminated"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(found: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep, texts = [], []
-        for t, f in zip(b["text"].to_pylist(), b["_found"].to_pylist()):
+        for t, f in zip(b["text"].to_pylist(), b[found].to_pylist()):
             spans = [(s["start"], s["end"]) for s in f["spans"]]
             gone = bool(spans) and sum(e - s for s, e in spans) == f["n_words"]
             keep.append(not gone)
             texts.append(cut_words(t, spans) if spans else t)
-        names = [c for c in b.schema.names if c != "_found"]
+        names = [c for c in b.schema.names if c != found]
         out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(b.schema.names.index(c)) for c in names], names)
         yield out.filter(pa.array(keep, pa.bool_()))
 
@@ -299,5 +291,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
     Documents without a hit stay as they are; one whose every word is hit goes.
     """
-    f = find_benchmark(docs, benchmark, **options)
-    return map_arrow(f, _cut, docs.schema)
+    f, found = find_benchmark(docs, benchmark, **options)
+    return map_arrow(f, partial(_cut, found), docs.schema)

@@ -59,8 +59,8 @@ def benchmark_hits(texts: list[str | None], items: list[tuple[object, str | None
     windows = defaultdict(set)
     for i, t in items:
         w = BENCH_WORD.findall(low(t))
-        for k in range(max(1, len(w) - size + 1)) if w and i is not None else ():
-            windows[tuple(w[k : k + size])].add(str(i))
+        for k in range(max(1, len(w) - size + 1)) if w else ():
+            windows[tuple(w[k : k + size])] |= set() if i is None else {str(i)}
     out = []
     for t in texts:
         w, hit, found = BENCH_WORD.findall(low(t)), set(), set()
