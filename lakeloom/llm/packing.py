@@ -6,19 +6,20 @@ waste least padding; batches of a token budget then form inside each bucket.
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, text_or_empty
+from lakeloom.llm.common import cut, fresh
+from lakeloom.llm.token_counts import with_lengths
 
-#: Lengths up to this are histogram cells of their own; longer ones share a cell with
-#: those that agree in their leading bits, so there are under 1,024 cells per doubling.
-EXACT = 2048
-_BITS = 10
+#: Where lengths share cells (see histogram), those up to this still have cells of their own.
+_OWN = 2048
 
 
 @dataclass(frozen=True)
@@ -30,47 +31,47 @@ class Packing:
     rows: int
 
 
-def byte_tokens() -> Column:
-    """Tokens of a byte-level vocabulary: the text's UTF-8 bytes and an end token."""
-    return F.octet_length(text_or_empty()).cast("bigint") + 1
-
-
-def _cell(n: Column) -> Column:
+def _cell(n: Column, bits: int) -> Column:
     # a logarithm rounded the wrong way only moves a cell's edge; each cell still is a range of lengths
-    scale = F.greatest(F.floor(F.log2(n.cast("double"))) - _BITS, F.lit(0)).cast("int")
-    return F.when(n <= EXACT, n).otherwise(EXACT + scale.cast("bigint") * (1 << (_BITS + 2)) + F.floor(n / F.pow(F.lit(2.0), scale)))
+    scale = F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - bits, F.lit(0)).cast("int")
+    return F.when(n <= _OWN, n).otherwise(_OWN + scale.cast("bigint") * (1 << (bits + 2)) + F.floor(n / F.pow(F.lit(2.0), scale)))
+
 
+def histogram(lengths: DataFrame, bits: int | None = None) -> DataFrame:
+    """Cells (top, n, total) of a frame with a bigint column n_tokens.
 
-def histogram(lengths: DataFrame) -> DataFrame:
-    """Cells (top, n, total) of a frame with a bigint column n_tokens; bounded whatever the rows."""
-    return (
-        lengths.groupBy(_cell(F.col("n_tokens")).alias("cell"))
-        .agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total"))
-        .drop("cell")
-    )
+    One cell per distinct length, exact; there are no more of them than the longest
+    document has tokens. With ``bits`` lengths over 2,048 that agree in so many leading bits
+    share a cell: then there are under 2^bits cells a doubling, and boundaries are the best
+    among the cells' longest lengths.
+    """
+    cell = F.col("n_tokens") if bits is None else _cell(F.col("n_tokens"), bits)
+    return lengths.groupBy(cell.alias("cell")).agg(F.max("n_tokens").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total")).drop("cell")
 
 
-def plan(top: np.ndarray, n: np.ndarray, total: np.ndarray, buckets: int) -> Packing:
-    """The best boundaries among the cells' tops: least sum of boundary - length.
+def plan(top: Sequence[int], n: Sequence[int], total: Sequence[int], buckets: int) -> Packing:
+    """The best boundaries among the cells' tops: least sum of boundary - length, in whole numbers.
 
     With C the rows so far, closing a bucket at cell j costs top[j] * (C[j] - C[i]) less the
     tokens in it: a line in top[j] for each start i, slopes falling, so the least line is
-    found with a queue in linear time per bucket.
+    found with a queue in linear time per bucket. Numbers have no bound, so sums of any
+    size are exact.
     """
-    order = np.argsort(top)
-    top, n, total = (x[order].astype(float) for x in (top, n, total))
-    m = len(top)
+    cells = sorted(zip(*([int(x) for x in v] for v in (top, n, total))))
+    m = len(cells)
     if not m:
         return Packing([], 0, 0)
-    c, s = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(total)])
-    best, back = np.full(m + 1, np.inf), []
-    best[0] = 0
-    final, stop = None, 0
+    top, c, s = [t for t, _, _ in cells], [0], [0]
+    for _, k, t in cells:
+        c.append(c[-1] + k)
+        s.append(s[-1] + t)
+    best: list[int | None] = [0] + [None] * m
+    back, final, stop = [], None, 0
     for k in range(min(buckets, m)):
-        nxt, frm, q = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), deque()
+        nxt, frm, q = [None] * (m + 1), array("q", [0] * (m + 1)), deque()
         for j in range(1, m + 1):
             i = j - 1
-            if np.isfinite(best[i]):
+            if best[i] is not None:
                 a, b = -c[i], best[i] + s[i]
                 while len(q) > 1 and (b - q[-2][1]) * (q[-2][0] - q[-1][0]) <= (q[-1][1] - q[-2][1]) * (q[-2][0] - a):
                     q.pop()
@@ -87,38 +88,55 @@ def plan(top: np.ndarray, n: np.ndarray, total: np.ndarray, buckets: int) -> Pac
         best = nxt
     cuts, j = [], m
     for k in range(stop, -1, -1):
-        cuts.append(int(top[j - 1]))
-        j = int(back[k][j])
-    return Packing(cuts[::-1], int(round(final)), int(c[-1]))
+        cuts.append(top[j - 1])
+        j = back[k][j]
+    return Packing(cuts[::-1], final, c[-1])
+
+
+COLUMNS = ("n_tokens", "bucket", "boundary", "batch_id", "slot", "batch_rows", "padding")
 
 
-def pack(docs: DataFrame, length: Column | None = None, *, buckets: int = 16, budget: int = 65_536, shard_rows: int = 20_000) -> tuple[DataFrame, Packing]:
-    """One row per document: doc_id, n_tokens, bucket, boundary, batch_id, slot, batch_rows, padding.
+def pack(docs: DataFrame, length: Column | None = None, *, carry: Sequence[str] = ("doc_id",), buckets: int = 16, budget: int = 65_536, bits: int | None = None, shard_rows: int = 20_000) -> tuple[DataFrame, Packing]:
+    """One row per document: the columns ``carry``, n_tokens, bucket, boundary, batch_id, slot, batch_rows, padding.
 
-    A batch holds rows of one bucket, padded to its boundary, with rows * boundary within
-    the budget; a document longer than the budget is a batch of its own. Only a bucket's
-    last batch may be short. Rows are numbered inside hash shards of about shard_rows and
-    shifted by the rows of earlier shards, so no bucket ever sits in one task.
-    Null text has one token, the end mark. Repeated rows are packed each. An empty table
-    gives no rows. Only doc_id and what ``length`` reads are taken from docs.
+    The length is the number of token ids of the whole text (see token_counts) and one end
+    id, or the column ``length`` where it is given, 0 where that is null. A batch holds rows of one bucket, padded
+    to its boundary, with rows * boundary within the budget; a document longer than the
+    budget is a batch of its own. Only a bucket's last batch may be short. Rows are
+    numbered inside hash shards of about shard_rows and shifted by the rows of earlier
+    shards, so no bucket ever sits in one task, nor do rows that repeat.
+
+    Null text has one token, the end id. Repeated rows are packed each. An empty table
+    gives no rows. Columns carried keep their names; where they clash with packing's own,
+    those get an underscore more.
     """
-    w = cut(docs.select("doc_id", (byte_tokens() if length is None else length).cast("bigint").alias("n_tokens")), "lengths")
-    h = histogram(w).toPandas()
-    found = plan(*(h[c].to_numpy(np.int64) for c in ("top", "n", "total")), buckets)
+    names = [fresh(docs.select(*carry), c) for c in COLUMNS]
+    tokens, row = names[0], fresh(docs, "_place")
+    d = with_lengths(docs, tokens, carry, end=1) if length is None else docs.select(*carry, F.coalesce(length.cast("bigint"), F.lit(0)).alias(tokens))
+    w = cut(d.withColumn(row, F.monotonically_increasing_id()), "lengths")
+    h = histogram(w.select(F.col(tokens).alias("n_tokens")), bits).toPandas()
+    found = plan(h["top"], h["n"], h["total"], buckets)
     bounds = found.boundaries or [1]
     shards = max(1, -(-found.rows // shard_rows))
-    bucket = sum(((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]), F.lit(0))
-    d = w.select("doc_id", "n_tokens", bucket.alias("bucket"), F.xxhash64("doc_id", "n_tokens").alias("_h"))
-    d = d.withColumn("_shard", F.pmod("_h", F.lit(shards)).cast("int"))
-    sizes = d.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = sizes.select("bucket", "_shard", (F.sum("_n").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("bucket")).alias("_all"))
-    d = d.withColumn("_row", F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("_h", "doc_id")) - 1).join(earlier, ["bucket", "_shard"])
+    mine = F.struct(*(F.col(c) for c in w.columns if c != row)).alias("d")
+    bucket = sum(((F.col(tokens) > b).cast("int") for b in bounds[:-1]), F.lit(0))
+    d = w.select(mine, bucket.alias("bucket"), F.xxhash64(row).alias("h"))
+    d = d.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    sizes = d.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n"))
+    earlier = sizes.select("bucket", "shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("bucket")).alias("all"))
+    d = d.withColumn("row", F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("h")) - 1).join(earlier, ["bucket", "shard"])
     boundary = F.element_at(F.array(*(F.lit(b).cast("bigint") for b in bounds)), F.col("bucket") + 1)
-    d = d.select("doc_id", "n_tokens", "bucket", boundary.alias("boundary"), (F.col("_before") + F.col("_row")).alias("_at"), "_all")
-    d = d.withColumn("_room", F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(budget) / F.col("boundary")).cast("bigint")))
-    number = F.floor(F.col("_at") / F.col("_room")).cast("bigint")
-    out = d.select(
-        "doc_id", "n_tokens", "bucket", "boundary", number.alias("batch_id"), (F.col("_at") % F.col("_room")).alias("slot"),
-        F.least(F.col("_room"), F.col("_all") - number * F.col("_room")).alias("batch_rows"), (F.col("boundary") - F.col("n_tokens")).alias("padding"),
-    )
-    return out, found
+    d = d.select("d", "bucket", boundary.alias("boundary"), (F.col("before") + F.col("row")).alias("at"), "all")
+    d = d.withColumn("room", F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(budget) / F.col("boundary")).cast("bigint")))
+    number = F.floor(F.col("at") / F.col("room")).cast("bigint")
+    own = (F.col("bucket"), F.col("boundary"), number, F.col("at") % F.col("room"), F.least(F.col("room"), F.col("all") - number * F.col("room")), F.col("boundary") - F.col("d").getField(tokens))
+    return d.select("d.*", *(c.alias(n) for c, n in zip(own, names[1:]))), found
+
+
+def batches(packed: DataFrame, carried: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """One row per batch of pack(): bucket, boundary, batch_id, rows - an array, by slot, of what was carried.
+
+    A batch is bounded by the token budget, or one document.
+    """
+    row = F.struct("slot", *carried, "n_tokens", "padding")
+    return packed.groupBy("bucket", "boundary", "batch_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))

@@ -7,13 +7,13 @@ context limit, how many documents exceed it and how many tokens truncation to it
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import map_arrow
+from lakeloom.llm.common import cut, fresh, map_arrow
 
 _ENCODERS: dict = {}
 
@@ -29,24 +29,31 @@ def byte_bpe(path: str, pattern: str):
     return _ENCODERS[path, pattern]
 
 
-def encoded_lengths(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) of every whole text, by the byte-level vocabulary at ``path``.
+def with_lengths(docs: DataFrame, name: str, keep: Sequence[str] = ("doc_id",), *, path: str | None = None, pattern: str | None = None, end: int = 0) -> DataFrame:
+    """The columns ``keep`` of docs and the length of every whole text by the byte-level vocabulary at ``path``.
 
-    Null or empty text has no tokens. Repeated rows stay. Other columns are not read.
+    ``end`` ids are added to each. Null or empty text has no tokens of its own. Repeated
+    rows stay. Columns that are not kept are not read, the text apart.
     """
     if path is None:
         import public_tokenizers as P
 
         path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    text = fresh(docs, "_text")
+    d = docs.select(*keep, F.col("text").cast("string").alias(text), F.lit(0).cast("bigint").alias(name))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = byte_bpe(path, pattern)
         for b in batches:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+            n = [len(enc.encode_ordinary(t)) + end if t else end for t in b[text].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(n, pa.int64())], [*keep, name])
+
+    return map_arrow(d, count, d.drop(text).schema)
 
-    d = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return map_arrow(d, count, "doc_id bigint, n_tokens bigint")
+
+def encoded_lengths(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens) of every whole text; see with_lengths()."""
+    return with_lengths(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "n_tokens", path=path, pattern=pattern)
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
@@ -64,7 +71,8 @@ def limit_table(hist: DataFrame, width: int = 1024) -> DataFrame:
     token, so the table answers every limit; see truncated_total().
 
     Sums run inside ranges of ``width`` lengths and then over the ranges' totals, so no
-    task has to see the whole histogram. An empty histogram gives no rows.
+    task has to see the whole histogram. It is written once, as it is read twice here. An
+    empty histogram gives no rows.
     """
     h = hist.select(F.col("n_tokens").cast("bigint"), F.col("n_docs").cast("bigint"), F.floor(F.col("n_tokens") / width).alias("r"))
     h = h.withColumn("t", F.col("n_tokens") * F.col("n_docs"))

@@ -292,11 +292,27 @@ def test_best_boundaries():
         assert best == sum(int(c) * (min(b for b in found.boundaries if b >= t) - int(t)) for t, c in zip(top, n))
 
 
+def test_boundaries_of_great_sums():
+    """Sums beyond what a float holds exactly."""
+    top, n = [1000, 1001, 1003], [10**16 + 1, 10**16, 10**16 + 7]
+    found = packing.plan(top, n, [t * k for t, k in zip(top, n)], 2)
+    assert (found.boundaries, found.padding, found.rows) == ([1001, 1003], 10**16 + 1, sum(n))
+
+
+def test_shared_cells_keep_all_lengths(spark):
+    d = spark.range(1, 20_000).select(F.col("id").alias("n_tokens"))
+    h = packing.histogram(d, bits=5).collect()
+    assert sum(r.n for r in h) == 19_999 and max(r.top for r in h) == 19_999 and len(h) < 2048 + 200
+
+
 def test_packing_keeps_all(spark, documents, awkward, empty):
+    import public_tokenizers as P
+
+    enc = token_counts.byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for df in (documents, awkward):
-        out, found = packing.pack(df, budget=4096, shard_rows=17)
+        out, found = packing.pack(df, carry=("doc_id", "text"), budget=4096, shard_rows=17)
         got = out.collect()
-        assert sorted(key((r.doc_id, r.n_tokens)) for r in got) == sorted(key((i, len((t or "").encode()) + 1)) for i, t in pairs(df))
+        assert sorted(key((r.doc_id, r.text, r.n_tokens)) for r in got) == sorted(key((i, t, len(enc.encode_ordinary(t or "")) + 1)) for i, t in pairs(df))
         assert sum(r.padding for r in got) == found.padding
         batches: dict = {}
         for r in got:
@@ -307,7 +323,11 @@ def test_packing_keeps_all(spark, documents, awkward, empty):
             assert len(rows) == 1 or len(rows) * rows[0].boundary <= 4096
         short = [b for (k, b), rows in batches.items() if len(rows) < max(1, 4096 // rows[0].boundary)]
         assert len(short) <= len({k for k, _ in batches})
+        whole = {(r.bucket, r.batch_id): [(x.slot, x.doc_id, x.text) for x in r["rows"]] for r in packing.batches(out, ("doc_id", "text")).collect()}
+        assert whole == {k: sorted((r.slot, r.doc_id, r.text) for r in rows) for k, rows in batches.items()}
     assert packing.pack(empty)[0].count() == 0
+    every, _ = packing.pack(awkward, F.length("text"), carry=awkward.columns)
+    assert every.columns[: len(awkward.columns)] == awkward.columns and every.count() == len(AWKWARD) and "bucket_" in every.columns
 
 
 # 6 repeats
