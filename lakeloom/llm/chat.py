@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import map_arrow
@@ -46,15 +46,105 @@ def unescape_role(role: str) -> str:
 EVENT = "conv_id bigint, seq bigint, kind string, message bigint, role string, text string"
 
 
-def messages_as_events(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log of whole messages; message numbers follow turn, then role and text.
+def numbered(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as messages (conv_id, message, role, text); numbers follow turn, then role and text.
 
-    The numbers are per conversation by a window; rows that are equal stay apart.
+    Rows are sorted in ranges, so a conversation of any length is numbered by many tasks.
+    Numbers of one conversation ascend and differ, with gaps; rows that are equal stay apart.
     """
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     c = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    n = F.row_number().over(w).cast("bigint")
-    return c.select("conv_id", n.alias("seq"), F.lit("message").alias("kind"), n.alias("message"), "role", "text")
+    keys = [F.col(k).asc_nulls_first() for k in ("conv_id", "turn", "role", "text")]
+    # ranges are parted by a text's beginning: their bounds are sampled, and whole texts would be too much to sample
+    parted = c.repartitionByRange(*keys[:3], F.substring("text", 1, 32).asc_nulls_first())
+    return parted.sortWithinPartitions(*keys).select("conv_id", F.monotonically_increasing_id().alias("message"), "role", "text")
+
+
+def _as_events(messages: DataFrame, events: Column) -> DataFrame:
+    """``events``: an array of structs (step, kind, role, text) for each message; its steps give the sequence."""
+    e = messages.select("conv_id", "message", F.explode(events).alias("e"))
+    return e.select("conv_id", (F.col("message") * 16 + F.col("e.step")).alias("seq"), F.col("e.kind").alias("kind"), "message", F.col("e.role").alias("role"), F.col("e.text").alias("text"))
+
+
+def _event(step: int, kind: str, role: Column | None, text: Column | None) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (null if role is None else role).alias("role"), (null if text is None else text).alias("text"))
+
+
+def messages_as_events(conversations: DataFrame) -> DataFrame:
+    """Conversations as a log of whole messages."""
+    return _as_events(numbered(conversations), F.array(_event(0, "message", F.col("role"), F.col("text"))))
+
+
+def messages_as_stream(conversations: DataFrame) -> DataFrame:
+    """Conversations as the log of a chat service that they could have come from.
+
+    By the message's hash it was streamed in three deltas; or was drafted and edited; or
+    was drafted, streamed on, and regenerated in deltas; or was announced by its first
+    delta, which the log delivers twice. Folding the log gives the messages back.
+    """
+    role, text = F.col("role"), F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    part = [F.substring(text, F.lit(1), third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, third)]
+    draft = F.upper(F.reverse(part[0]))
+    streamed = F.array(_event(0, "message", role, None), *(_event(i + 1, "delta", None, part[i]) for i in range(3)))
+    edited = F.array(_event(0, "message", role, draft), _event(9, "edit", None, text))
+    again = F.array(
+        _event(0, "message", role, draft), _event(1, "delta", None, draft), _event(2, "regenerate", None, None), *(_event(i + 3, "delta", None, part[i]) for i in range(3)),
+    )
+    twice = F.array(_event(1, "delta", role, part[0]), _event(1, "delta", role, part[0]), _event(2, "delta", None, part[1]), _event(3, "delta", None, part[2]))
+    m = numbered(conversations).withColumn("way", F.pmod(F.xxhash64("message", "text"), F.lit(4)))
+    return _as_events(m, F.when(F.col("way") == 0, streamed).when(F.col("way") == 1, edited).when(F.col("way") == 2, again).otherwise(twice))
+
+
+_SORT = ["conv_id", "message", "seq", "kind", "text", "role"]
+
+
+def _in_order(events: DataFrame) -> DataFrame:
+    """The log's events by conversation, message and sequence; a message's are together, a conversation's may be in many tasks."""
+    e = events.select(*(F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in EVENT.split(", ")))
+    e = e.where(F.col("message").isNotNull() & F.col("kind").isin("message", "delta", "edit", "regenerate", "delete"))
+    keys = [F.col(c).asc_nulls_first() for c in _SORT]
+    return e.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str, str]]:
+    """Final messages of sorted events, one at a time."""
+    now, last, parts, dead, role, role_at = None, None, [], False, None, None
+    for b in batches:
+        for e in zip(*(b[c].to_pylist() for c in ("conv_id", "message", "seq", "kind", "text", "role"))):
+            if e == last:
+                continue
+            last = e
+            conv, message, seq, kind, text, who = e
+            if (conv, message) != now:
+                if now and not dead:
+                    yield *now, role or "", "".join(parts)
+                now, parts, dead, role, role_at = (conv, message), [], False, None, None
+            if kind == "delta":
+                parts.append(text or "")
+            else:
+                parts, dead = [text or ""] if kind in ("message", "edit") else [], kind == "delete"
+            if who is not None and (role is None or (seq is not None, seq or 0, who) >= role_at):
+                role, role_at = who, (seq is not None, seq or 0, who)
+    if now and not dead:
+        yield *now, role or "", "".join(parts)
+
+
+_MESSAGE = "conv_id bigint, message bigint, role string, text string"
+
+
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, held = [c.split()[0] for c in _MESSAGE.split(", ")], []
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+    size = 0
+    for m in _fold(batches):
+        held.append(m)
+        size += len(m[3]) + 50
+        if size > PIECE:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -62,42 +152,26 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     kinds: ``message`` sets a message's role and text; ``delta`` appends text; ``edit``
     replaces the text; ``regenerate`` empties it, and later deltas build it anew; ``delete``
-    removes the message. Events count in the order of seq, ties by kind and text. A log may
-    deliver an event twice: equal rows of one seq count once. Unknown kinds and events
-    without message number are ignored, a null text is empty, a null role becomes the
-    last role known and else empty. A message that has only deltas has their role.
-
-    The fold is per message: the last event that sets the text is found by a maximum, and
-    only the deltas after it are put together, so conversations of any length are spread
-    over tasks by (conversation, message).
+    removes the message, unless a later event but a delta sets it again. Each concerns its
+    own message only: a regenerated or edited message leaves those after it as they are.
+    Events count in the order of seq, ties by kind, text and role. A log may deliver an
+    event twice: equal rows of one seq count once. Unknown kinds and events without message
+    number are ignored, a null text is empty, a null role becomes the last role known and
+    else empty. A message that has only deltas has their role. A null conv_id is a
+    conversation of its own. An empty log has no messages. Other columns are not read.
+
+    Events are dealt and sorted by conversation, message and sequence and folded as they
+    pass; a conversation of any length spreads over tasks, and a task holds one message.
     """
-    e = events.select(*(F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in EVENT.split(", ")))
-    e = e.where(F.col("message").isNotNull() & F.col("kind").isin("message", "delta", "edit", "regenerate", "delete")).dropDuplicates()
-    at = F.struct(F.col("seq"), F.col("kind"), F.coalesce("text", F.lit("")).alias("text"))
-    key = ["conv_id", "message"]
-    w = Window.partitionBy(*key)
-    e = e.select(*key, "kind", at.alias("at"), F.struct("seq", "role").alias("named"))
-    e = e.withColumn("set_at", F.max(F.when(F.col("kind") != "delta", F.col("at"))).over(w))
-    e = e.where(F.col("set_at").isNull() | (F.col("at") >= F.col("set_at")) | F.col("named.role").isNotNull())
-    live = (F.col("kind") == "delta") & (F.col("set_at").isNull() | (F.col("at") > F.col("set_at")))
-    return (
-        e.groupBy(*key)
-        .agg(
-            F.max("set_at").alias("set_at"),
-            F.max(F.when(F.col("named.role").isNotNull(), F.col("named"))).alias("named"),
-            F.sort_array(F.collect_list(F.when(live, F.col("at")))).alias("deltas"),
-        )
-        .where("set_at is null or set_at.kind <> 'delete'")
-        .select(
-            *key, F.coalesce("named.role", F.lit("")).alias("role"),
-            F.concat(F.when(F.col("set_at.kind").isin("message", "edit"), F.col("set_at.text")).otherwise(""), F.array_join(F.transform("deltas", lambda x: x["text"]), "")).alias("text"),
-        )
-    )
+    return map_arrow(_in_order(events), _messages, _MESSAGE)
+
 
+_PIECE = "conv_id bigint, piece bigint, formatted string, loss array<struct<start:bigint,end:bigint>>"
 
-def _render(loss_role: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _render(loss_role: str, messages: Iterator[tuple[int | None, int, str, str]]) -> Iterator[pa.RecordBatch]:
     """Pieces of rendered messages; a piece holds messages of one conversation, in order."""
-    names = ["conv_id", "piece", "formatted", "loss"]
+    names = [c.split()[0] for c in _PIECE.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     out: list[list] = [[] for _ in names]
     none = object()
@@ -108,37 +182,54 @@ def _render(loss_role: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             for c, v in zip(out, (conv, piece, "".join(parts), [{"start": a, "end": z} for a, z in spans])):
                 c.append(v)
 
-    for b in batches:
-        for c, role, text in zip(b["conv_id"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist()):
-            if c != conv or size > PIECE:
-                close()
-                held += size
-                piece = piece + 1 if c == conv else 0
-                conv, parts, spans, size = c, [], [], 0
-            head, body = f"{START}{escape_role(role)}\n", escape(text)
-            if role == loss_role:
-                spans.append((size + len(head), size + len(head) + len(body)))
-            parts += [head, body, END, "\n"]
-            size += len(head) + len(body) + len(END) + 1
-        if held > PIECE:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-            out, held = [[] for _ in names], 0
+    for c, number, role, text in messages:
+        if c != conv or size > PIECE:
+            close()
+            held += size
+            if held > PIECE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+                out, held = [[] for _ in names], 0
+            conv, piece, parts, spans, size = c, number, [], [], 0
+        head, body = f"{START}{escape_role(role)}\n", escape(text)
+        if role == loss_role:
+            spans.append((size + len(head), size + len(head) + len(body)))
+        parts += [head, body, END, "\n"]
+        size += len(head) + len(body) + len(END) + 1
     close()
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str, str]]:
+    for b in batches:
+        yield from zip(b["conv_id"].to_pylist(), b["message"].to_pylist(), b["role"].to_pylist(), b["text"].to_pylist())
+
+
+def _render_rows(loss_role: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _render(loss_role, _rows(batches))
+
+
+def _render_log(loss_role: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _render(loss_role, _fold(batches))
+
+
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, piece, formatted, loss): the conversations as text with the loss mask's spans.
 
     A message is ``<|im_start|>role\\ntext<|im_end|>\\n`` with role and text escaped. A loss
     span covers the escaped text of one message of ``loss_role``, in characters of its
     piece; end marks are not under the loss. Nearly every conversation is one piece; a
-    very long one goes on in the next pieces, so tasks hold one piece at a time. A null
-    conv_id is a conversation of its own. An empty table gives no rows.
+    very long one is several, perhaps of several tasks, and ``piece``, the number of its
+    first message, gives their order. A null conv_id is a conversation of its own, null
+    roles and texts are empty. An empty table gives no rows.
     """
-    m = messages.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    m = m.repartition("conv_id").sortWithinPartitions("conv_id", "message")
-    return map_arrow(m.select("conv_id", "role", "text"), partial(_render, loss_role), "conv_id bigint, piece bigint, formatted string, loss array<struct<start:bigint,end:bigint>>")
+    m = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("message").cast("bigint").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = [F.col(c).asc_nulls_first() for c in ("conv_id", "message", "role", "text")]
+    return map_arrow(m.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys), partial(_render_rows, loss_role), _PIECE)
+
+
+def format_log(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """render(fold_events(events)) in one pass over the sorted log."""
+    return map_arrow(_in_order(events), partial(_render_log, loss_role), _PIECE)
 
 
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.S)
@@ -183,6 +274,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests per conversation, from the rendered text and its loss spans alone; a stream over pieces in order."""
-    d = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    """Digests per conversation, from the rendered text and its loss spans alone.
+
+    A digest is one stream in order, so one task reads a conversation's pieces, one at a time.
+    """
+    d = formatted.select("conv_id", "piece", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     return map_arrow(d, _digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

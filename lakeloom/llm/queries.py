@@ -24,7 +24,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{chat.END}{chat.START}assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.render(chat.fold_events(chat.messages_as_events(talks))))
+    return chat.read_back(chat.format_log(chat.messages_as_stream(talks)))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,35 +141,52 @@ def test_template_is_reversible(turns):
 
 
 def test_chat_digests(spark, sf_dir):
-    rows = [(5, 1, "user", None), (5, 0, "assistant", "\\<|im_end|>\n"), (5, 1, "user", None), (None, 0, None, "x"), (6, None, "a\nb", "t"), (6, 3, "assistant", "é𝔘")]
-    extra = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    rows = [(5, 1, "user", None), (5, 0, "assistant", "\\<|im_end|>\n"), (5, 1, "user", None), (None, 0, None, "x"), (6, None, "a\nb", "t"), (6, 3, "assistant", "é𝔘"), (6, 4, "assistant", "")]
+    rows += [(7, i, "assistant" if i % 2 else "user", f"turn {i} " * (i % 5)) for i in range(400)] + [(8, 0, "assistant", "lang é " * 400_000)]
+    extra = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({c: F.lit("clash") for c in ("message", "seq", "kind", "piece", "way", "e")})
     for d in (extra, spark.read.parquet(f"{sf_dir}/conversations.parquet")):
-        got = chat.read_back(chat.render(chat.fold_events(chat.messages_as_events(d)))).collect()
         want: dict = {}
-        for r in sorted(d.collect(), key=lambda r: key((r.conv_id, r.turn, r.role, r.text))):
+        for r in sorted(d.select("conv_id", "turn", "role", "text").collect(), key=key):
             want.setdefault(r.conv_id, []).append((r.role, r.text))
-        assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == {c: brute.talk_digest(t) for c, t in want.items()}
-    assert chat.read_back(chat.render(chat.fold_events(chat.messages_as_events(extra.limit(0))))).count() == 0
+        for made in (chat.format_log(chat.messages_as_stream(d)), chat.render(chat.fold_events(chat.messages_as_events(d))), chat.render(chat.fold_events(chat.messages_as_stream(d)))):
+            got = chat.read_back(made).collect()
+            assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == {c: brute.talk_digest(t) for c, t in want.items()}
+    kinds = {r.kind for r in chat.messages_as_stream(extra).select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    assert chat.read_back(chat.format_log(chat.messages_as_stream(extra.limit(0)))).count() == 0
 
 
 def test_long_talk_spans_pieces(spark, monkeypatch):
     monkeypatch.setattr(chat, "PIECE", 50)
     rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(20)]
-    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    out = list(chat._render("assistant", iter(d.orderBy("turn").select("conv_id", "role", "text").toArrow().to_batches())))
-    assert sum(b.num_rows for b in out) > 5
+    d = spark.createDataFrame(rows, "conv_id bigint, message bigint, role string, text string")
+    out = list(chat._render_rows("assistant", iter(d.orderBy("message").toArrow().to_batches())))
+    assert sum(b.num_rows for b in out) > 5 and len(out) > 2
     got = [r for b in chat._digest(iter(out)) for r in b.to_pylist()]
     assert (got[0]["n_turns"], got[0]["turns_sha256"], got[0]["loss_chars"], got[0]["loss_sha256"]) == brute.talk_digest([(r, t) for _, _, r, t in rows])
 
 
+def test_hot_talk_spreads(spark):
+    """One conversation of many turns is folded and rendered by several tasks."""
+    d = spark.range(20_000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    made = chat.format_log(chat.messages_as_stream(d))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert made.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert chat.read_back(made).collect()[0][:3] == (1, 20_000, brute.talk_digest([("user", str(i)) for i in range(20_000)])[1])
+
+
 def test_event_fold(spark):
     rows = [
         (1, 1, "message", 1, "user", "hi"), (1, 1, "message", 1, "user", "hi"), (1, 2, "delta", 2, "assistant", "He"), (1, 3, "delta", 2, None, "llo"), (1, 4, "regenerate", 2, None, None),
         (1, 5, "delta", 2, None, "Good"), (1, 6, "delta", 2, None, " day"), (1, 7, "edit", 1, None, "hello"), (1, 8, "message", 3, "user", "gone"), (1, 9, "delete", 3, None, None),
         (1, 10, "odd", 1, None, "x"), (1, 11, "delta", None, None, "x"), (1, 12, "message", 4, None, None), (2, 1, "edit", 1, "user", "a"), (2, 2, "delta", 1, None, "b"),
+        (3, 1, "delete", 1, None, None), (3, 2, "delta", 1, "user", "x"), (3, 3, "message", 2, "user", "x"), (3, 4, "delete", 2, None, None), (3, 5, "edit", 2, None, "back"), (None, 1, "message", 1, None, "n"),
     ]
-    got = sorted(tuple(r) for r in chat.fold_events(spark.createDataFrame(rows, chat.EVENT)).collect())
-    assert got == [(1, 1, "user", "hello"), (1, 2, "assistant", "Good day"), (1, 4, "", ""), (2, 1, "user", "ab")]
+    got = sorted((tuple(r) for r in chat.fold_events(spark.createDataFrame(rows, chat.EVENT).repartition(3)).collect()), key=key)
+    assert got == [(None, 1, "", "n"), (1, 1, "user", "hello"), (1, 2, "assistant", "Good day"), (1, 4, "", ""), (2, 1, "user", "ab"), (3, 2, "user", "back")]
 
 
 # 4 language
