@@ -23,9 +23,9 @@ from lakeloom.llm.common import fresh, map_arrow
 
 UNKNOWN = "und"
 #: Characters of texts parsed together, about; it bounds a task's memory.
-PIECE = 1_000_000
+PIECE = 2_000_000
 #: Texts are stepped together while they are at least so many, counted per language; the longest few go on one by one.
-TOGETHER = 160
+TOGETHER = 80
 #: Symbols of unseen text that calibration needs.
 CALIBRATE = 500
 #: Symbols: 0 for a run of non-letters, 1 for letters that no sample has, then the samples' letters.
@@ -170,12 +170,12 @@ class Parser:
                     counts[c] = counts.get(c, 0) + 1
         letters = sorted(counts, key=lambda c: (-counts[c], c))
         self.alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.classes = self.alpha.astype(np.int32) * _OTHER
+        self.width = len(letters) + _FIRST
+        self.classes = self.alpha.astype(np.uint16 if self.width < 1 << 16 else np.int32) * _OTHER
         for k, c in enumerate(letters):
             for form in {c, c.upper()}:
                 if len(form) == 1:
                     self.classes[ord(form)] = k + _FIRST
-        self.width = len(letters) + _FIRST
         owners, targets, starts, self.start, self.bits, base = [], [], [], [], [], 0
         for lang in self.langs:
             symbols = self.symbols([samples.texts[lang]])[0]
