@@ -11,7 +11,6 @@ each), so readers can fetch records in any order.
 from __future__ import annotations
 
 import json
-import os
 import re
 import struct
 import zlib
@@ -20,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +56,40 @@ def read_frame(f) -> bytes | None:
     return body[:n]
 
 
+class WholeEncoder:
+    """Encodes whole texts with a vocabulary of the tokenizers library, whatever its rules."""
+
+    def __init__(self, lib):
+        self.lib, self.wide = lib, lib.get_vocab_size() > 65_536
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.array(self.lib.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+
+
+#: Fixed rules of the vocabulary that WordEncoder knows, as its file states them.
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether a vocabulary file has the rules that WordEncoder relies on, and no added token but marked ones."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    plain = all(t["special"] and t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in rules["added_tokens"])
+    return plain and rules["model"]["type"] == "BPE" and all(rules.get(k) == v for k, v in _WORD_RULES.items())
+
+
 class WordEncoder:
-    """Encodes with a vocabulary of the tokenizers library, remembering words.
+    """Encodes with a vocabulary that splits_at_spaces(), remembering words.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those
     of its words in turn. Plain Latin words are split into runs as the vocabulary's own
@@ -69,11 +101,9 @@ class WordEncoder:
     _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ɏ]+")
     _RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^0-9a-zÀ-ÖØ-öø-ɏ]+")
 
-    def __init__(self, path: str, room: int = 1_500_000):
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.room, self.wide = room, self.lib.get_vocab_size() > 65_536
+    def __init__(self, lib, room: int = 1_500_000):
+        self.lib = lib
+        self.room, self.wide = room, lib.get_vocab_size() > 65_536
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in letters]
         #: bytes as the printable characters that byte-level vocabularies use
@@ -128,51 +158,68 @@ class WordEncoder:
         return out
 
 
-_OPEN: dict[str, WordEncoder] = {}
+_OPEN: dict[str, WordEncoder | WholeEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> WordEncoder | WholeEncoder:
+    """The encoder of a vocabulary file, once per Python worker."""
     if path not in _OPEN:
-        _OPEN[path] = WordEncoder(path)
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(path)
+        _OPEN[path] = WordEncoder(lib) if splits_at_spaces(path) else WholeEncoder(lib)
     return _OPEN[path]
 
 
-def _local(path: str) -> str:
-    """The mounted path of a file: URI; other stores need a mount."""
-    if re.match(r"(?!file:)[a-z0-9+.-]+://", path):
-        raise ValueError(f"{path}: record files need a shared folder that is mounted on all executors")
-    return re.sub(r"^file:(//)?", "", path)
+#: Hadoop's names of stores, and the ones that Arrow's file systems have for them.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
+
+
+def store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, as a task opens it without a JVM, and the path in it.
+
+    Arrow has local files, HDFS and the large object stores; credentials come from where
+    those clients look for them. Another scheme raises.
+    """
+    scheme, sep, rest = path.partition(":")
+    if not sep or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), re.sub(r"^//[^/]*", "", rest) or "/"
+    return pafs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + sep + rest)
 
 
 def _typed(wide: bool) -> str:
     return "<u4" if wide else "<u2"
 
 
-def _write(where: str, path: str, vocabulary: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One file of a task's documents, in their order."""
+_MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def _write(path: str, vocabulary: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One file of a task's documents, in their order, and its index, under names of this attempt."""
     from pyspark import TaskContext
 
-    enc, task = word_encoder(vocabulary), TaskContext.get()
+    enc, task = encoder(vocabulary), TaskContext.get()
     data = index = None
     docs_n = tokens_n = offset = 0
-    name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
+    name = f"{path}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
+    fs, at = store(name)
     for b in batches:
         ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
         for i, x in zip(ids, enc.encode(texts)):
             if data is None:
-                os.makedirs(where, exist_ok=True)
-                data, index = open(f"{where}/.{name}.records", "wb"), open(f"{where}/.{name}.index", "wb")
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                data, index = fs.open_output_stream(f"{at}.records", buffer_size=1 << 20), fs.open_output_stream(f"{at}.index", buffer_size=1 << 16)
                 offset = data.write(frame(json.dumps({"wide": enc.wide, "end": end_id}).encode()))
             index.write(struct.pack("<Q", offset))
             body = np.append(x, np.uint32(end_id)).astype(_typed(enc.wide)).tobytes()
             offset += data.write(frame(_ID.pack(i or 0, i is None) + body))
             docs_n, tokens_n = docs_n + 1, tokens_n + len(x) + 1
     if data is not None:
-        for f in (data, index):
-            f.close()
-        for end in ("records", "index"):
-            os.replace(f"{where}/.{name}.{end}", f"{where}/{name}.{end}")
-        yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": f"{path}/{name}.records", "n_docs": docs_n, "n_tokens": tokens_n}], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        data.close()
+        index.close()
+        yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": f"{name}.records", "n_docs": docs_n, "n_tokens": tokens_n}], _MANIFEST)
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> DataFrame:
@@ -180,16 +227,15 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2)
 
     Returns a manifest, one row per file in order: file, start (ids in earlier files),
     n_docs, n_tokens; it has as many rows as there are files. Each task
-    writes its range of ids under a name of its own attempt and renames it when complete,
-    so a task that runs again leaves whole files only; the manifest names those to read.
-    Null text is empty; every document ends in ``end_id``. A null doc_id comes first and
+    writes its range of ids under a name of its own attempt, so one that runs again spoils
+    nothing; the manifest names the files that are complete. ``path`` may be in any store
+    that store() opens. The ids are those of the tokenizers library, whatever ``vocabulary``
+    holds: words are remembered only for files whose rules are known. Null text is empty; every document ends in ``end_id``. A null doc_id comes first and
     stays null; equal doc_ids are ordered by text. An empty table writes no file.
     """
-    where = _local(path)
-
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = sorted(map(tuple, map_arrow(d, partial(_write, where, path, vocabulary, end_id), "shard int, file string, n_docs bigint, n_tokens bigint").collect()))
+    rows = sorted(map(tuple, map_arrow(d, partial(_write, path, vocabulary, end_id), "shard int, file string, n_docs bigint, n_tokens bigint").collect()))
     starts = np.cumsum([0] + [r[3] for r in rows])
     files = [(r[1], int(s), r[2], r[3]) for r, s in zip(rows, starts)]
     return docs.sparkSession.createDataFrame(files, "file string, start bigint, n_docs bigint, n_tokens bigint").repartition(max(1, len(files)))
@@ -201,7 +247,8 @@ def _read(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for b in batches:
         for file, start in zip(b["file"].to_pylist(), b["start"].to_pylist()):
             out, held = [[] for _ in names], 0
-            with open(_local(file), "rb") as f:
+            fs, at = store(file)
+            with fs.open_input_stream(at, buffer_size=1 << 20) as f:
                 wide = json.loads(read_frame(f))["wide"]
                 while (p := read_frame(f)) is not None:
                     i, null = _ID.unpack_from(p)
@@ -227,12 +274,13 @@ def read_records(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
 
 def read_record(file: str, index: int) -> tuple[int | None, np.ndarray]:
     """One record by its place in the file, found through the offset index."""
-    with open(re.sub(r"\.records$", ".index", _local(file)), "rb") as f:
+    fs, at = store(file)
+    with fs.open_input_file(re.sub(r"\.records$", ".index", at)) as f:
         f.seek(8 * index)
-        at = struct.unpack("<Q", f.read(8))[0]
-    with open(_local(file), "rb") as f:
+        offset = struct.unpack("<Q", f.read(8))[0]
+    with fs.open_input_file(at) as f:
         wide = json.loads(read_frame(f))["wide"]
-        f.seek(at)
+        f.seek(offset)
         p = read_frame(f)
     i, null = _ID.unpack_from(p)
     return (None if null else i), np.frombuffer(p, _typed(wide), offset=_ID.size).astype(np.int64)

@@ -6,6 +6,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -421,10 +422,33 @@ def test_records_equal_the_library(spark, documents, awkward, empty):
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("it's 'LL don't 're<|endoftext|>Éß İΣς ﬁ²½\u0301\xa0\x1c")), max_size=40))
 @settings(max_examples=400, deadline=None)
 def test_words_encode_as_texts(text):
-    e = token_records.word_encoder(token_records.default_vocabulary())
+    e = token_records.encoder(token_records.default_vocabulary())
+    assert isinstance(e, token_records.WordEncoder)
     assert e.encode([text])[0].tolist() == e.lib.encode(text, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_are_encoded_whole(spark, documents):
+    """A file with other rules is encoded by the library; ids above two bytes take four."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    assert not token_records.splits_at_spaces(path)
+    some = documents.limit(20).cache()
+    got = {r.doc_id: r.ids for r in token_records.read_records(token_records.write_records(some, token_records.record_path(spark), path)).collect()}
+    assert got == {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 2] for r in some.collect()}
+
+
+def test_stores(tmp_path):
+    for given in (f"{tmp_path}/a", f"file:{tmp_path}/a", f"file://{tmp_path}/a"):
+        fs, at = token_records.store(given)
+        assert fs.type_name == "local" and at == f"{tmp_path}/a"
+    assert token_records.store("mock:///x/y")[0].type_name == "mock"
+    with pytest.raises(pa.ArrowException):
+        token_records.store("odd://x/y")
+
+
 def test_damage_is_noticed(tmp_path):
     good = token_records.frame(b"hello")
     for i in range(len(good)):
