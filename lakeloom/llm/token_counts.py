@@ -74,7 +74,7 @@ def limit_table(hist: DataFrame, width: int = 1024) -> DataFrame:
     task has to see the whole histogram. It is written once, as it is read twice here. An
     empty histogram gives no rows.
     """
-    h = hist.select(F.col("n_tokens").cast("bigint"), F.col("n_docs").cast("bigint"), F.floor(F.col("n_tokens") / width).alias("r"))
+    h = cut(hist, "histogram").select(F.col("n_tokens").cast("bigint"), F.col("n_docs").cast("bigint"), F.floor(F.col("n_tokens") / width).alias("r"))
     h = h.withColumn("t", F.col("n_tokens") * F.col("n_docs"))
     upward = Window.orderBy(F.col("r").desc())
     over = lambda c, w: F.sum(c).over(w) - F.col(c)
