@@ -8,7 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _replace(c: Column, pairs: list[tuple[str, str]]) -> Column:
+#: What replaces what in a term code and in a payment code, in this order.
+TERM_WORDS = (("7D", "1 tuần"), ("14D", "2 tuần"), ("21D", "3 tuần"), ("D", " ngày"), ("M", " tháng"), ("Y", " năm"))
+PAYMENT_WORDS = (("D", " ngày"), ("T", " tháng"))
+#: Days of a term's unit, asked in this order, and of any other; the text for no payment code.
+TERM_DAYS = (("D", 1), ("W", 7), ("M", 30))
+OTHER_TERM_DAYS = 365
+AT_THE_END = "cuối kỳ"
+
+
+def _replace(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     for a, b in pairs:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
@@ -16,22 +25,28 @@ def _replace(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def term_name(term: Column) -> Column:
     """Vietnamese name of a term code; replacements run in order, so 17D becomes 11 weeks as in the tables served so far."""
-    return _replace(term, [("7D", "1 tuần"), ("14D", "2 tuần"), ("21D", "3 tuần"), ("D", " ngày"), ("M", " tháng"), ("Y", " năm")])
+    return _replace(term, TERM_WORDS)
 
 
 def term_days(term: Column) -> Column:
     """Days of a term code: digits times 1, 7, 30 or 365."""
-    unit = F.when(F.instr(term, "D") > 0, 1).when(F.instr(term, "W") > 0, 7).when(F.instr(term, "M") > 0, 30).otherwise(365)
+    unit = F.lit(OTHER_TERM_DAYS)
+    for letter, days in reversed(TERM_DAYS):
+        unit = F.when(F.instr(term, letter) > 0, days).otherwise(unit)
     return F.regexp_replace(term, "[^0-9]", "").cast("int") * unit
 
 
 def interest_frequency(freq: Column) -> Column:
-    return F.coalesce(_replace(freq, [("D", " ngày"), ("T", " tháng")]), F.lit("cuối kỳ"))
+    return F.coalesce(_replace(freq, PAYMENT_WORDS), F.lit(AT_THE_END))
 
 
 def plain_number(x: Column) -> Column:
-    """A double as text without a trailing .0; for absolute values under 1e7."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """A double's shortest digits without a trailing .0, and without an exponent from 0.0001 to 1e16."""
+    size = F.abs(x)
+    # the engine writes an exponent outside of 0.001 to 1e7
+    long = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    digits = F.when(long, F.rtrim(x.cast("decimal(38,18)").cast("string"), F.lit("0"))).otherwise(F.regexp_replace(x.cast("string"), r"0$", ""))
+    return F.when(long | x.cast("string").endswith(".0"), F.regexp_replace(digits, r"\.$", "")).otherwise(x.cast("string"))
 
 
 def yearly_rate(rate: Column) -> Column:

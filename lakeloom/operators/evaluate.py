@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def auc(df: DataFrame, label: str, score: str, ranges: int = 256) -> DataFrame:
     """One row: exact area under the ROC curve, ties counted half; null without both classes.
 
-    Distinct scores are counted first; sums below a score run inside ranges of the score and
-    then over the ranges, so scores are never sorted in one task.
+    Distinct scores are counted first; sums below a score run inside ranges between
+    approximate quantiles of the distinct scores and then over the ranges, so scores are
+    never sorted in one task, however they crowd.
     """
     s = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("p"), F.sum((F.col(label) != 1).cast("bigint")).alias("n"))
-    span = s.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    s = s.crossJoin(F.broadcast(span)).withColumn("r", F.coalesce(F.floor(F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")) * ranges), F.lit(0)))
+    edges = s.agg(F.array_distinct(F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 10_000)).alias("edges"))
+    s = s.crossJoin(F.broadcast(edges)).withColumn("r", F.size(F.filter("edges", lambda e: e < F.col("s")))).drop("edges")
     tot = s.groupBy("r").agg(F.sum("n").alias("rn"))
     tot = tot.select("r", (F.sum("rn").over(Window.orderBy("r")) - F.col("rn")).alias("before"))
     below = F.sum("n").over(Window.partitionBy("r").orderBy("s")) - F.col("n")

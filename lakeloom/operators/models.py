@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.operators.prep import fit_scaler, median_impute, standardize
+from lakeloom.operators.prep import constant_impute, fit_scaler, median_impute, standardize, target_encode
 from lakeloom.operators.ranking import exact_medians
+from lakeloom.scratch import cut
 
 
 @dataclass(frozen=True)
@@ -65,25 +66,59 @@ def pca_variance(df: DataFrame, max_components: int = 3) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, ratio double, cumulative double, used boolean")
 
 
-def fit_pca(df: DataFrame, max_components: int = 3):
+def fit_pca(df: DataFrame, max_components: int = 3) -> PCAModel:
     """A PCA model of as many components as the variance rule asks for."""
-    first = PCA(k=max_components, inputCol="features", outputCol="components").fit(df)
-    k = component_count([float(x) for x in first.explainedVariance])
-    return PCA(k=k, inputCol="features", outputCol="components").fit(df)
+    k = min(max_components, len(df.first()["features"]))
+    first = PCA(k=k, inputCol="features", outputCol="components").fit(df)
+    need = component_count([float(x) for x in first.explainedVariance])
+    return first if need == k else PCA(k=need, inputCol="features", outputCol="components").fit(df)
 
 
-def balanced(df: DataFrame, label: str) -> DataFrame:
-    """df with ``weight``: rows over twice the rows of the class."""
+@dataclass(frozen=True)
+class Blocks:
+    """A fitted input of models: prepared numbers, perhaps as principal components, and encoded categories."""
+
+    numeric: Preparation
+    pca: PCAModel | None
+    encodings: dict[str, DataFrame]
+    mean: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """df with the vector ``features``; a category not seen in training has the mean of all."""
+        d = self.numeric.transform(df)
+        parts = ["features"]
+        if self.pca is not None:
+            d, parts = self.pca.transform(d), ["components"]
+        for c, e in self.encodings.items():
+            seen = e.select(F.col(c).alias("_value"), F.col("encoded").alias(f"_{c}"))
+            d = d.join(seen, F.coalesce(F.col(c), F.lit("missing")) == F.col("_value"), "left").drop("_value").fillna(self.mean, [f"_{c}"])
+            parts.append(f"_{c}")
+        if parts != ["features"]:
+            d = VectorAssembler(inputCols=parts, outputCol="_all").transform(d)
+            d = d.drop("features", *parts).withColumnRenamed("_all", "features")
+        return d
+
+
+def fit_blocks(train: DataFrame, numeric: list[str], categorical: list[str] = (), label: str = "label", components: int | None = None) -> Blocks:
+    """Numbers imputed and scaled, and with ``components`` reduced to at most so many; nulls of categories become a value, and values their encoded mean."""
+    p = fit_preparation(train, numeric)
+    pca = fit_pca(p.transform(train), components) if components else None
+    e = {c: cut(target_encode(constant_impute(train, [c]), c, label), "encoding") for c in categorical}
+    return Blocks(p, pca, e, float(train.agg(F.avg(label)).first()[0] or 0.0) if categorical else 0.0)
+
+
+def balanced(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """df with ``weight``: rows over twice the rows of the class; and how many rows."""
     c = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("p")).first()
     n, p = c.n, c.p or 0
-    return df.withColumn("weight", F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1))))
+    return df.withColumn("weight", F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1)))), n
 
 
 def fit_logistic(df: DataFrame, label: str, c: float = 1.0, features: str = "features") -> PipelineModel:
     """L2 logistic regression with balanced weights; their sum is the number of rows."""
-    n = df.count()
+    weighted, n = balanced(df, label)
     lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * max(n, 1)), maxIter=1000)
-    return Pipeline(stages=[lr]).fit(balanced(df, label))
+    return Pipeline(stages=[lr]).fit(weighted)
 
 
 def fit_boosted(df: DataFrame, label: str, trees: int = 100, features: str = "features") -> PipelineModel:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.scratch import cut
+
 #: Value ranges that a global ranking is split into.
 RANGES = 64
 
@@ -57,6 +59,22 @@ def long_ranks(df: DataFrame, features: list[str], key: str, keep: list[str]) ->
     return d.select("f", (F.col("_before") + F.col("_own")).cast("bigint").alias("rn"), *keep), {c: row[f"n{i}"] for i, c in enumerate(features)}
 
 
+def with_next(df: DataFrame, order: list[str], cols: dict[str, str]) -> DataFrame:
+    """df with values of the next row in the whole order, nulls last: ``cols`` maps a column to its new name; null at the end.
+
+    Rows are sorted in ranges, and each range is looked over on its own; only the last row
+    of a range needs the first one of the next, and there are as many of those as ranges.
+    """
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    d = cut(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_range").orderBy(*keys)
+    first = d.select("_range", F.struct(*cols).alias("_first"), F.row_number().over(w).alias("_n")).where("_n = 1")
+    after = first.select((F.lag("_range").over(Window.orderBy("_range"))).alias("_range"), "_first").where("_range is not null")
+    d = d.withColumn("_next", F.lead(F.struct(*cols)).over(w)).join(F.broadcast(after), "_range", "left")
+    following = F.coalesce("_next", "_first")
+    return d.select(*df.columns, *(following[c].alias(new) for c, new in cols.items()))
+
+
 def quantile_bucket(rn: Column, n: Column, q: int | Column) -> Column:
     """Bucket 1..q of place rn among n, by the edges 1 + (j/q)(n-1) of a quantile cut over ranks.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text as T
+from lakeloom.operators.ranking import with_next
 from lakeloom.operators.relational import distinct_on
 
 PERSONAL = "CN"
@@ -19,6 +20,10 @@ PERSONAL_CODES = ("524", "528", "506", "401", "TDE", "529", "502", "526", "FFD")
 BUSINESS_CODES = ("588", "TMS", "FBM")
 ONLINE_CODES = ("524", "528", "506", "401", "588")
 COUNTER_CODES = ("TDE", "529", "502", "526", "FFD", "TMS", "FBM")
+CLIENTS = ("cá nhân", "doanh nghiệp")
+PLACES = ("trực tuyến", "tại quầy")
+HOME_NAMES = {"524": "trực tuyến", "TMS": "có kỳ hạn"}
+FOREIGN = "ngoại tệ"
 NAMES = {"528": "iDepo", "506": "mục tiêu", "401": "tự động", "TDE": "có kỳ hạn", "529": "iDepo", "502": "gửi góp", "526": "lãi đầu kỳ", "FFD": "linh hoạt", "588": "có kỳ hạn", "FBM": "linh hoạt"}
 
 
@@ -65,17 +70,19 @@ def expand_products(products: str, channels: str = "ONLINE, COUNTER", client: st
 
 
 def _name(product: Column, ccy: Column) -> Column:
-    foreign = lambda home: F.when(ccy == "VND", home).otherwise("ngoại tệ")
-    out = F.when(product == "524", foreign("trực tuyến")).when(product == "TMS", foreign("có kỳ hạn"))
+    out = product
     for code, name in NAMES.items():
-        out = out.when(product == code, name)
-    return out.otherwise(product)
+        out = F.when(product == code, name).otherwise(out)
+    for code, name in HOME_NAMES.items():
+        out = F.when(product == code, F.when(ccy == "VND", name).otherwise(FOREIGN)).otherwise(out)
+    return out
 
 
 def savings_rates(rates: DataFrame, products: list[str] = (), interest: list[str] = (), terms: list[str] = (), currencies: list[str] = ()) -> DataFrame:
     """The savings table as answers show it. Each list filters only if it is not empty.
 
-    Unknown currencies stay only with a positive rate; a null rate in VND goes.
+    Unknown currencies stay only with a positive rate; a null rate in VND goes. Rows come
+    by product, term, payment of interest, balance and id, nulls last.
     """
     d = rates
     for col, wanted in (("product_type", products), ("int_type", interest), ("term", terms), ("ccy", currencies)):
@@ -83,43 +90,51 @@ def savings_rates(rates: DataFrame, products: list[str] = (), interest: list[str
             d = d.where(F.col(col).isin(list(wanted)))
     d = d.where((F.col("ccy") != "VND") | (F.col("actual_rate") > 0))
     p = F.col("product_type")
-    return d.select(
+    d = d.select(
         "id",
-        F.when(p.isin(*PERSONAL_CODES), "cá nhân").when(p.isin(*BUSINESS_CODES), "doanh nghiệp").alias("client_type"),
-        F.when(p.isin(*ONLINE_CODES), "trực tuyến").when(p.isin(*COUNTER_CODES), "tại quầy").alias("saving_type"),
+        F.when(p.isin(*PERSONAL_CODES), CLIENTS[0]).when(p.isin(*BUSINESS_CODES), CLIENTS[1]).alias("client_type"),
+        F.when(p.isin(*ONLINE_CODES), PLACES[0]).when(p.isin(*COUNTER_CODES), PLACES[1]).alias("saving_type"),
         _name(p, F.col("ccy")).alias("product_name"), "product_type", T.term_name(F.col("term")).alias("term_name"), T.term_days(F.col("term")).alias("term_day"),
         T.interest_frequency(F.col("cr_int_freq")).alias("int_freq"), "cr_int_freq", T.yearly_rate(F.col("actual_rate")).alias("full_rate"), "balance", "ccy",
     )
+    return in_answer_order(d)
+
+
+#: The order of savings answers; nulls come last.
+SAVINGS_ORDER = ("product_type", "term_day", "cr_int_freq", "balance", "id")
+
+
+def in_answer_order(answers: DataFrame, order: tuple[str, ...] = SAVINGS_ORDER) -> DataFrame:
+    return answers.orderBy(*(F.col(c).asc_nulls_last() for c in order))
 
 
 def savings_tiers(answers: DataFrame) -> DataFrame:
     """answers with from_amount and to_amount: up to the next row's amount if that has the same currency.
 
-    The next row is the next of the whole ordered answer, across products and terms. An
-    answer is a lookup's few rows; do not apply this to a whole table.
+    The next row is the next of the whole ordered answer, across products and terms.
     """
-    w = Window.orderBy(*(F.col(c).asc_nulls_last() for c in ("product_type", "term_day", "cr_int_freq", "balance", "id")))
-    d = answers.withColumn("from_amount", T.amount(F.col("balance")))
-    same = F.lead("ccy").over(w).eqNullSafe(F.col("ccy")) & F.lead("id").over(w).isNotNull()
-    return d.withColumn("to_amount", F.when(same, F.concat(F.lit("dưới "), F.lead("from_amount").over(w))).otherwise(""))
+    d = with_next(answers.withColumn("from_amount", T.amount(F.col("balance"))), list(SAVINGS_ORDER), {"id": "_id", "ccy": "_ccy", "from_amount": "_amount"})
+    same = F.col("_ccy").eqNullSafe(F.col("ccy")) & F.col("_id").isNotNull()
+    return d.withColumn("to_amount", F.when(same, F.concat(F.lit("dưới "), F.col("_amount"))).otherwise("")).drop("_id", "_ccy", "_amount")
 
 
 def exchange_rates(rates: DataFrame, currencies: list[str], rate_type: str = "", until=None, branch: str = "001") -> DataFrame:
     """ccy, rate_type, effective_date, exchange_type, buying_price, selling_price; one row per (date, ccy, type).
 
     ``until`` keeps every date up to it, not the latest only. Buying prices are for TRS and
-    CA1, selling prices for TRS and CA3.
+    CA1, selling prices for TRS and CA3. Rows come by currency and type, nulls last.
     """
     d = rates.where(F.col("ccy").isin(currencies) & F.col("rate_type").isin("CA1", "CA3", "TRS") & (F.col("branch") == branch) & F.col("rate_type").like(f"{rate_type}%"))
     if until is not None:
         d = d.where(F.col("effective_date") <= until)
     d = distinct_on(d, ["effective_date", "ccy", "rate_type"], ["last_change"])
     t = F.col("rate_type")
-    return d.select(
+    d = d.select(
         "ccy", "rate_type", "effective_date", F.when(t == "TRS", "transfer").otherwise("cash").alias("exchange_type"),
         F.when(t.isin("TRS", "CA1"), F.concat(F.col("buy_rate").cast("string"), F.lit(" VND"))).alias("buying_price"),
         F.when(t.isin("TRS", "CA3"), F.concat(F.col("sell_rate").cast("string"), F.lit(" VND"))).alias("selling_price"),
     )
+    return in_answer_order(d, ("ccy", "rate_type", "effective_date"))
 
 
 def cross_rate(rates: DataFrame, from_ccy: str, to_ccy: str) -> DataFrame:

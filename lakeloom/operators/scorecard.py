@@ -4,56 +4,67 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.ranking import exact_medians, long_ranks, quantile_bucket
+from lakeloom.scratch import cut
 
 NUMERIC = ["recency_days", "frequency", "monetary", "avg_amount", "qty_mean", "channels", "tenure_days"]
 
 
-def _latest(tx: DataFrame) -> DataFrame:
-    """One row: the last purchase of all."""
-    return tx.agg(F.max("purchase_datetime").alias("_last"))
-
-
-def whole_days(a, b):
+def whole_days(a: Column, b: Column) -> Column:
     """Whole 24-hour periods from a to b, rounded down; a calendar difference would count midnights."""
     return F.timestamp_diff("DAY", a, b)
 
 
+def _per_customer(tx: DataFrame) -> DataFrame:
+    """All that labels and features need of the transactions, in one aggregate, written once."""
+    return cut(
+        tx.groupBy("customer_id").agg(
+            F.max("purchase_datetime").alias("last_purchase"), F.min("purchase_datetime").alias("first_purchase"), F.count(F.lit(1)).alias("frequency"), F.sum("amount").alias("monetary"),
+            F.avg("amount").alias("avg_amount"), F.avg("quantity").alias("qty_mean"), F.size(F.collect_set("channel")).cast("bigint").alias("channels"),
+        ),
+        "customers",
+    )
+
+
+def _labelled(per: DataFrame, days_limit: int) -> DataFrame:
+    """per with _last, days_since_last and label."""
+    # the median is over counts, whose distinct values are few
+    line = per.agg(F.max("last_purchase").alias("_last"), F.median("frequency").alias("_median"))
+    d = per.crossJoin(F.broadcast(line)).withColumn("days_since_last", whole_days(F.col("last_purchase"), F.col("_last")).cast("int"))
+    return d.withColumn("label", ((F.col("days_since_last") < days_limit) & (F.col("frequency") > F.col("_median"))).cast("int"))
+
+
+def _features(d: DataFrame) -> list[Column]:
+    ref = F.col("_last") + F.expr("INTERVAL 1 DAY")
+    days = lambda c: whole_days(F.col(c), ref).cast("int")
+    return [F.col("customer_id"), days("last_purchase").alias("recency_days"), *map(F.col, ("frequency", "monetary", "avg_amount", "qty_mean", "channels", "first_purchase")), days("first_purchase").alias("tenure_days")]
+
+
 def customer_labels(tx: DataFrame, days_limit: int = 60) -> DataFrame:
     """customer_id, last_purchase, total_amount, tx_count, days_since_last, label.
 
     label is 1 if the last purchase is less than ``days_limit`` days before the latest of
     all and the customer has more transactions than the median customer; both strict.
     """
-    per = tx.groupBy("customer_id").agg(F.max("purchase_datetime").alias("last_purchase"), F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("tx_count"))
-    # the median is over counts, whose distinct values are few
-    line = per.agg(F.max("last_purchase").alias("_last"), F.median("tx_count").alias("_median"))
-    d = per.crossJoin(F.broadcast(line)).withColumn("days_since_last", whole_days(F.col("last_purchase"), F.col("_last")).cast("int"))
-    label = ((F.col("days_since_last") < days_limit) & (F.col("tx_count") > F.col("_median"))).cast("int")
-    return d.withColumn("label", label).drop("_last", "_median")
+    per = cut(tx.groupBy("customer_id").agg(F.max("purchase_datetime").alias("last_purchase"), F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("frequency")), "customers")
+    d = _labelled(per, days_limit)
+    return d.select("customer_id", "last_purchase", "total_amount", F.col("frequency").alias("tx_count"), "days_since_last", "label")
 
 
 def rfm_features(tx: DataFrame) -> DataFrame:
     """One aggregation per customer; the first purchase is a minimum in it and needs no join."""
-    per = tx.groupBy("customer_id").agg(
-        F.max("purchase_datetime").alias("_max"), F.count(F.lit(1)).alias("frequency"), F.sum("amount").alias("monetary"), F.avg("amount").alias("avg_amount"),
-        F.avg("quantity").alias("qty_mean"), F.size(F.collect_set("channel")).cast("bigint").alias("channels"), F.min("purchase_datetime").alias("first_purchase"),
-    )
-    ref = F.col("_last") + F.expr("INTERVAL 1 DAY")
-    d = per.crossJoin(F.broadcast(per.agg(F.max("_max").alias("_last"))))
-    return d.select(
-        "customer_id", whole_days(F.col("_max"), ref).cast("int").alias("recency_days"), "frequency", "monetary", "avg_amount", "qty_mean", "channels", "first_purchase",
-        whole_days(F.col("first_purchase"), ref).cast("int").alias("tenure_days"),
-    )
+    per = _per_customer(tx)
+    d = per.crossJoin(F.broadcast(per.agg(F.max("last_purchase").alias("_last"))))
+    return d.select(*_features(d))
 
 
 def features_with_label(tx: DataFrame, days_limit: int = 60) -> DataFrame:
-    """Features and label; a customer without label gets 0."""
-    labels = customer_labels(tx, days_limit).select("customer_id", "label")
-    return rfm_features(tx).join(labels, "customer_id", "left").fillna(0, ["label"])
+    """Features and label, of one aggregate over the transactions: every customer with features has a label."""
+    d = _labelled(_per_customer(tx), days_limit)
+    return d.select(*_features(d), "label")
 
 
 def first_purchase_join(tx: DataFrame) -> DataFrame:

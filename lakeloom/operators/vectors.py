@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.session import ship
@@ -102,6 +102,16 @@ def build_index(docs: DataFrame, key: str, embedding: str, path: str) -> DataFra
     return docs.sparkSession.read.parquet(path)
 
 
+def load_index(spark: SparkSession, path: str, key: str, embedding: str) -> DataFrame:
+    """A stored index; rows without key or vector, vectors that differ in length and repeated keys are an error, found in one pass."""
+    d = spark.read.parquet(path)
+    per = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.size(embedding)).alias("low"), F.max(F.size(embedding)).alias("high"), F.count(embedding).alias("set"))
+    f = per.agg(F.count_if(F.col(key).isNull() | (F.col("set") < F.col("n"))).alias("bare"), F.count_if(F.col("n") > 1).alias("twice"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if f.bare or f.twice or f.low != f.high:
+        raise ValueError(f"{path}: {f.bare} keys or vectors missing, {f.twice} keys repeated, lengths {f.low} to {f.high}")
+    return d
+
+
 def count_mismatch(vectors: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """One row: vectors without document and documents without vector."""
     v, d = vectors.select(key), docs.select(key)

@@ -30,8 +30,7 @@ VIEWS = {
                CASE p.p_partkey % 4 WHEN 0 THEN 'CA1' WHEN 1 THEN 'CA3' WHEN 2 THEN 'TRS' ELSE 'OTH' END AS rate_type,
                CASE p.p_size % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2024-03-01 00:00:00' END AS effective_date,
                p.p_partkey AS last_change, 20000.0 + p.p_partkey AS buy_rate, 20500.5 + p.p_partkey AS sell_rate
-        FROM {part} p JOIN {nation} n ON n.n_nationkey = p.p_partkey % 25
-        WHERE p.p_partkey <= 400""",
+        FROM {part} p JOIN {nation} n ON n.n_nationkey = p.p_partkey % 25""",
     "rates_saving": """
         SELECT p_partkey AS id,
                CASE p_partkey % 12 WHEN 0 THEN '524' WHEN 1 THEN '528' WHEN 2 THEN '506' WHEN 3 THEN '401' WHEN 4 THEN 'TDE' WHEN 5 THEN '529'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lakeloom.functions import arithmetic
@@ -9,6 +11,7 @@ from lakeloom.functions import text as T
 from lakeloom.operators import rates, relational, vectors
 from lakeloom.plans.adapters import frame, sql
 from lakeloom.plans.registry import register
+from lakeloom.scratch import cut, drop_path, scratch
 
 FX, SAVING = sql("rates_fx"), sql("rates_saving")
 _DISTINCT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY effective_date, ccy, rate_type ORDER BY last_change) AS rn FROM {FX} x WHERE branch = '001') WHERE rn = 1)"
@@ -46,19 +49,29 @@ def _(spark, d):
     return rates.cross_rate(_fx(spark, d), "USD", "EUR").withColumn("cross_rate", F.round("cross_rate", 6))
 
 
-def _savings_sql(where: str = "TRUE") -> str:
-    return f"""SELECT id, CASE WHEN product_type IN ('524','528','506','401','TDE','529','502','526','FFD') THEN 'cá nhân' WHEN product_type IN ('588','TMS','FBM') THEN 'doanh nghiệp' END AS client_type,
-        CASE WHEN product_type IN ('524','528','506','401','588') THEN 'trực tuyến' WHEN product_type IN ('TDE','529','502','526','FFD','TMS','FBM') THEN 'tại quầy' END AS saving_type,
-        CASE product_type WHEN '524' THEN CASE ccy WHEN 'VND' THEN 'trực tuyến' ELSE 'ngoại tệ' END WHEN 'TMS' THEN CASE ccy WHEN 'VND' THEN 'có kỳ hạn' ELSE 'ngoại tệ' END
-             WHEN '528' THEN 'iDepo' WHEN '529' THEN 'iDepo' WHEN '506' THEN 'mục tiêu' WHEN '401' THEN 'tự động' WHEN 'TDE' THEN 'có kỳ hạn' WHEN '588' THEN 'có kỳ hạn'
-             WHEN '502' THEN 'gửi góp' WHEN '526' THEN 'lãi đầu kỳ' WHEN 'FFD' THEN 'linh hoạt' WHEN 'FBM' THEN 'linh hoạt' ELSE product_type END AS product_name,
-        product_type, {_TERM_NAME} AS term_name, {_TERM_DAYS} AS term_day, coalesce(replace(replace(cr_int_freq, 'D', ' ngày'), 'T', ' tháng'), 'cuối kỳ') AS int_freq, cr_int_freq,
-        regexp_replace(CAST(actual_rate AS VARCHAR), '\\.0$', '') || '%/năm' AS full_rate, balance, ccy
-        FROM (SELECT * REPLACE (CAST(actual_rate AS DOUBLE) AS actual_rate) FROM {SAVING} z) r WHERE (ccy != 'VND' OR actual_rate > 0) AND {where}"""
+def _replaced(column: str, pairs: tuple[tuple[str, str], ...]) -> str:
+    for old, new in pairs:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+def _listed(codes: tuple[str, ...]) -> str:
+    return "product_type IN (" + ", ".join(f"'{c}'" for c in codes) + ")"
 
 
-_TERM_NAME = "replace(replace(replace(replace(replace(replace(term, '7D', '1 tuần'), '14D', '2 tuần'), '21D', '3 tuần'), 'D', ' ngày'), 'M', ' tháng'), 'Y', ' năm')"
-_TERM_DAYS = "CAST(regexp_replace(term, '[^0-9]', '', 'g') AS INTEGER) * CASE WHEN position('D' IN term) > 0 THEN 1 WHEN position('W' IN term) > 0 THEN 7 WHEN position('M' IN term) > 0 THEN 30 ELSE 365 END"
+_TERM_NAME = _replaced("term", T.TERM_WORDS)
+_TERM_DAYS = "CAST(regexp_replace(term, '[^0-9]', '', 'g') AS INTEGER) * CASE " + " ".join(f"WHEN position('{u}' IN term) > 0 THEN {n}" for u, n in T.TERM_DAYS) + f" ELSE {T.OTHER_TERM_DAYS} END"
+_PRODUCT_NAME = "CASE " + " ".join(
+    [*(f"WHEN product_type = '{c}' AND ccy = 'VND' THEN '{n}' WHEN product_type = '{c}' THEN '{rates.FOREIGN}'" for c, n in rates.HOME_NAMES.items()), *(f"WHEN product_type = '{c}' THEN '{n}'" for c, n in rates.NAMES.items()), "ELSE product_type END"]
+)
+
+
+def _savings_sql(where: str = "TRUE") -> str:
+    return f"""SELECT id, CASE WHEN {_listed(rates.PERSONAL_CODES)} THEN '{rates.CLIENTS[0]}' WHEN {_listed(rates.BUSINESS_CODES)} THEN '{rates.CLIENTS[1]}' END AS client_type,
+        CASE WHEN {_listed(rates.ONLINE_CODES)} THEN '{rates.PLACES[0]}' WHEN {_listed(rates.COUNTER_CODES)} THEN '{rates.PLACES[1]}' END AS saving_type,
+        {_PRODUCT_NAME} AS product_name, product_type, {_TERM_NAME} AS term_name, {_TERM_DAYS} AS term_day,
+        coalesce({_replaced("cr_int_freq", T.PAYMENT_WORDS)}, '{T.AT_THE_END}') AS int_freq, cr_int_freq, regexp_replace(CAST(actual_rate AS VARCHAR), '\\.0$', '') || '%/năm' AS full_rate, balance, ccy
+        FROM (SELECT * REPLACE (CAST(actual_rate AS DOUBLE) AS actual_rate) FROM {SAVING} z) r WHERE (ccy != 'VND' OR actual_rate > 0) AND {where}"""
 
 
 @register("savings_rates", _savings_sql())
@@ -282,3 +295,31 @@ def _(spark, d):
 @register("head_cap", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 100")
 def _(spark, d):
     return relational.head_cap(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), 100, 100, ["c_custkey"])
+
+
+@register("head_cap_wide", "SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM customer) <= 500 OR c_custkey IN (SELECT c_custkey FROM customer ORDER BY 1 LIMIT 200)")
+def _(spark, d):
+    """Over 500 rows the first 200 stay; 500 and fewer all do."""
+    return relational.head_cap(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey"), 500, 200, ["c_custkey"])
+
+
+@register("migrated_settings", f"SELECT id, create_at, update_at, config FROM {OLD} o")
+def _(spark, d):
+    """An empty table is filled, and what comes after that is not taken."""
+    name = f"lakeloom_migrated_{uuid.uuid4().hex}"
+    path = scratch(spark, name)
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, create_at BIGINT, update_at BIGINT, config STRING) USING parquet LOCATION '{path}'")
+    for view in ("settings_old", "settings_new"):
+        relational.migrate_if_empty(spark, frame(spark, d, view), name)
+    kept = cut(spark.table(name), "migrated")
+    spark.sql(f"DROP TABLE {name}")
+    drop_path(spark, path)
+    return kept
+
+
+@register("vec_index_topk", f"SELECT vec_id, round(score, 6) AS score FROM {_TOP5} t")
+def _(spark, d):
+    """The index is built, stored, loaded with its checks and searched."""
+    path = scratch(spark, "index")
+    vectors.build_index(_emb(spark, d), "vec_id", "embedding", path)
+    return vectors.top_k(vectors.load_index(spark, path, "vec_id", "embedding"), "vec_id", "embedding", _query(spark, d), 5).withColumn("score", F.round("score", 6))

@@ -90,6 +90,11 @@ def _(spark, d):
     return scorecard.corr_dropped(features(spark, d), scorecard.NUMERIC, limit=0.5)
 
 
+@register("corr_dropped_at_default", f"SELECT DISTINCT b AS feature FROM ({_corr_sql()}) WHERE r > 0.9")
+def _(spark, d):
+    return scorecard.corr_dropped(features(spark, d), scorecard.NUMERIC)
+
+
 def _bucket_sql(feature: str) -> str:
     return f"""
     SELECT bucket, count(*) AS n, CAST(sum(label) AS BIGINT) AS event FROM (

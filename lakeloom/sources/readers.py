@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from lakeloom.scratch import cut
 
 
 def parquet(spark: SparkSession, path: str, needs: list[str] = ()) -> DataFrame:
@@ -52,12 +54,16 @@ def catalog_tables(spark: SparkSession, system: tuple[str, ...] = ("information_
 
 
 def json_records(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A JSON document or list of records; a missing file gives no rows, corrupt records give nulls that are dropped."""
+    """JSON documents or lists of records. A missing path gives no rows, and a file with anything corrupt in it gives none either."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    wanted = spark.createDataFrame([], schema).schema
+    bad, file = "_corrupt_record", "_file"
+    d = spark.read.schema(StructType([*wanted.fields, StructField(bad, StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", bad).json(path)
+    d = cut(d.withColumn(file, F.input_file_name()), "parsed")  # what was corrupt is known only of rows that were parsed and kept
+    return d.join(d.where(F.col(bad).isNotNull()).select(file).distinct(), file, "left_anti").select(*wanted.names)
 
 
 def synthetic_transactions(spark: SparkSession, n: int = 8_000, customers: int = 1_000, seed: int = 42) -> DataFrame:
