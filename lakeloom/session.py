@@ -47,6 +47,17 @@ def register_tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = T
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 16 MB, for jobs on whole texts; settings the user made stay.
+
+    An application calls this, no operator does. With Spark's defaults the operators work
+    too, in more memory.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def local_cpus() -> int:
     return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
 
