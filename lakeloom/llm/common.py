@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -14,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.scratch import cut, drop_path, release, scratch, scratch_scope, shared_dir  # noqa: F401  for the operators
 from lakeloom.session import ship
 
 #: Words between ASCII white space, as a Java and RE2 pattern.
@@ -24,45 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/lakeloom/{what}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path by Hadoop's file systems."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def cut(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write the rows once to the shared folder and read them back.
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are out of use.
 
-    Later jobs do not recompute them, and a lost executor loses nothing.
+    The cleaner learns of them when the driver's JVM collects; a job of few, large steps
+    may never make it do so by itself while its disks fill.
     """
-    path = scratch(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete what cut() wrote; the frame must not be read afterwards."""
-    drop_path(df.sparkSession, df._scratch)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of frames that are out of use."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -85,12 +51,11 @@ def _lean(run: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, with this package on the workers' path even where it is not installed."""
+    """df.mapInArrow, with this package on the workers' path even where it is not installed.
+
+    The session decides how large batches are; see session.text_batches().
+    """
     ship(df.sparkSession)
-    # rows hold whole texts: the usual ten thousand a batch would take too much memory
-    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     return df.mapInArrow(partial(_lean, run), schema)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, oracles, packing, repeats, token_counts, token_records, url_filter
 from lakeloom.llm.common import table
+from lakeloom.session import text_batches
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +69,17 @@ _ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_
 ORACLES: dict[str, str] = {"op3_chat_format": oracles.OP3, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10}
 
 
+def _on_texts(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: _on_texts(f) for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
