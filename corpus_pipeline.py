@@ -6,11 +6,16 @@ and read again as the next stage's docs. All but the last return the columns of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm import decontaminate, language_id, near_dedup, packing, repeats
-from lakeloom.llm.common import scratch, table
+from lakeloom.llm.common import table
+from lakeloom.scratch import drop_path, scratch, scratch_scope
+from lakeloom.session import text_batches
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -18,29 +23,43 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        text_batches(spark)
+        return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a learned language explains; texts without a letter and noise go."""
     return language_id.in_languages(docs, language_id.sample(docs))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return near_dedup.one_of_each(docs)
 
 
+@_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur elsewhere too; emptied documents go."""
     return _counted(repeats.clean_texts(docs))
 
 
+@_stage
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of the benchmark; emptied documents go."""
     return _counted(decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark")))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets and batches of what is left."""
-    return packing.pack(docs)[0]
+    """What is left, with its length in tokens, length bucket, batch and place in the batch."""
+    return packing.pack(docs, carry=docs.columns)[0]
 
 
 STAGES = [
@@ -56,10 +75,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each one's result written to the shared folder and read again.
+
+    What a stage wrote for itself goes when its result is written, and that when the next
+    one's is; the last result stays, as the answer is read from it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
