@@ -59,6 +59,22 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(partial(_lean, run), schema)
 
 
+#: A key with more than one in so many of all rows is joined by broadcast in spread_join().
+SHARES = 200
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and in ``weight`` how many of the ``total`` rows of left have it.
+
+    A key with over a share of all rows would put them into one task. There are fewer such
+    keys than SHARES, so their rows of right are broadcast; the other keys are shuffled.
+    ``how`` is inner or left. left is read twice and should be written already.
+    """
+    hot = F.broadcast(right.where(F.col(weight) > max(1, total // SHARES)))
+    usual = left.join(hot.select(*keys), keys, "left_anti").join(right, keys, how)
+    return left.join(hot, keys).select(usual.columns).unionByName(usual).drop(weight)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that df does not have."""
     taken = {c.lower() for c in df.columns}

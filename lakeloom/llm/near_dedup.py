@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import cut, map_arrow, mix64, text_or_empty
+from lakeloom.llm.common import SHARES, cut, map_arrow, mix64, release, spread_join, text_or_empty
 from lakeloom.llm.graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -178,45 +178,55 @@ def _links(percent: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, rules: NearRules) -> DataFrame:
-    """Exact links (a, b) that connect what is near within each candidate group (node, component).
+def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules) -> DataFrame:
+    """Exact links (a, b) that connect what is near among the pairs (node, hub) and among the nodes of each hub.
 
-    Every member is first compared with its group's smallest. Similarity's complement is a
-    metric, so with D the distance from that centre, two documents can be linked only if
-    their Ds differ by at most the threshold. Members that the centre did not claim are
-    therefore compared with the members in neighbouring ranges of D, block by block; the
-    blocks are hash parts of bounded size, so no group has to fit in a task.
+    Every node is first compared with its hub. Similarity's complement is a metric, so with
+    D the distance from the hub, two of its nodes can be linked only if their Ds differ by
+    at most the threshold. Nodes that the hub did not claim are therefore compared with
+    its nodes in neighbouring ranges of D, block by block; the blocks are hash parts of
+    bounded size, so no hub's nodes have to fit in a task.
     """
     r = rules
-    text = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(nodes.select("node"), "node", "left_semi")
-    sets = map_arrow(text, partial(_sets, r.words), "node bigint, s array<bigint>")
-    sets = cut(sets.join(nodes, "node"), "sets")
-    centre = sets.where("node = component").select("component", F.col("s").alias("c"))
+    ends = pairs.select("node").union(pairs.select("hub")).distinct()
+    text = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(ends, "node", "left_semi")
+    sets = cut(map_arrow(text, partial(_sets, r.words), "node bigint, s array<bigint>"), "sets")
+    # a hub of very many nodes is dealt to several tasks, and its set with it; there are few such hubs
+    share = max(1, pairs.count() // SHARES)
+    hot = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("hub", F.ceil(F.col("n") / share).cast("int").alias("parts"))
+    dealt = lambda df: df.join(F.broadcast(hot), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    ours = dealt(pairs).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    theirs = dealt(sets.select(F.col("node").alias("hub"), F.col("s").alias("c")).join(pairs.select("hub").distinct(), "hub", "left_semi")).select("hub", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = F.size(F.array_intersect("s", "c"))
-    far = sets.where("node <> component").join(centre, "component").select("node", "component", F.size("s").alias("n"), F.size("c").alias("m"), both.alias("both"))
+    far = ours.join(sets, "node").join(theirs, ["hub", "part"]).select("node", "hub", F.size("s").alias("n"), F.size("c").alias("m"), both.alias("both"))
     union = F.col("n") + F.col("m") - F.col("both")
-    far = cut(far.select("node", "component", "n", (100 * F.col("both") >= r.percent * union).alias("near"), (1 - F.col("both") / union).alias("d")), "star")
-    links = far.where("near").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    # without a row that the centre did not claim, all is found
-    if far.where("not near").isEmpty():
-        return links
+    star = cut(far.select("node", "hub", "n", (100 * F.col("both") >= r.percent * union).alias("near"), (1 - F.col("both") / union).alias("d")), "star")
+    links = star.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # hubs that claim all their nodes, or have one, are done
+    open_ = cut(star.groupBy("hub").agg(F.count(F.lit(1)).alias("weight"), F.count_if(~F.col("near")).alias("not_near")).where("weight > 1 and not_near > 0").select("hub", "weight"), "open")
+    if open_.isEmpty():
+        out = cut(links, "links")
+        release(sets, star, open_)
+        return out
     width = (100 - r.percent) / 100 + 1e-6
-    far = far.withColumn("bin", F.floor(F.col("d") / width).cast("int"))
-    asking = far.where("not near").select("node", "component", "n", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    size = lambda df, name: df.groupBy("component", "bin").agg(F.ceil(F.sum("n") / r.block).cast("int").alias(name))
-    grid = size(asking, "qs").join(size(far, "ms"), ["component", "bin"])
+    far = cut(spread_join(star, open_, ["hub"], "weight", star.count()).withColumn("bin", F.floor(F.col("d") / width).cast("int")), "open")
+    asking = far.where("not near").select("node", "hub", "n", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    size = lambda df, name: df.groupBy("hub", "bin").agg(F.ceil(F.sum("n") / r.block).cast("int").alias(name))
+    grid = size(asking, "qs").join(size(far, "ms"), ["hub", "bin"])
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["component", "bin", "q", "m"]
-    q = asking.join(grid, ["component", "bin"]).select("node", "component", "bin", part("qs").alias("q"), every("ms").alias("m"), F.lit(True).alias("asks"))
-    m = far.join(grid, ["component", "bin"]).select("node", "component", "bin", every("qs").alias("q"), part("ms").alias("m"), F.lit(False).alias("asks"))
+    key = ["hub", "bin", "q", "m"]
+    q = asking.join(grid, ["hub", "bin"]).select("node", "hub", "bin", part("qs").alias("q"), every("ms").alias("m"), F.lit(True).alias("asks"))
+    m = far.join(grid, ["hub", "bin"]).select("node", "hub", "bin", every("qs").alias("q"), part("ms").alias("m"), F.lit(False).alias("asks"))
     rows = q.union(m).join(sets.select("node", "s"), "node")
 
     def links_of(block: pa.Table) -> pa.Table:
         return _links(r.percent, block)
 
     found = rows.groupBy(*key).applyInArrow(links_of, "a bigint, b bigint")
-    return cut(links.union(found), "links")
+    out = cut(links.union(found), "links")
+    release(sets, star, far, open_)
+    return out
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
@@ -226,7 +236,9 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     smallest doc_id reachable by links; kept marks it. Texts without words are linked with
     nothing. Texts of equal shingle sets form a class first, by a minimum that is combined
     before the shuffle, so thousands of copies cost one row; classes alone are banded and
-    verified. Rows that repeat a doc_id are one document. A null doc_id takes no part: its
+    verified. Candidates are never closed into groups: a class is compared with the
+    smallest that shares a band with it, and with others that share one with that, so
+    texts that merely resemble each other in a chain do not gather. Rows that repeat a doc_id are one document. A null doc_id takes no part: its
     component_id is null and it is kept. Other columns of docs are not read.
     """
     r = rules
@@ -234,14 +246,18 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     schema = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, " + ", ".join(f"{k} bigint" for k in keys)
     sig = cut(map_arrow(d, partial(_sign, r), schema), "signatures")
-    classes = cut(sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in keys)), "classes")
-    banded = classes.select("node", F.explode(F.array(*keys)).alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    near = components(banded.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    links = _verified(docs, near, r)
+    same = ["n_shingles", "f1", "f2"]
+    classes = cut(sig.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"), *(F.min(k).alias(k) for k in keys)), "classes")
+    banded = cut(classes.select("node", F.explode(F.array(*keys)).alias("key")), "banded")
+    # who shares a band meets at the smallest of them
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("weight")).where("hub < last").drop("last")
+    pairs = cut(spread_join(banded, hubs, ["key"], "weight", banded.count()).where("node <> hub").select("node", "hub").distinct(), "pairs")
+    release(banded)
+    links = _verified(docs, pairs, r)
     found = components(links)
-    classes = classes.join(found, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"], "left")
+    release(pairs, links)
+    classes = classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"), "weight")
+    out = spread_join(sig.select("doc_id", *same), classes, same, "weight", sig.count(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

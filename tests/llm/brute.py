@@ -124,3 +124,31 @@ def url_threshold(scored: list[tuple[float, bool]], step: float = 0.002) -> floa
     gain = [sum(s < e for s in bad) / len(bad) + sum(s >= e for s in good) / len(good) for e in edges]
     best = [i for i, g in enumerate(gain) if g >= max(gain) - 1e-12]
     return ((best[0] + best[-1]) / 2 - 2000 - 0.5) * step
+
+
+def near_by_prefix(rows: list[tuple[int, str | None]], percent: int = 85) -> dict[int, int]:
+    """doc_id -> component, exact for larger tables: linked sets share one of their rarest shingles."""
+    sets = {i: shingles(t) for i, t in rows}
+    often = Counter(x for s in sets.values() for x in s)
+    groups: dict[frozenset, int] = {}
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for i in sorted(sets):
+        up[i] = groups.setdefault(sets[i], i) if sets[i] else i
+    at = defaultdict(list)
+    for s, i in groups.items():
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-percent * len(s) // 100) + 1]
+        for j in {j for x in rare for j in at[x]}:
+            other = sets[j]
+            k = len(s & other)
+            if 100 * k >= percent * (len(s) + len(other) - k):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+        for x in rare:
+            at[x].append(i)
+    return {i: root(i) for i in sets}

@@ -482,6 +482,25 @@ def test_near_duplicates(spark, documents, awkward, empty):
     assert left.columns == awkward.columns and sorted(x.doc_id for x in left.collect() if x.doc_id is not None) == sorted({c for _, c in brute.near(AWKWARD).values()})
 
 
+def test_no_link_is_lost_on_a_larger_table(spark):
+    """Components against exact links of every pair at 0.85 and more; bands miss none of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute.near_by_prefix(pairs(docs))
+    assert sum(c != i for i, c in want.items()) > 50
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_hot_hubs_and_buckets(spark, monkeypatch):
+    """Many near copies of one text: hubs are dealt to several parts and joined by broadcast, and the answer stays."""
+    monkeypatch.setattr(near_dedup, "SHARES", 3)
+    r = random.Random(81)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(f"y{i}" if k == r.randrange(150) else w for k, w in enumerate(base))) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(40)] + [(200 + i, " ".join(r.sample(base, 150))) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = brute.near(rows)
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(d, near_dedup.NearRules(block=3000)).collect()} == {i: c for i, (_, c) in want.items()}
+
+
 def test_coordinates_follow_similarity():
     a, b = [f"w{i}" for i in range(1000)], [f"w{i}" for i in range(100, 1100)]
     s, n = near_dedup.shingle_sets([" ".join(a), " ".join(b)])
