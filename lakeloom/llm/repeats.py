@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lakeloom.llm.common import cut, free_shuffles, fresh, map_arrow, mix64, release, spread, text_or_empty
+from lakeloom.llm.common import cut, free_shuffles, fresh, map_arrow, mix64, release, spread, spread_join, text_or_empty
 from lakeloom.llm.suffix import suffix_array
 
 _U = np.uint64
@@ -29,6 +29,8 @@ GRAM = 32
 _PIECE, _BITS = 400_000, 21
 #: Bytes of text in one transform, about; and the most that one anchor may bring to it.
 BLOCK, HOT = 500_000, 4_000_000
+#: How often the stretches of an anchor that brings more are dealt anew, by further anchors.
+LEVELS = 6
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
@@ -60,17 +62,20 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 _R = 0xD1342543DE82EF95  # odd, so that powers have inverses
 
 
-def stretches(buf: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def stretches(buf: np.ndarray, ends: np.ndarray, size: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """Runs of window starts with the same anchor hash: (text, low, high, hash, content hash, anchors).
 
     buf holds texts one after another, ``ends`` their ends. A run [low, high] spans the
     bytes [low, high + size); its content hash is that of those bytes. low and high count
     from the text's start. ``anchors`` is how many places the run's anchors stand at.
+    Each ``level`` has a hash of its own, and so other anchors.
     """
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     if len(buf) < size:
         return none
     h = _grams(buf)
+    if level:
+        h = mix64(h + _U(level) * _U(0x9E3779B97F4A7C15))
     key = (h >> _U(_BITS) << _U(_BITS)) | np.arange(len(h), dtype=np.uint64)
     at = (_least(key, size - GRAM + 1) & _U((1 << _BITS) - 1)).astype(np.int64)
     starts = np.concatenate([[0], ends[:-1]])
@@ -139,15 +144,19 @@ def _pieces(sizes: np.ndarray, size: int):
 _STRETCH = "doc bigint, row bigint, low bigint, high bigint, anchor bigint, content bigint, anchors bigint"
 
 
-def _find(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _raw(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
+def _find(size: int, level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _STRETCH.split(", ")]
     for b in batches:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"].to_pylist()]
+        texts = [_raw(t) for t in b["text"].to_pylist()]
         doc, row = b["doc"].to_numpy(), b["row"].to_numpy()
         for piece in _pieces(np.array([len(t) for t in texts], np.int64), size):
             buf = np.frombuffer(b"".join(texts[i][a:z] for i, a, z in piece), np.uint8)
             ends = np.cumsum([z - a for _, a, z in piece])
-            k, low, high, anchor, content, anchors = stretches(buf, ends, size)
+            k, low, high, anchor, content, anchors = stretches(buf, ends, size, level)
             who = np.array([i for i, _, _ in piece])[k] if len(k) else k
             shift = np.array([a for _, a, _ in piece])[k] if len(k) else k
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[who], row[who], low + shift, high + shift, anchor, content, anchors)], names)
@@ -161,7 +170,7 @@ def _fetch(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         out: list[list] = [[], [], []]
         held = 0
         for t, asked in zip(b["text"].to_pylist(), b["asked"].to_pylist()):
-            raw = t.encode("utf-8", "surrogatepass")
+            raw = _raw(t)
             for x in asked:
                 piece = raw[x["low"] : x["high"] + size]
                 for c, v in zip(out, (x["anchor"], x["content"], piece)):
@@ -296,24 +305,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_row": F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty())})
 
 
-def repeated_ranges(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -> DataFrame:
+def repeated_ranges(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, levels: int = LEVELS) -> DataFrame:
     """(doc, row, ranges): starts [a, b) of windows that start elsewhere too, by document key.
 
     An anchor whose distinct stretches hold more than ``hot_bytes`` would make a transform
-    too large for a task; its windows are counted exactly by content instead, with sums
-    combined before the shuffle.
+    too large for a task. Its stretches are then taken for texts themselves and dealt anew
+    by anchors of another hash, up to ``levels`` times; equal windows still meet, as all of
+    a window's bytes decide its anchors. What is too large even then has next to the same
+    bytes everywhere; its windows are counted exactly by content, with sums combined before
+    the shuffle.
     """
     d = _keyed(docs.select("doc_id", "text")).select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), text_or_empty().alias("text"))
-    spark = docs.sparkSession
-    found = cut(map_arrow(d.where(F.octet_length("text") >= size), partial(_find, size), _STRETCH), "stretches")
-    again = found.groupBy("anchor").agg(F.sum("anchors").alias("n")).where("n > 1").select("anchor")
-    some = cut(found.join(again, "anchor"), "again")
+    return _repeats(d, size, hot_bytes, levels, 0)
+
+
+def _repeats(d: DataFrame, size: int, hot_bytes: int, levels: int, level: int) -> DataFrame:
+    """(doc, row, ranges) of texts (doc, row, text); text is a string or binary."""
+    spark = d.sparkSession
+    found = cut(map_arrow(d.where(F.octet_length("text") >= size), partial(_find, size, level), _STRETCH), "stretches")
+    again = found.groupBy("anchor").agg(F.sum("anchors").alias("n"), F.count(F.lit(1)).alias("weight")).where("n > 1").select("anchor", "weight")
+    some = cut(spread_join(found, again, ["anchor"], "weight", found.count()), "again")
     free_shuffles(spark)
     release(found)
     # equal stretches merge before any text moves; their windows repeat by that alone
-    kinds = some.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.sum("anchors").alias("anchors"), F.min(F.struct("doc", "row", "low", "high")).alias("at"))
-    single = kinds.groupBy("anchor").agg((F.min("n") == 1).alias("single"), F.sum(F.col("at.high") - F.col("at.low") + size).alias("bytes")).where("single")
-    asked = cut(kinds.join(single, "anchor").select("anchor", "content", "bytes", "n", "at.*"), "asked")
+    kinds = cut(some.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "row", "low", "high")).alias("at")), "kinds")
+    length = F.col("at.high") - F.col("at.low") + size
+    single = kinds.groupBy("anchor").agg((F.min("n") == 1).alias("single"), F.sum(length).alias("bytes"), F.count(F.lit(1)).alias("weight")).where("single").select("anchor", "bytes", "weight")
+    asked = cut(spread_join(kinds, single, ["anchor"], "weight", kinds.count()).select("anchor", "content", "bytes", "at.*"), "asked")
     free_shuffles(spark)
     total = asked.agg(F.coalesce(F.sum(F.col("high") - F.col("low") + size), F.lit(0))).first()[0]
     per_doc = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "content", "low", "high")).alias("asked"))
@@ -331,23 +349,28 @@ def repeated_ranges(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -
     usual = texts.join(hot, "anchor", "left_anti").dropDuplicates(["anchor", "content"])
     ranges = usual.withColumn("block", block).groupBy("block").applyInArrow(expand, "anchor bigint, content bigint, ranges array<struct<a:bigint,b:bigint>>")
     if not hot.isEmpty():
-        w = map_arrow(texts.join(hot, "anchor").dropDuplicates(["anchor", "content"]), partial(_windows, size), "anchor bigint, content bigint, at bigint, w1 bigint, w2 bigint")
-        twice = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w1", "w2")
-        ranges = ranges.unionByName(w.join(twice, ["w1", "w2"]).select("anchor", "content", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("ranges")))
+        large = texts.join(hot, "anchor").dropDuplicates(["anchor", "content"])
+        if level < levels:
+            large = cut(large.select(F.col("anchor").alias("doc"), F.col("content").alias("row"), F.col("bytes").alias("text")), "large")
+            ranges = ranges.unionByName(_repeats(large, size, hot_bytes, levels, level + 1).toDF("anchor", "content", "ranges"))
+        else:
+            w = map_arrow(large, partial(_windows, size), "anchor bigint, content bigint, at bigint, w1 bigint, w2 bigint")
+            twice = w.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w1", "w2")
+            one = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b")))
+            ranges = ranges.unionByName(w.join(twice, ["w1", "w2"]).select("anchor", "content", one.alias("ranges")))
     ranges = cut(ranges.where(F.size("ranges") > 0), "ranges")
-    whole = kinds.where("n > 1").select("anchor", "content", F.lit(True).alias("whole"))
-    alone = some.join(whole, ["anchor", "content"], "left")
+    whole = kinds.where("n > 1").select("anchor", "content", "n", F.lit(True).alias("whole"))
+    alone = spread_join(some, whole, ["anchor", "content"], "n", some.count(), "left")
     copies = alone.where("whole").select("doc", "row", F.col("low").alias("a"), (F.col("high") + 1).alias("b"))
     parts = alone.where("whole is null").select("doc", "row", "anchor", "content", "low").join(ranges, ["anchor", "content"]).select("doc", "row", "low", F.explode("ranges").alias("x"))
     parts = parts.select("doc", "row", (F.col("low") + F.col("x.a")).alias("a"), (F.col("low") + F.col("x.b")).alias("b"))
     out = cut(copies.union(parts).groupBy("doc", "row").agg(F.collect_set(F.struct("a", "b")).alias("ranges")), "spans")
     free_shuffles(spark)
-    for x in (some, asked, texts, ranges):
-        release(x)
+    release(some, kinds, asked, texts, ranges)
     return out
 
 
-def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, as_text: bool = False) -> tuple[DataFrame, str, str]:
+def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, levels: int = LEVELS, as_text: bool = False) -> tuple[DataFrame, str, str]:
     """docs and two more columns, and their names: the byte runs removed and the bytes left.
 
     With ``as_text`` the bytes left stand in the column text instead, as text.
@@ -357,7 +380,7 @@ def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, a
     empty. Texts shorter than ``size`` stay whole. Rows that are equal are copies of each
     other, so all of each that is long enough goes. An empty table gives no rows.
     """
-    r = repeated_ranges(docs, size=size, hot_bytes=hot_bytes)
+    r = repeated_ranges(docs, size=size, hot_bytes=hot_bytes, levels=levels)
     doc, row, ranges, spans, kept = (fresh(docs, c) for c in ("_doc", "_row", "_ranges", "_spans", "_kept"))
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), row: F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty())})
     d = keyed.join(r.toDF(doc, row, ranges), [doc, row], "left").select(*docs.columns, ranges)
@@ -366,10 +389,10 @@ def without_repeats(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, a
     return map_arrow(d, partial(_remove, size, ranges, (spans, kept), as_text), StructType([*docs.schema.fields, *more])), spans, kept
 
 
-def removal(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT) -> DataFrame:
+def removal(docs: DataFrame, *, size: int = 200, hot_bytes: int = HOT, levels: int = LEVELS) -> DataFrame:
     """Per row: doc_id, n_bytes, spans, kept (the bytes left)."""
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    out, spans, kept = without_repeats(d, size=size, hot_bytes=hot_bytes)
+    out, spans, kept = without_repeats(d, size=size, hot_bytes=hot_bytes, levels=levels)
     return out.select("doc_id", F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"), F.col(spans).alias("spans"), F.col(kept).alias("kept"))
 
 

@@ -372,13 +372,13 @@ def test_intervals_find_repeats():
         assert repeats.repeated_suffixes(np.array([x for t in texts for x in [*t, 0]], np.int32), size).tolist() == want
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 0])
-def test_repeated_bytes(spark, documents, awkward, empty, hot):
-    frames = [awkward] if hot == 0 else [awkward, documents]
+@pytest.mark.parametrize(("hot", "levels"), [(repeats.HOT, repeats.LEVELS), (0, 0), (2_000, 2), (0, 1)])
+def test_repeated_bytes(spark, documents, awkward, empty, hot, levels):
+    frames = [awkward] if hot < repeats.HOT else [awkward, documents]
     for df in frames:
         rows = pairs(df)
         want = sorted((key((i,)), n, removed, spans, hashlib.sha256(kept).hexdigest()) for (i, _), (n, removed, spans, kept) in zip(rows, brute.repeats([t for _, t in rows])))
-        got = repeats.removal(df, hot_bytes=hot).select("doc_id", "n_bytes", repeats.removed_bytes(F.col("spans")), F.size("spans"), F.sha2("kept", 256)).collect()
+        got = repeats.removal(df, hot_bytes=hot, levels=levels).select("doc_id", "n_bytes", repeats.removed_bytes(F.col("spans")), F.size("spans"), F.sha2("kept", 256)).collect()
         assert sorted((key((r[0],)), *r[1:]) for r in got) == want
     assert repeats.removal(empty).count() == 0
 
