@@ -326,7 +326,7 @@ def identify(docs: DataFrame, samples: Samples) -> DataFrame:
     return map_arrow(d, partial(_tag, samples, False, _NAMES), "doc_id bigint, held_out boolean, lang_pred string, score double, excess double, n_symbols bigint").drop("n_symbols")
 
 
-def in_languages(docs: DataFrame, samples: Samples, languages: Sequence[str] | None = None, *, max_excess: float = 2.0, evidence: int = 200) -> DataFrame:
+def in_languages(docs: DataFrame, samples: Samples, languages: Sequence[str] | None = None, *, max_excess: float = 2.4, evidence: int = 200) -> DataFrame:
     """The rows of docs, all columns as they were, whose text is in one of the languages; all learned ones if none are named.
 
     A text goes if it has no letter, if the language found is not wanted, or if its phrases
