@@ -13,12 +13,27 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import SPACE, text_or_empty
 
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Phrases of page furniture, lower case.
-BOILERPLATE = (
-    "accept cookies", "all rights reserved", "cookie policy", "enable javascript", "javascript is disabled",
-    "lorem ipsum", "privacy policy", "share on facebook", "sign in to continue", "skip to content",
-    "subscribe to our newsletter", "terms of service", "terms of use",
-)
+#: Fixed phrases of page furniture, lower case, in English, German, Spanish and French, by a piece that each of them holds.
+FURNITURE = {
+    "cookie": (
+        "accept cookies", "cookie policy", "cookies akzeptieren", "cookie-richtlinie", "aceptar cookies", "política de cookies", "accepter les cookies", "politique de cookies",
+    ),
+    "privac": ("privacy policy", "política de privacidad"),
+    "datenschutz": ("datenschutzerklärung", "datenschutzhinweise"),
+    "reserv": ("all rights reserved", "todos los derechos reservados", "reservados todos los derechos"),
+    "rechte vorbehalten": ("alle rechte vorbehalten",),
+    "droits r": ("tous droits réservés",),
+    "javascript": ("enable javascript", "javascript is disabled", "javascript aktivieren", "activar javascript", "activer javascript"),
+    "newsletter": ("subscribe to our newsletter", "newsletter abonnieren", "s'abonner à la newsletter"),
+    "facebook": ("share on facebook", "auf facebook teilen", "compartir en facebook", "partager sur facebook"),
+    "terms of": ("terms of service", "terms of use"),
+    "nutzungsbedingungen": ("nutzungsbedingungen",),
+    "condi": ("términos y condiciones", "condiciones de uso", "conditions générales", "conditions d'utilisation"),
+    "conten": ("skip to content", "saltar al contenido", "ir al contenido", "aller au contenu"),
+    "continue": ("sign in to continue",),
+    "lorem ipsum": ("lorem ipsum",),
+}
+BOILERPLATE = tuple(p for phrases in FURNITURE.values() for p in phrases)
 
 
 @dataclass(frozen=True)
@@ -45,26 +60,32 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _facts(text: Column, furniture: Column) -> Column:
-    """What the rules need of a line; each fact is worked out once, and the dear ones only where they can matter."""
-    separators = F.when(text.rlike(r"[|»›•>/\\-]"), _count(text, r"(?<![^\x20\x09-\x0D])[|»›•>/\\-]+(?![^\x20\x09-\x0D])")).otherwise(0)
-    noisy = F.when(text.rlike(r"[#*$%&|<>]|!!"), _count(text, r"(?:[#*$%&|<>]|!!)[.,;:]?(?![^\x20\x09-\x0D])")).otherwise(0)
-    low = F.lower(text)
-    boiler = F.lit(False)
-    for p in BOILERPLATE:
-        boiler = boiler | low.contains(p)
-    return F.struct(text.alias("t"), _count(text, _WORD).alias("n"), separators.alias("separators"), noisy.alias("noisy"), (furniture & boiler).alias("boiler"))
+def _short(words: int) -> str:
+    """A pattern of lines with one to ``words`` words."""
+    return rf"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{0,{words - 1}}}[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+\z"
 
 
-def _broken(x: Column, r: LineRules) -> Column:
-    """The rule that a line breaks, or null."""
-    n, text = x["n"], x["t"]
+def _any(text: Column, phrases) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | text.contains(p)
+    return out
+
+
+def _broken(text: Column, furniture: Column, r: LineRules) -> Column:
+    """The rule that a line breaks, or null. What decides most lines is asked first; words and symbols are counted only where they can matter."""
+    n = _count(text, _WORD)
+    # classes of plain characters are the fastest to search, others are asked for one by one
+    odd = text.rlike(r"[!#-&*/<>|\\-]") | _any(text, "»›•")
+    ended = text.rlike(r"[.!?]") | _any(text, "…。！？")
+    separators = _count(text, r"(?<![^\x20\x09-\x0D])[|»›•>/\\-]+(?![^\x20\x09-\x0D])")
+    noisy = _count(text, r"(?:[#*$%&|<>]|!!)[.,;:]?(?![^\x20\x09-\x0D])")
     return (
-        F.when(x["separators"] >= F.greatest(F.lit(1.0), n * r.separator_share), "navigation")
-        .when(x["noisy"] >= F.greatest(F.lit(1.0), n * r.noisy_share), "noise")
-        .when(x["boiler"] & (n <= 40), "boilerplate")
-        .when((n <= r.short_words) & ~text.rlike(r"[.!?:;,…。！？\"')\]”’»][\x20\x09-\x0D]*$"), "navigation")
-        .when((n >= r.unpunctuated_words) & ~text.rlike(r"[.!?…。！？]"), "punctuation")
+        F.when(odd & (separators > 0) & (separators >= n * r.separator_share), "navigation")
+        .when(odd & (noisy > 0) & (noisy >= n * r.noisy_share), "noise")
+        .when(furniture & _any(F.lower(text), BOILERPLATE) & (n <= 40), "boilerplate")
+        .when(text.rlike(_short(r.short_words)) & ~text.rlike(r"[.!?:;,…。！？\"')\]”’»][\x20\x09-\x0D]*$"), "navigation")
+        .when(~ended & (n >= r.unpunctuated_words), "punctuation")
     )
 
 
@@ -84,15 +105,16 @@ def line_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     n = F.size("w")
     # the hash of each window of eight words, from those of two and four
     word_chars = F.length(F.array_join("w", "")).cast("bigint")
-    low = F.lower(text)
-    furniture = F.lit(False)
-    for p in BOILERPLATE:
-        furniture = furniture | low.contains(p)
+    furniture = _any(F.lower(text), FURNITURE)
     d = d.select("doc_id", "text", n.alias("n_words"), word_chars.alias("word_chars"), furniture.alias("furniture"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    for k in (1, 2, 4):
-        d = d.withColumn("h", F.zip_with("h", F.slice("h", k + 1, F.size("h")), lambda a, b: F.xxhash64(a, b)))
-    d = d.withColumn("h", F.slice("h", 1, F.greatest(F.col("n_words") - 7, F.lit(0))))
-    # most texts repeat no window: a distinct count says so without a sort
+    later = lambda k: F.zip_with("h", F.slice("h", k + 1, F.size("h")), lambda a, b: F.xxhash64(a, b))
+    for k in (1, 2):
+        d = d.withColumn("h", later(k))
+    # the array's end stands for no run of four words; a repeated window repeats five such runs
+    d = d.withColumn("h", F.slice("h", 1, F.greatest(F.col("n_words") - 3, F.lit(0))))
+    none = F.array().cast("array<bigint>")
+    d = d.withColumn("h", F.when(F.size("h") - F.size(F.array_distinct("h")) >= 5, F.slice(later(4), 1, F.greatest(F.col("n_words") - 7, F.lit(0)))).otherwise(none))
+    # most texts repeat no window: distinct counts say so without a sort
     d = d.select(
         "doc_id", "text", "n_words", "word_chars", "furniture",
         F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
@@ -106,12 +128,9 @@ def line_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         "doc_id", F.col("n_words").cast("bigint").alias("n_words"), covered.alias("n_repeat_words"), "word_chars", "furniture",
         _count(text, r"[#*$%&|<>]").cast("bigint").alias("n_symbols"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
-    d = d.withColumn("facts", F.transform(F.array_distinct("lines"), lambda x: _facts(x, F.col("furniture"))))
-    d = d.select(
-        "doc_id", "n_words", "n_repeat_words", "word_chars", "n_symbols", F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size("facts")).cast("bigint").alias("n_dup_lines"),
-        F.transform("facts", lambda x: F.struct(x["t"].alias("t"), _broken(x, r).alias("why"))).alias("judged"),
-    )
+    judged = F.transform(F.array_distinct("lines"), lambda x: F.struct(x.alias("t"), _broken(x, F.col("furniture"), r).alias("why")))
+    d = d.select("doc_id", "n_words", "n_repeat_words", "word_chars", "n_symbols", F.size("lines").alias("n_lines"), judged.alias("judged"))
+    d = d.withColumn("n_dup_lines", (F.col("n_lines") - F.size("judged")).cast("bigint"))
     d = d.withColumn("good", F.transform(F.filter("judged", lambda x: x["why"].isNull()), lambda x: x["t"]))
     d = d.withColumn("clean_text", F.array_join("good", "\n"))
     kept_chars = F.when(F.size("good") == F.col("n_lines"), F.col("word_chars")).otherwise(F.length(F.regexp_replace("clean_text", SPACE, "")).cast("bigint"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from lakeloom.llm.line_clean import BOILERPLATE
 
 _WS = r"[\x20\x09-\x0D]+"
-_BOILER = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
+_BOILER = " OR ".join("contains(lower(l), '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
 
 OP3 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
