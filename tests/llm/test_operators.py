@@ -591,6 +591,46 @@ def test_index_finds_all():
 
 
 # all
+def test_texts_of_megabytes(spark):
+    """Texts far beyond every piece, block and shard: whole texts count, and no border shows."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    x, y = prose(100, 150_000), prose(101, 300_000)
+    words = x.split(" ")
+    texts = {1: f"{x} {y}", 2: x, 3: None, 4: "a short one", 5: " ".join([*words[:70_000], "changed", *words[70_001:]])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(2)
+    assert len(texts[1]) > 2_500_000
+    by_id = lambda df: {r.doc_id: r for r in df.collect()}
+    enc = token_counts.byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert {i: r.n_tokens for i, r in by_id(packing.pack(docs)[0]).items()} == {i: len(enc.encode_ordinary(t or "")) + 1 for i, t in texts.items()}
+    samples = language_id.Samples({"xx": prose(102, 2_000), "yy": "the quick brown fox " * 200})
+    found = by_id(language_id.identify(docs, samples))
+    assert [found[i].lang_pred for i in (1, 2, 5)] == ["xx"] * 3 and found[3].lang_pred == "und"
+    p = language_id.Parser(samples)
+    symbols, sizes, _ = p.symbols([y])
+    have = p.symbols([samples.texts["xx"]])[0].tolist()
+    rows, at, n = language_id.automaton(have), 0, 1
+    for c in symbols.tolist():
+        n, at = (n, rows[at][c]) if c in rows[at] else (n + 1, rows[0].get(c, 0))
+    assert p.phrases(symbols, sizes)[0, 0] == n
+    gone = by_id(repeats.removal(docs.where("doc_id in (1, 2)")).select("doc_id", "n_bytes", repeats.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").alias("n_spans")))
+    assert [tuple(gone[i])[1:] for i in (1, 2)] == [(len(texts[1].encode()), len(x.encode()), 1), (len(x.encode()), len(x.encode()), 1)]
+    lib = Tokenizer.from_file(token_records.default_vocabulary())
+    ids = by_id(token_records.read_records(token_records.write_records(docs, token_records.record_path(spark), token_records.default_vocabulary())))
+    assert all(ids[i]["ids"] == [*lib.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items())
+    near = by_id(near_dedup.near_duplicates(docs))
+    assert {i: r.component_id for i, r in near.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2} and near[2].n_shingles == len(brute.shingles(x))
+    stats = by_id(line_clean.line_clean(docs))
+    for i, t in texts.items():
+        r = stats[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.base_stats(t)
+    item = spark.createDataFrame([("i", " ".join(y.split(" ")[200_000:200_030]))], "item_id string, text string")
+    hits = by_id(decontaminate.contamination(docs, item))
+    want = brute.benchmark_hits([texts[1]], [("i", item.first().text)])[0]
+    assert (hits[1].n_words, hits[1].n_hit, hits[1]["items"]) == (want[0], len(want[1]), ["i"]) and not hits[2].contaminated
+
+
 def test_queries_cover_the_operators(spark, sf_dir):
     q = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 11))
