@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators.ranking import global_rank
+from lakeloom.scratch import cut
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str]) -> DataFrame:
     """Insert new keys; for known keys replace only the ``update`` columns. Columns of old, in order."""
@@ -26,8 +29,6 @@ def tail_beyond(source: DataFrame, target_rows: int, order: str) -> DataFrame:
 
     The border is found by counts per range and then inside one range, not by a global sort.
     """
-    from lakeloom.operators.ranking import global_rank
-
     return global_rank(source, order, order, "_rn").where(F.col("_rn") > target_rows).drop("_rn").fillna("")
 
 
@@ -73,9 +74,10 @@ def head_cap(df: DataFrame, over: int, keep: int, order: list[str]) -> DataFrame
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each combination of keys, by order."""
-    w = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_last() for c in order))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row of each combination of keys, by order, nulls last; found by a minimum that is combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c)))))
+    return df.groupBy(*keys).agg(first.alias("_first")).select(*(F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns))
 
 
 def last_turns(df: DataFrame, key: str, turn: str, n: int = 2) -> DataFrame:
@@ -85,9 +87,21 @@ def last_turns(df: DataFrame, key: str, turn: str, n: int = 2) -> DataFrame:
 
 
 def running_totals(df: DataFrame, key: str, seq: str, cols: dict[str, str]) -> DataFrame:
-    """Cumulative sums per key in the order of seq."""
-    w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({out: F.sum(c).over(w) for c, out in cols.items()})
+    """Cumulative sums per key in the order of seq: ``cols`` maps a column to its total's name. A key's seq must be unique.
+
+    Rows are sorted in ranges of key and seq; sums run inside a key's part of a range and
+    are shifted by those of its earlier ranges, so a key of any size is many tasks' work.
+    """
+    d = cut(df.repartitionByRange(F.col(key).asc_nulls_first(), F.col(seq).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(key, "_range").orderBy(F.col(seq).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = d.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(*(F.sum(c).alias(f"_{out}") for c, out in cols.items()))
+    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_key", "_at", *(F.sum(f"_{out}").over(earlier).alias(f"_{out}") for out in cols.values()))
+    d = d.withColumns({out: F.sum(c).over(own) for c, out in cols.items()})
+    d = d.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    # a total is null until a value that is not
+    total = lambda out: F.when(F.col(out).isNull() & F.col(f"_{out}").isNull(), None).otherwise(F.coalesce(out, F.lit(0)) + F.coalesce(f"_{out}", F.lit(0)))
+    return d.select(*df.columns, *(total(out).alias(out) for out in cols.values()))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -184,6 +184,26 @@ def test_running_totals_golden(spark):
     assert [(r.ip, r.op) for r in got] == [(250, 21), (3089, 372)]
 
 
+def test_running_totals_of_one_large_key(spark):
+    rows = [(1, i, None if i % 5 == 0 else i) for i in range(400)] + [(None, i, i) for i in range(30)] + [(2, 0, None), (2, 1, 4)]
+    d = spark.createDataFrame(rows, "h int, seq int, p int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.h, r.seq): r.t for r in relational.running_totals(d, "h", "seq", {"p": "t"}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, sums = {}, {}
+    for h, q, p in rows:
+        sums[h] = sums.get(h) if p is None else (sums.get(h) or 0) + p
+        want[h, q] = sums[h]
+    assert got == want
+
+
+def test_distinct_on_takes_nulls_last(spark):
+    d = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 3, 3), (None, 7, 4), (None, None, 5), ("b", None, 6)], "k string, o int, v int")
+    assert {r.k: r.v for r in relational.distinct_on(d, ["k"], ["o"]).collect()} == {"a": 3, None: 4, "b": 6}
+
+
 def test_vectors(spark):
     d = spark.createDataFrame([(0, [3.0, 4.0]), (1, [0.0, 0.0]), (2, [4.0, 3.0]), (3, [4.0, 3.0])], "id bigint, v array<float>")
     assert [round(x, 6) for x in d.where("id = 0").select(vectors.normalize(F.col("v")).alias("u")).first().u] == [0.6, 0.8]
