@@ -40,8 +40,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dedup.one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 and more."""
+    return near_dedup.one_of_each(docs, near_dedup.NearRules(percent=80, bands=28))
 
 
 @_stage
