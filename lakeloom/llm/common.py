@@ -59,20 +59,25 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(partial(_lean, run), schema)
 
 
-#: A key with more than one in so many of all rows is joined by broadcast in spread_join().
+#: A key with more than one in so many of all rows is dealt to several tasks by spread_join().
 SHARES = 200
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner", large: bool = False) -> DataFrame:
     """left joined with right, which has one row a key and in ``weight`` how many of the ``total`` rows of left have it.
 
-    A key with over a share of all rows would put them into one task. There are fewer such
-    keys than SHARES, so their rows of right are broadcast; the other keys are shuffled.
-    ``how`` is inner or left. left is read twice and should be written already.
+    The rows of a key that has over a share of all would meet in one task. They are dealt
+    to as many parts as they hold shares, by a hash of the row, and right's row goes to each
+    part. There are at most SHARES such keys, so their list is broadcast. ``how`` is inner
+    or left. right is read twice and should be written, or cheap. ``large`` says that
+    right's rows are too large to be broadcast however few they are.
     """
-    hot = F.broadcast(right.where(F.col(weight) > max(1, total // SHARES)))
-    usual = left.join(hot.select(*keys), keys, "left_anti").join(right, keys, how)
-    return left.join(hot, keys).select(usual.columns).unionByName(usual).drop(weight)
+    share = max(1, total // SHARES)
+    hot = F.broadcast(right.where(F.col(weight) > share).select(*keys, F.ceil(F.col(weight) / share).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, keys, "left").select(*left.columns, F.pmod(F.xxhash64(*left.columns), parts).cast("int").alias("_part"))
+    copied = right.join(hot, keys, "left").select(*(c for c in right.columns if c != weight), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return dealt.join(copied.hint("merge") if large else copied, [*keys, "_part"], how).drop("_part")
 
 
 def fresh(df: DataFrame, name: str) -> str:

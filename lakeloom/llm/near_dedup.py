@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import SHARES, cut, map_arrow, mix64, release, spread_join, text_or_empty
+from lakeloom.llm.common import cut, map_arrow, mix64, release, spread_join, text_or_empty
 from lakeloom.llm.graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -148,10 +148,10 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _links(percent: int, table: pa.Table) -> pa.Table:
-    """Links between a block's asking rows and its other rows, thinned to a forest."""
-    node, asks = table["node"].to_numpy(), table["asks"].to_numpy()
+    """Links between a block's asking rows and its other rows of other labels, as pairs of labels, thinned to a forest."""
+    label, asks, answers = (table[c].to_numpy() for c in ("label", "asks", "answers"))
     sets = [np.asarray(x) for x in table["s"].to_numpy()]
-    all_rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+    all_rows, queries = np.flatnonzero(answers), np.flatnonzero(asks)
     up: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -171,62 +171,72 @@ def _links(percent: int, table: pa.Table) -> pa.Table:
             at = np.repeat(lo - (np.cumsum(hits) - hits), hits) + np.arange(hits.sum())
             both = np.bincount(owner[at], minlength=len(all_rows))
             for k in np.flatnonzero(100 * both >= percent * (size + len(sets[q]) - both)):
-                a, b = int(node[q]), int(node[all_rows[k]])
+                a, b = int(label[q]), int(label[all_rows[k]])
                 if (ra := root(a)) != (rb := root(b)):
                     up[max(ra, rb)] = min(ra, rb)
                     out.append((a, b))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rules: NearRules) -> DataFrame:
-    """Exact links (a, b) that connect what is near among the pairs (node, hub) and among the nodes of each hub.
+def _linked(docs: DataFrame, members: DataFrame, rules: NearRules) -> DataFrame:
+    """(node, component): who is connected by exact links among buckets' members (size, node, hub).
 
-    Every node is first compared with its hub. Similarity's complement is a metric, so with
-    D the distance from the hub, two of its nodes can be linked only if their Ds differ by
-    at most the threshold. Nodes that the hub did not claim are therefore compared with
+    Every node is first compared with its hubs, and the links found make components. A
+    hub whose nodes are then all of one component, or claimed by it, is done, and so is one
+    whose buckets hold it and one node. For the others similarity's complement serves: it
+    is a metric, so with D the distance from the hub, two nodes can be linked only if their
+    Ds differ by at most the threshold. Nodes that the hub did not claim are compared with
     its nodes in neighbouring ranges of D, block by block; the blocks are hash parts of
     bounded size, so no hub's nodes have to fit in a task.
     """
     r = rules
+    pairs = members.select("node", "hub")
     ends = pairs.select("node").union(pairs.select("hub")).distinct()
     text = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(ends, "node", "left_semi")
     sets = cut(map_arrow(text, partial(_sets, r.words), "node bigint, s array<bigint>"), "sets")
-    # a hub of very many nodes is dealt to several tasks, and its set with it; there are few such hubs
-    share = max(1, pairs.count() // SHARES)
-    hot = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("hub", F.ceil(F.col("n") / share).cast("int").alias("parts"))
-    dealt = lambda df: df.join(F.broadcast(hot), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    ours = dealt(pairs).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    theirs = dealt(sets.select(F.col("node").alias("hub"), F.col("s").alias("c")).join(pairs.select("hub").distinct(), "hub", "left_semi")).select("hub", "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = F.size(F.array_intersect("s", "c"))
-    far = ours.join(sets, "node").join(theirs, ["hub", "part"]).select("node", "hub", F.size("s").alias("n"), F.size("c").alias("m"), both.alias("both"))
-    union = F.col("n") + F.col("m") - F.col("both")
-    star = cut(far.select("node", "hub", "n", (100 * F.col("both") >= r.percent * union).alias("near"), (1 - F.col("both") / union).alias("d")), "star")
-    links = star.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    # hubs that claim all their nodes, or have one, are done
-    open_ = cut(star.groupBy("hub").agg(F.count(F.lit(1)).alias("weight"), F.count_if(~F.col("near")).alias("not_near")).where("weight > 1 and not_near > 0").select("hub", "weight"), "open")
+    # a hub of very many nodes is dealt to several tasks, and its set with it
+    often = pairs.groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
+    hubs = cut(often.join(sets.withColumnRenamed("s", "c").hint("merge"), "node").withColumnRenamed("node", "hub"), "hubs")
+    met = spread_join(pairs.join(sets.hint("merge"), "node"), hubs, ["hub"], "weight", pairs.count(), large=True)
+    both, n, m = F.size(F.array_intersect("s", "c")), F.size("s"), F.size("c")
+    met = met.select("node", "hub", n.alias("n"), (n + m - both).alias("any"), both.alias("both"))
+    star = cut(met.select("node", "hub", "n", (100 * F.col("both") >= r.percent * F.col("any")).alias("near"), (1 - F.col("both") / F.col("any")).alias("d")), "star")
+    release(hubs)
+    first = components(star.where("near").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    star = star.join(first, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    # nodes of buckets of three and more, the hub left out
+    rest = cut(members.where("size > 2").select("node", "hub").join(star, ["node", "hub"]), "rest")
+    facts = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("weight"), F.count_if(~F.col("near")).alias("open"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("total"))
+    open_ = cut(facts.where("open > 0 and low < high").select("hub", "weight", "total"), "open")
     if open_.isEmpty():
-        out = cut(links, "links")
-        release(sets, star, open_)
-        return out
+        release(sets, rest, open_)
+        return first
     width = (100 - r.percent) / 100 + 1e-6
-    far = cut(spread_join(star, open_, ["hub"], "weight", star.count()).withColumn("bin", F.floor(F.col("d") / width).cast("int")), "open")
-    asking = far.where("not near").select("node", "hub", "n", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    far = cut(spread_join(rest, open_, ["hub"], "weight", rest.count()).withColumn("bin", F.floor(F.col("d") / width).cast("int")), "far")
+    # a hub whose sets fit in a block is one; others go by ranges of D and hash parts
+    whole, wide = far.where(F.col("total") <= r.block), far.where(F.col("total") > r.block)
+    asking = wide.where("not near").select("node", "hub", "n", "label", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
     size = lambda df, name: df.groupBy("hub", "bin").agg(F.ceil(F.sum("n") / r.block).cast("int").alias(name))
-    grid = size(asking, "qs").join(size(far, "ms"), ["hub", "bin"])
+    grid = size(asking, "qs").join(size(wide, "ms"), ["hub", "bin"])
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["hub", "bin", "q", "m"]
-    q = asking.join(grid, ["hub", "bin"]).select("node", "hub", "bin", part("qs").alias("q"), every("ms").alias("m"), F.lit(True).alias("asks"))
-    m = far.join(grid, ["hub", "bin"]).select("node", "hub", "bin", every("qs").alias("q"), part("ms").alias("m"), F.lit(False).alias("asks"))
-    rows = q.union(m).join(sets.select("node", "s"), "node")
+    block = ["hub", "bin", "q", "m"]
+    of = lambda df, q, m, asks, answers: df.select("node", "label", "hub", "bin", q.alias("q"), m.alias("m"), asks.alias("asks"), answers.alias("answers"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    one = of(whole.withColumn("bin", zero), zero, zero, ~F.col("near"), yes)
+    q = of(asking.join(grid, ["hub", "bin"]), part("qs"), every("ms"), yes, no)
+    m = of(wide.join(grid, ["hub", "bin"]), every("qs"), part("ms"), no, yes)
+    rows = one.union(q).union(m).join(sets.hint("merge"), "node")
 
-    def links_of(block: pa.Table) -> pa.Table:
-        return _links(r.percent, block)
+    def links_of(table: pa.Table) -> pa.Table:
+        return _links(r.percent, table)
 
-    found = rows.groupBy(*key).applyInArrow(links_of, "a bigint, b bigint")
-    out = cut(links.union(found), "links")
-    release(sets, star, far, open_)
-    return out
+    # components of components
+    second = components(rows.groupBy(*block).applyInArrow(links_of, "a bigint, b bigint"))
+    release(sets, rest, far, open_)
+    merged = second.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    every_node = first.unionByName(second.join(first, "node", "left_anti"))
+    return every_node.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
@@ -236,9 +246,9 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     smallest doc_id reachable by links; kept marks it. Texts without words are linked with
     nothing. Texts of equal shingle sets form a class first, by a minimum that is combined
     before the shuffle, so thousands of copies cost one row; classes alone are banded and
-    verified. Candidates are never closed into groups: a class is compared with the
-    smallest that shares a band with it, and with others that share one with that, so
-    texts that merely resemble each other in a chain do not gather. Rows that repeat a doc_id are one document. A null doc_id takes no part: its
+    verified. Candidates are never closed into groups: a class is compared with those
+    that share a band with it, so texts that merely resemble each other in a chain do not
+    gather. Rows that repeat a doc_id are one document. A null doc_id takes no part: its
     component_id is null and it is kept. Other columns of docs are not read.
     """
     r = rules
@@ -251,11 +261,9 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     banded = cut(classes.select("node", F.explode(F.array(*keys)).alias("key")), "banded")
     # who shares a band meets at the smallest of them
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("weight")).where("hub < last").drop("last")
-    pairs = cut(spread_join(banded, hubs, ["key"], "weight", banded.count()).where("node <> hub").select("node", "hub").distinct(), "pairs")
+    members = cut(spread_join(banded, hubs.withColumn("size", F.col("weight")), ["key"], "weight", banded.count()).where("node <> hub").groupBy("node", "hub").agg(F.max("size").alias("size")), "members")
     release(banded)
-    links = _verified(docs, pairs, r)
-    found = components(links)
-    release(pairs, links)
+    found = _linked(docs, members, r)
     classes = classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"), "weight")
     out = spread_join(sig.select("doc_id", *same), classes, same, "weight", sig.count(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
