@@ -3,10 +3,43 @@
 from __future__ import annotations
 
 from lakeloom.llm.line_clean import BOILERPLATE
+from lakeloom.llm.url_filter import BINS, DOUBT, ORDER, RULES
 
 _WS = r"[\x20\x09-\x0D]+"
 _BOILER = " OR ".join("contains(lower(l), '{}')".format(p.replace("'", "''")) for p in BOILERPLATE)
 
+_FITS = " UNION ALL ".join(f"SELECT '{h}' AS rh, '{p}' AS rp, '{v}' AS rv" for h, p, v in RULES)
+# a text as hexadecimal bytes between marks: a gram of order k is k + 1 of them
+_OWN = ", ".join(f"max(CASE WHEN k = {k} THEN {n}{m} END) AS {n}{m}{k}" for k in range(ORDER + 1) for n in ("own", "all") for m in "br")
+
+
+def _p(m: str) -> str:
+    p = "CAST(1 AS DOUBLE) / 256"
+    for k in range(ORDER + 1):
+        w = f"(all{m}{k} / (all{m}{k} + {DOUBT}))"
+        p = f"({w} * own{m}{k} / greatest(all{m}{k}, 1) + (1 - {w}) * {p})"
+    return p
+
+
+OP2 = rf"""
+WITH a AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+f AS (SELECT DISTINCT ON (host, path) host, path, rh || rp AS rule, rv FROM a JOIN ({_FITS}) r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY host, path, length(rh || rp) DESC),
+u AS (SELECT page_id, a.host, a.path, rule, rv, a.host || a.path AS text, rv IS NOT NULL AND CAST('0x' || md5(a.host || a.path)[1:7] AS INTEGER) % 5 = 0 AS aside FROM a LEFT JOIN f ON f.host = a.host AND f.path = a.path),
+c AS (SELECT text, CAST(count(*) FILTER (rv = 'block') AS DOUBLE) AS b, CAST(count(*) FILTER (rv = 'allow') AS DOUBLE) AS r FROM u WHERE rv IS NOT NULL AND NOT aside GROUP BY 1),
+s AS (SELECT text, repeat('^^', {ORDER}) || hex(replace(text, chr(0), ' ')) || '$$' AS marked FROM (SELECT DISTINCT text FROM u)),
+g AS (SELECT text, i, k, substring(marked, 2 * (i + {ORDER} - k) + 1, 2 * (k + 1)) AS gram, substring(marked, 2 * (i + {ORDER} - k) + 1, 2 * k) AS before
+    FROM (SELECT text, marked, unnest(range(0, len(marked) // 2 - {ORDER})) AS i FROM s), (SELECT unnest(range(0, {ORDER + 1})) AS k)),
+own AS (SELECT k, gram, before, sum(b) AS b, sum(r) AS r FROM g JOIN c USING (text) GROUP BY 1, 2, 3),
+every AS (SELECT k, before, sum(b) AS b, sum(r) AS r FROM own GROUP BY 1, 2),
+j AS (SELECT text, i, g.k, coalesce(own.b, 0) AS ownb, coalesce(own.r, 0) AS ownr, coalesce(every.b, 0) AS allb, coalesce(every.r, 0) AS allr FROM g LEFT JOIN own ON own.k = g.k AND own.gram = g.gram LEFT JOIN every ON every.k = g.k AND every.before = g.before),
+v AS (SELECT text, i, {_OWN} FROM j GROUP BY 1, 2),
+z AS (SELECT text, avg(ln({_p("r")}) - ln({_p("b")})) AS score FROM v GROUP BY 1),
+y AS (SELECT u.*, z.score FROM u JOIN z USING (text)),
+h AS (SELECT CAST(round(greatest(-4.0, least(4.0, score)) * {(BINS - 1) // 8}) AS INTEGER) + {(BINS - 1) // 2} AS bin, count(*) FILTER (rv = 'block') AS b, count(*) FILTER (rv = 'allow') AS r FROM y WHERE aside GROUP BY 1),
+e AS (SELECT e, sum(CASE WHEN bin < e THEN b ELSE 0 END) / sum(b) + sum(CASE WHEN bin >= e THEN r ELSE 0 END) / sum(r) AS gain, sum(b) AS b, sum(r) AS r FROM h, (SELECT unnest(range(0, {BINS + 1})) AS e) GROUP BY 1),
+best AS (SELECT coalesce(CASE WHEN max(b) > 0 AND max(r) > 0 THEN ((min(e) + max(e)) / 2.0 - {(BINS - 1) // 2} - 0.5) / {(BINS - 1) // 8} END, 0.0) AS threshold FROM e WHERE gain >= (SELECT max(gain) FROM e) - 1e-12)
+SELECT page_id, host, path, rule, coalesce(rv, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score, round(CAST(threshold AS DOUBLE), 6) AS threshold FROM y, best"""
+
 OP3 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
@@ -17,6 +50,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     CAST(sum(length(er) + length(et) + 24) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+# windows of 200 bytes are 400 hexadecimal digits
+OP6 = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT r, i, md5(substring(h, 2 * i + 1, 400)) AS x FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM t WHERE len(h) >= 400)),
+twice AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1),
+hit AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, TRUE) AS fresh FROM w SEMI JOIN twice USING (x)),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM (SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS done FROM runs),
+per AS (SELECT c.r, sum(b - a) AS removed, count(*) AS n, string_agg(substring(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept, max(b) AS last FROM cuts c JOIN t USING (r) GROUP BY c.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN per USING (r)"""
+
 OP8 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),

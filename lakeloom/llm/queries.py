@@ -19,7 +19,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("score", "threshold")})
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
 
-ORACLES: dict[str, str] = {"op3_chat_format": oracles.OP3, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10}
+ORACLES: dict[str, str] = {"op2_url_filter": oracles.OP2, "op3_chat_format": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10}
 
 
 def _on_texts(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -211,7 +211,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     table gives no rows. Columns but page_id and url are not read.
     """
     d = match_rules(pages, rules).withColumn("text", F.concat("host", "path"))
-    aside = F.col("rule_verdict").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(5)) == 0)
+    aside = F.col("rule_verdict").isNotNull() & (F.conv(F.substring(F.md5("text"), 1, 7), 16, 10).cast("int") % 5 == 0)
     d = d.select("page_id", "host", "path", "rule", "rule_verdict", aside.alias("aside"), "text", F.lit(0).cast("bigint").alias("block"))
     urls = cut(map_arrow(d, _into_blocks, d.schema), "urls")
     counts = gram_counts(urls.where("rule_verdict is not null and not aside").select("text", (F.col("rule_verdict") == "allow").alias("accepted")))
