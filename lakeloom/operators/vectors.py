@@ -89,7 +89,7 @@ def batched_top_k(queries: DataFrame, index: DataFrame, key: str, vec: str, k: i
 
 def context(hits: DataFrame, docs: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
     """One row: the texts of the hits, best first, joined. Hits are a handful of rows."""
-    d = F.broadcast(hits).join(docs.select(key, text), key)
+    d = hits.join(docs.select(key, text), key)
     return d.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), F.col(text).alias("t")))), lambda x: x["t"]), separator).alias("context"))
 
 
