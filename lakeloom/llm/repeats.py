@@ -164,21 +164,21 @@ def _find(size: int, level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def _fetch(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches asked for."""
-    names = ["anchor", "content", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    names = ["anchor", "content", "hot", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
     for b in batches:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[] for _ in names]
         held = 0
         for t, asked in zip(b["text"].to_pylist(), b["asked"].to_pylist()):
             raw = _raw(t)
             for x in asked:
                 piece = raw[x["low"] : x["high"] + size]
-                for c, v in zip(out, (x["anchor"], x["content"], piece)):
+                for c, v in zip(out, (x["anchor"], x["content"], x["hot"], piece)):
                     c.append(v)
                 held += len(piece)
             if held > 8_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-                out, held = [[], [], []], 0
+                out, held = [[] for _ in names], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
 
@@ -323,33 +323,32 @@ def _repeats(d: DataFrame, size: int, hot_bytes: int, levels: int, level: int) -
     """(doc, row, ranges) of texts (doc, row, text); text is a string or binary."""
     spark = d.sparkSession
     found = cut(map_arrow(d.where(F.octet_length("text") >= size), partial(_find, size, level), _STRETCH), "stretches")
-    again = found.groupBy("anchor").agg(F.sum("anchors").alias("n"), F.count(F.lit(1)).alias("weight")).where("n > 1").select("anchor", "weight")
+    again = cut(found.groupBy("anchor").agg(F.sum("anchors").alias("n"), F.count(F.lit(1)).alias("weight")).where("n > 1").select("anchor", "weight"), "anchors")
     some = cut(spread_join(found, again, ["anchor"], "weight", found.count()), "again")
     free_shuffles(spark)
-    release(found)
+    release(found, again)
     # equal stretches merge before any text moves; their windows repeat by that alone
     kinds = cut(some.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "row", "low", "high")).alias("at")), "kinds")
     length = F.col("at.high") - F.col("at.low") + size
     single = kinds.groupBy("anchor").agg((F.min("n") == 1).alias("single"), F.sum(length).alias("bytes"), F.count(F.lit(1)).alias("weight")).where("single").select("anchor", "bytes", "weight")
-    asked = cut(spread_join(kinds, single, ["anchor"], "weight", kinds.count()).select("anchor", "content", "bytes", "at.*"), "asked")
+    asked = cut(spread_join(kinds, single, ["anchor"], "weight", kinds.count()).select("anchor", "content", (F.col("bytes") > hot_bytes).alias("hot"), "at.*"), "asked")
     free_shuffles(spark)
     total = asked.agg(F.coalesce(F.sum(F.col("high") - F.col("low") + size), F.lit(0))).first()[0]
-    per_doc = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "content", "low", "high")).alias("asked"))
-    bytes_of = map_arrow(d.join(per_doc, ["doc", "row"]).select("text", "asked"), partial(_fetch, size), "anchor bigint, content bigint, bytes binary")
+    per_doc = asked.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "content", "hot", "low", "high")).alias("asked"))
+    bytes_of = map_arrow(d.join(per_doc, ["doc", "row"]).select("text", "asked"), partial(_fetch, size), "anchor bigint, content bigint, hot boolean, bytes binary")
     # rows that are equal bring the same bytes
     texts = cut(bytes_of, "texts")
     free_shuffles(spark)
-    hot = asked.where(F.col("bytes") > hot_bytes).select("anchor").distinct()
     blocks = max(1, total // BLOCK)
     block = F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int").alias("block")
 
     def expand(table: pa.Table) -> pa.Table:
         return _expand(size, table)
 
-    usual = texts.join(hot, "anchor", "left_anti").dropDuplicates(["anchor", "content"])
+    usual = texts.where("not hot").drop("hot").dropDuplicates(["anchor", "content"])
     ranges = usual.withColumn("block", block).groupBy("block").applyInArrow(expand, "anchor bigint, content bigint, ranges array<struct<a:bigint,b:bigint>>")
-    if not hot.isEmpty():
-        large = texts.join(hot, "anchor").dropDuplicates(["anchor", "content"])
+    if not asked.where("hot").isEmpty():
+        large = texts.where("hot").drop("hot").dropDuplicates(["anchor", "content"])
         if level < levels:
             large = cut(large.select(F.col("anchor").alias("doc"), F.col("content").alias("row"), F.col("bytes").alias("text")), "large")
             ranges = ranges.unionByName(_repeats(large, size, hot_bytes, levels, level + 1).toDF("anchor", "content", "ranges"))
