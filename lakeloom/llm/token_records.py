@@ -14,6 +14,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -94,16 +95,17 @@ class WordEncoder:
     The vocabulary drops white space and never merges across it, so a text's ids are those
     of its words in turn. Plain Latin words are split into runs as the vocabulary's own
     rule says, and the library's model encodes each distinct run once; any other word is
-    given to the library whole. The memory is emptied when it holds ``room`` entries.
+    given to the library whole. The memory is emptied when it holds ``room`` words.
     """
 
     #: Characters that no normalization changes, once lower case, and whose class is plain.
     _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ɏ]+")
     _RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^0-9a-zÀ-ÖØ-öø-ɏ]+")
 
-    def __init__(self, lib, room: int = 1_500_000):
+    def __init__(self, lib, room: int = 700_000):
         self.lib = lib
         self.room, self.wide = room, lib.get_vocab_size() > 65_536
+        self.kind = "I" if self.wide else "H"
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in letters]
         #: bytes as the printable characters that byte-level vocabularies use
@@ -112,50 +114,38 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 16, np.int64)
-        self.used = self.known = 0
+        self.runs: dict[str, bytes] = {}
+        #: The ids of all known words one after another, and where each word's begin.
+        self.flat, self.start = array(self.kind), array("q", [0])
 
-    def _ids(self, word: bytes) -> list[int]:
+    def _ids(self, word: bytes) -> bytes:
         text = word.decode()
         low = text.lower()
         if "<|" in text or not self._PLAIN.fullmatch(low):
-            return self.lib.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
+            return array(self.kind, self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+        out = []
         for run in self._RUN.findall(low):
             ids = self.runs.get(run)
             if ids is None:
                 shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
-                ids = self.runs[run] = [t.id for t in self.lib.model.tokenize(shown)]
-            out += ids
-        return out
+                ids = self.runs[run] = array(self.kind, [t.id for t in self.lib.model.tokenize(shown)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def _add(self, word: bytes) -> int:
-        ids = self._ids(word)
-        k, end = self.known, self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        if k + 2 > len(self.start):
-            self.start = np.concatenate([self.start, np.zeros(len(self.start), np.int64)])
-        self.flat[self.used : end] = ids
-        self.start[k + 1] = self.used = end
-        self.words[word] = k
-        self.known = k + 1
+        k = self.words[word] = len(self.start) - 1
+        self.flat.frombytes(self._ids(word))
+        self.start.append(len(self.flat))
         return k
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        out = []
-        for t in texts:
-            if self.known > self.room:
-                self.clear()
-            get, add = self.words.get, self._add
-            at = [k if (k := get(w)) is not None else add(w) for w in t.encode().split()]
-            k = np.array(at, np.int64)
-            s = self.start[k]
-            out.append(self.flat[spread(s, self.start[k + 1] - s)])
-        return out
+        if len(self.words) > self.room:
+            self.clear()
+        get, add = self.words.get, self._add
+        known = [np.array([k if (k := get(w)) is not None else add(w) for w in t.encode().split()], np.int64) for t in texts]
+        flat, start = np.frombuffer(self.flat, f"u{self.flat.itemsize}"), np.frombuffer(self.start, np.int64)
+        return [flat[spread(s := start[k], start[k + 1] - s)] for k in known]
 
 
 _OPEN: dict[str, WordEncoder | WholeEncoder] = {}
