@@ -66,6 +66,13 @@ def json_records(spark: SparkSession, path: str, schema: StructType | str) -> Da
     return d.join(d.where(F.col(bad).isNotNull()).select(file).distinct(), file, "left_anti").select(*wanted.names)
 
 
+#: Fixed values of the generated transactions: unit prices, channels, how many at once with their upper shares, and the share without promotion.
+PRICES = (10.0, 20.0, 30.0, 50.0, 100.0)
+CHANNELS = ("web", "app", "store")
+QUANTITIES = ((1, 0.8), (2, 0.9), (3, 1.0))
+NO_PROMOTION = 0.85
+
+
 def synthetic_transactions(spark: SparkSession, n: int = 8_000, customers: int = 1_000, seed: int = 42) -> DataFrame:
     """Transactions of the fixed domains, by a hash of row and seed: the same rows on any cluster."""
 
@@ -75,11 +82,14 @@ def synthetic_transactions(spark: SparkSession, n: int = 8_000, customers: int =
     pick = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (F.floor(u(k) * len(values)) + 1).cast("int"))
     d = spark.range(1, n + 1).withColumnRenamed("id", "transaction_id")
     seconds = (F.floor(u(2) * 365) * 86_400 + F.floor(u(3) * 24) * 3_600).cast("int")
+    quantity = F.lit(QUANTITIES[-1][0])
+    for n, share in reversed(QUANTITIES[:-1]):
+        quantity = F.when(u(5) < share, n).otherwise(quantity)
     d = d.select(
         "transaction_id", (F.floor(u(1) * customers) + 1).cast("bigint").alias("customer_id"),
         F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("_t"), seconds.alias("_s"), (F.floor(u(4) * 199) + 1).cast("int").alias("product_id"),
-        F.when(u(5) < 0.8, 1).when(u(5) < 0.9, 2).otherwise(3).alias("quantity"), F.round(pick(6, [10.0, 20.0, 30.0, 50.0, 100.0]) * (1 + u(7) * 0.3), 2).alias("price"),
-        pick(8, ["web", "app", "store"]).alias("channel"), (u(9) >= 0.85).cast("int").alias("promo_flag"),
+        quantity.alias("quantity"), F.round(pick(6, PRICES) * (1 + u(7) * 0.3), 2).alias("price"),
+        pick(8, CHANNELS).alias("channel"), (u(9) >= NO_PROMOTION).cast("int").alias("promo_flag"),
     )
     d = d.withColumn("purchase_datetime", F.col("_t") + F.make_dt_interval(secs=F.col("_s"))).drop("_t", "_s")
     return d.withColumn("amount", F.col("quantity") * F.col("price"))
