@@ -176,14 +176,15 @@ class Parser:
             for form in {c, c.upper()}:
                 if len(form) == 1:
                     self.classes[ord(form)] = k + _FIRST
-        owners, targets, starts, self.start, self.bits, base = [], [], [], [], [], 0
+        entries, targets, starts, self.start, self.bits, base = [], [], [], [], [], 0
         for lang in self.langs:
             symbols = self.symbols([samples.texts[lang]])[0]
             rows = automaton(symbols.tolist())
             place, owner, target = overlaid(rows)
             # a symbol may point past the last cell
             pad = max(0, max(place) + self.width - len(owner))
-            owners.append(np.concatenate([np.where(owner >= 0, owner + base, -1), np.full(pad, -1)]))
+            # the symbol of an entry tells whose it is, as a cell is a place and a symbol; the width is no symbol
+            entries.append(np.concatenate([np.where(owner >= 0, np.arange(len(owner)) - owner, self.width), np.full(pad, self.width)]))
             targets.append(np.concatenate([target + base, np.zeros(pad, np.int64)]))
             # without a next state a phrase ends, and the next one begins with this symbol
             first = np.full(self.width, place[0] + base)
@@ -194,10 +195,12 @@ class Parser:
             self.bits.append(math.log2(max(2, len(symbols))))
             base += len(owner) + pad
         none = np.zeros(0, np.int64)
-        # owner and target in one number, so that a step reads one place of memory
-        self.cells = np.concatenate([none, *owners]) << 32 | np.concatenate([none, *targets])
-        self.first = np.array(starts, np.int64).reshape(len(self.langs), self.width)
-        self._cells, self._first = array("q", self.cells.tobytes()), [array("q", x.tobytes()) for x in self.first]
+        # symbol and target in one number, so that a step reads one place of memory
+        self.shift = self.width.bit_length()
+        self.kind = np.int32 if base << self.shift < 1 << 31 else np.int64
+        self.cells = (np.concatenate([none, *targets]) << self.shift | np.concatenate([none, *entries])).astype(self.kind)
+        self.first = np.array(starts, self.kind).reshape(len(self.langs), self.width)
+        self._cells, self._first = array(self.cells.dtype.char, self.cells.tobytes()), [array(self.cells.dtype.char, x.tobytes()) for x in self.first]
         # bits a symbol that each language's own unseen text takes; none known: no text is too dear
         self.usual = np.full(len(self.langs), np.inf)
         for k, lang in enumerate(self.langs):
@@ -228,28 +231,28 @@ class Parser:
             return out.T
         order = np.argsort(-sizes, kind="stable")
         start, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        state = np.repeat(np.array(self.start, np.int64)[:, None], len(order), 1)
-        count = np.ones(state.shape, np.int64)
+        state = np.repeat(np.array(self.start, self.kind)[:, None], len(order), 1)
+        count = np.ones(state.shape, np.int32)
+        mask = (1 << self.shift) - 1
         few, t = -(-TOGETHER // len(self.langs)), 0
         active = np.searchsorted(-length, -np.arange(int(length[0])), side="left")  # texts longer than t
         while t < len(active) and active[t] >= few:
             m = active[t]
             c = symbols.take(start[:m] + t)
-            s = state[:, :m]
-            v = self.cells.take(s + c)
-            goes = v >> 32 == s
-            count[:, :m] += ~goes
-            state[:, :m] = np.where(goes, v & 0xFFFFFFFF, self.first.take(c, 1))
+            v = self.cells.take(state[:, :m] + c)
+            ends = (v & mask) != c
+            count[:, :m] += ends
+            state[:, :m] = np.where(ends, self.first.take(c, 1), v >> self.shift)
             t += 1
-        cells = self._cells
+        cells, shift = self._cells, self.shift
         for i in range(active[t] if t < len(active) else 0):
             rest = symbols[start[i] + t : start[i] + length[i]].tolist()
             for k, first in enumerate(self._first):
                 s, n = int(state[k, i]), 0
                 for c in rest:
                     v = cells[s + c]
-                    if v >> 32 == s:
-                        s = v & 0xFFFFFFFF
+                    if v & mask == c:
+                        s = v >> shift
                     else:
                         n += 1
                         s = first[c]
