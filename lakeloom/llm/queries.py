@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, oracles, packing, repeats, token_counts, token_records, url_filter
+from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, oracles, packing, repeats, token_counts, token_records, url_filter, warc
 from lakeloom.llm.common import table
 from lakeloom.session import text_batches
 
@@ -65,9 +65,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
-_ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_path(spark))
+    read = warc.read_archives(written, with_payload=False).where("record_type IN ('response', 'revisit')")
+    page_id = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+):", 1).try_cast("bigint")
+    return read.select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
 
-ORACLES: dict[str, str] = {"op2_url_filter": oracles.OP2, "op3_chat_format": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10}
+
+_ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate, op13_warc)
+
+ORACLES: dict[str, str] = {"op2_url_filter": oracles.OP2, "op3_chat_format": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10, "op13_warc": oracles.OP13}
 
 
 def _on_texts(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -650,7 +650,7 @@ def test_texts_of_megabytes(spark):
 
 def test_queries_cover_the_operators(spark, sf_dir):
     q = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 14))
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in ("op5_packing", "op7_token_records", "op10_decontaminate"):
         assert q[name](spark, sf_dir).count() == n
