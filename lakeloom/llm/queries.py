@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, oracles, packing, repeats, token_counts, token_records, url_filter, warc
+from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, oracles, packing, periodic, repeats, token_counts, token_records, url_filter, warc
 from lakeloom.llm.common import table
 from lakeloom.session import text_batches
 
@@ -65,6 +65,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_period(table(spark, sf_dir, "documents")))
+    by_length = F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["length"].alias("length"), r["period"].alias("period"))))
+    found = found.withColumn("longest", F.get(by_length, F.lit(0)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    start, length, period = (F.col(f"longest.{c}") for c in ("start", "length", "period"))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_path(spark))
     read = warc.read_archives(written, with_payload=False).where("record_type IN ('response', 'revisit')")
@@ -72,7 +81,7 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
 
 
-_ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate, op13_warc)
+_ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate, op11_periodic_runs, op13_warc)
 
 ORACLES: dict[str, str] = {"op2_url_filter": oracles.OP2, "op3_chat_format": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10, "op13_warc": oracles.OP13}
 
