@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat, decontaminate, language_id, line_clean, near_dedup, oracles, packing, periodic, repeats, token_counts, token_records, url_filter, warc
+from lakeloom.llm import chat, decontaminate, hard_negatives, language_id, line_clean, near_dedup, oracles, packing, periodic, repeats, token_counts, token_records, url_filter, warc
 from lakeloom.llm.common import table
 from lakeloom.session import text_batches
 
@@ -74,6 +74,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    found = hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, scale=256.0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_path(spark))
     read = warc.read_archives(written, with_payload=False).where("record_type IN ('response', 'revisit')")
@@ -81,9 +88,9 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
 
 
-_ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate, op11_periodic_runs, op13_warc)
+_ALL = (op1_token_counts, op2_url_filter, op3_chat_format, op4_language_id, op5_packing, op6_suffix_dedup, op7_token_records, op8_near_dedup, op9_line_clean, op10_decontaminate, op11_periodic_runs, op12_hard_negatives, op13_warc)
 
-ORACLES: dict[str, str] = {"op2_url_filter": oracles.OP2, "op3_chat_format": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10, "op13_warc": oracles.OP13}
+ORACLES: dict[str, str] = {"op2_url_filter": oracles.OP2, "op3_chat_format": oracles.OP3, "op6_suffix_dedup": oracles.OP6, "op8_near_dedup": oracles.OP8, "op9_line_clean": oracles.OP9, "op10_decontaminate": oracles.OP10, "op12_hard_negatives": oracles.OP12, "op13_warc": oracles.OP13}
 
 
 def _on_texts(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
