@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.ranking import global_rank
-from lakeloom.scratch import cut
+from lakeloom.scratch import cut, fresh
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str]) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str], update: list[str]) -> DataFrame:
     """Insert new keys; for known keys replace only the ``update`` columns. Columns of old, in order."""
-    o, n = old.alias("o"), new.alias("n")
-    hit = F.col(f"n.{key}").isNotNull()
-    cols = [F.coalesce(f"o.{key}", f"n.{key}").alias(key)]
-    for c in old.columns:
-        if c == key:
-            continue
-        if c in update:
-            cols.append(F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
-        else:
-            cols.append(F.when(F.col(f"o.{key}").isNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
-    return o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").select(*cols).select(*old.columns)
+    keys = [key] if isinstance(key, str) else key
+    mark_o, mark_n = fresh(old, "_old"), fresh(new, "_new")
+    o, n = old.withColumn(mark_o, F.lit(True)).alias("o"), new.withColumn(mark_n, F.lit(True)).alias("n")
+    had, hit = F.col(f"o.{mark_o}").isNotNull(), F.col(f"n.{mark_n}").isNotNull()
+
+    def merged(c: str) -> Column:
+        if c in keys:
+            return F.coalesce(f"o.{c}", f"n.{c}")
+        return F.when(hit if c in update else ~had, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+
+    same = reduce(lambda a, b: a & b, (F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys))
+    return o.join(n, same, "full_outer").select(*(merged(c).alias(c) for c in old.columns))
 
 
 def tail_beyond(source: DataFrame, target_rows: int, order: str) -> DataFrame:

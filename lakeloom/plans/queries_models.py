@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import models, prep, scorecard, training
+from lakeloom.operators import boosting, models, prep, scorecard, training
 from lakeloom.plans.adapters import frame
 from lakeloom.plans.queries_scorecard import features
 from lakeloom.plans.registry import register
-from lakeloom.scratch import cut
+from lakeloom.scratch import cut, scratch
 
 
 def _split(spark, d):
@@ -49,6 +49,28 @@ def _(spark, d):
     return m.transform(h).select("id", "target", F.round("prediction", 6).alias("prediction"))
 
 
+#: Trees of the two queries below; every level of a tree is a job of its own.
+_TREES = 20
+
+
+@register("second_order_scores")
+def _(spark, d):
+    """Trees by gradients and hessians on the training part; all test rows scored by an expression."""
+    f = cut(prep.stratified_split(features(spark, d), "label", "customer_id"), "split")
+    m = boosting.fit_trees(f.where("split = 'train'"), scorecard.NUMERIC, "label", params=boosting.Params(rounds=_TREES))
+    return f.where("split = 'test'").select("customer_id", "label", F.round(m.prediction(), 6).alias("probability"))
+
+
+@register("second_order_regression")
+def _(spark, d):
+    """The house-price chain with the regression's depth; the model is saved and loaded before it scores all rows."""
+    h = cut(prep.house_price_chain(frame(spark, d, "housing"), "target", "id"), "housing")
+    m = boosting.fit_trees(h, ["size", "price", "rooms"], "target", "squared", boosting.Params(rounds=_TREES, depth=6, rows=1.0, columns=1.0))
+    path = scratch(spark, "model")
+    m.save(spark, path)
+    return h.select("id", "target", F.round(boosting.TreeModel.load(spark, path).prediction(), 6).alias("prediction"))
+
+
 @register("regression_response")
 def _(spark, d):
     m, _h = _regression(spark, d)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.operators import evaluate, prep, scorecard
+from lakeloom.operators import evaluate, prep, registry, scorecard
 from lakeloom.plans.adapters import frame, sql
 from lakeloom.plans.registry import register
+from lakeloom.scratch import scratch
 
 RETAIL, EVENTS, HOUSING, SCORED = sql("tx_retail"), sql("tx_events"), sql("housing"), sql("scored")
 
@@ -251,6 +252,22 @@ _VERSIONS = "(SELECT 'm' || CAST(n_regionkey AS VARCHAR) AS name, n_nationkey AS
         OR coalesce(auc > max(auc) OVER (PARTITION BY name ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS promoted FROM {_VERSIONS} x WINDOW w AS (PARTITION BY name ORDER BY version))
     SELECT name, version, auc, promoted, CASE WHEN NOT promoted THEN 'None' WHEN version = max(CASE WHEN promoted THEN version END) OVER (PARTITION BY name) THEN 'Production' ELSE 'Archived' END AS stage FROM v""")
 def _(spark, d):
+    return evaluate.promotion(_versions(spark, d))
+
+
+def _versions(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet")
     auc = F.when(F.col("n_nationkey") % 11 == 7, None).otherwise(((F.col("n_nationkey") * 7) % 10).cast("double") / 10)
-    return evaluate.promotion(n.select(F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("name"), F.col("n_nationkey").alias("version"), auc.alias("auc")))
+    return n.select(F.concat(F.lit("m"), F.col("n_regionkey").cast("string")).alias("name"), F.col("n_nationkey").alias("version"), auc.alias("auc"))
+
+
+@register("registry_stages", f"""WITH v AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY version) AS version, auc FROM {_VERSIONS} x),
+    p AS (SELECT *, max(auc) OVER (PARTITION BY name ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM v)
+    SELECT name, CAST(version AS INTEGER) AS version, auc, CASE WHEN NOT (best IS NULL OR coalesce(auc > best, FALSE)) THEN 'None'
+        WHEN version = max(CASE WHEN best IS NULL OR coalesce(auc > best, FALSE) THEN version END) OVER (PARTITION BY name) THEN 'Production' ELSE 'Archived' END AS stage FROM p""")
+def _(spark, d):
+    """The same versions written to a registry one after another, and the stages it derives."""
+    r = registry.ModelRegistry(spark, scratch(spark, "registry"))
+    for v in _versions(spark, d).orderBy("name", "version").collect():
+        r.register(v.name, v.auc)
+    return r.stages().select("name", "version", "auc", "stage")

@@ -6,11 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths that cut() wrote and nobody removed yet, innermost scope last.
-_SCOPES: list[list[str]] = []
+#: Paths that cut() wrote inside the innermost scope; each thread and context has its own.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
     path = f"{shared_dir(spark)}/lakeloom/{what}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if (inside := _SCOPE.get()) is not None:
+        inside.append(path)
     return path
 
 
@@ -40,12 +41,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, all that was cut inside: write the results within it."""
-    _SCOPES.append([])
+    """Deletes, at its end, all that was cut inside by this thread: write the results within it."""
+    paths: list[str] = []
+    outer = _SCOPE.set(paths)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(outer)
+        for path in paths:
             drop_path(spark, path)
 
 
@@ -66,3 +69,11 @@ def release(*frames: DataFrame) -> None:
     """Delete what cut() wrote; the frames must not be read afterwards."""
     for df in frames:
         drop_path(df.sparkSession, df._scratch)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
