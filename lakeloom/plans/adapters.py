@@ -74,6 +74,26 @@ VIEWS = {
             WHEN 2 THEN CONCAT('```json', CHR(10), '{{"other": 1}}', CHR(10), '```')
             ELSE '{{"response": "x PRODUCT_INFO or CREDIT_CARD"}}' END AS raw
         FROM {pages}""",
+    # requests for products: codes by the bits of a number, some twice, by channel and client
+    "requests": """
+        SELECT doc_id AS id,
+               CONCAT_WS(', ', CASE WHEN (k & 1) <> 0 THEN '401' END, CASE WHEN (k & 2) <> 0 THEN '502' END, CASE WHEN (k & 4) <> 0 THEN '506' END, CASE WHEN (k & 8) <> 0 THEN 'TMS' END,
+                         CASE WHEN (k & 16) <> 0 THEN '524' END, CASE WHEN (k & 32) <> 0 THEN '526' END, CASE WHEN (k & 64) <> 0 THEN '528' END, CASE WHEN (k & 128) <> 0 THEN 'TDE' END,
+                         CASE WHEN (k & 256) <> 0 THEN 'FFD' END, CASE WHEN (k & 512) <> 0 THEN '529' END, CASE WHEN (k & 1024) <> 0 THEN 'TMS' END, CASE WHEN (k & 2048) <> 0 THEN 'XX' END) AS products,
+               CASE doc_id % 5 WHEN 0 THEN 'ONLINE, COUNTER' WHEN 1 THEN 'ONLINE' WHEN 2 THEN 'COUNTER' WHEN 3 THEN 'COUNTER,ONLINE' ELSE NULL END AS channels,
+               CASE WHEN doc_id % 3 = 0 THEN 'DN' ELSE 'CN' END AS client
+        FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE (doc_id * 37) % 4096 END AS k FROM {documents})""",
+    # arithmetic texts whose value SQL can compute, and some that are none
+    "sums": """
+        SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS n, CAST(doc_id % 7 AS DOUBLE) AS m, doc_id % 4 AS kind,
+               CASE doc_id % 4 WHEN 0 THEN CONCAT('(', CAST(n_chars AS VARCHAR(20)), ' + 2.5) * -(', CAST(doc_id % 7 AS VARCHAR(20)), ' - 3)')
+                   WHEN 1 THEN CONCAT(CAST(n_chars AS VARCHAR(20)), '/ ', CAST(doc_id % 7 AS VARCHAR(20)), '-2 / 4/ 8')
+                   WHEN 2 THEN CONCAT('-', CAST(n_chars AS VARCHAR(20)), ' // 3 % (2+3)  *-1')
+                   ELSE CONCAT(CAST(n_chars AS VARCHAR(20)), ' + ') END AS text
+        FROM {documents}""",
+    # pages entered first, and documents that come later under the same numbers
+    "notes_old": "SELECT page_id AS id, CAST(1 AS BIGINT) AS create_at, CAST(1 AS BIGINT) AS update_at, url AS config FROM {pages}",
+    "notes_new": "SELECT doc_id AS id, CAST(9 AS BIGINT) AS create_at, CAST(2 AS BIGINT) AS update_at, source AS config FROM {documents} WHERE lang IN ('en', 'de')",
     "settings_old": "SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS create_at, CAST(1 AS BIGINT) AS update_at, c_name AS config FROM {customer} WHERE c_custkey % 3 <> 0",
     "settings_new": "SELECT c_custkey AS id, CAST(9 AS BIGINT) AS create_at, CAST(2 AS BIGINT) AS update_at, c_mktsegment AS config FROM {customer} WHERE c_custkey % 2 = 0",
 }

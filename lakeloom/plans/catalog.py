@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from lakeloom.plans import queries_bank, queries_models, queries_scorecard  # noqa: F401
+from lakeloom.plans import queries_bank, queries_models, queries_scorecard, queries_tables  # noqa: F401

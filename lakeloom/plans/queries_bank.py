@@ -12,7 +12,6 @@ from lakeloom.operators import rates, relational, vectors
 from lakeloom.plans.adapters import frame, sql
 from lakeloom.plans.registry import register
 from lakeloom.scratch import cut, drop_path, scratch
-from lakeloom.sources.keyed import KeyedTable
 
 FX, SAVING = sql("rates_fx"), sql("rates_saving")
 _DISTINCT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY effective_date, ccy, rate_type ORDER BY last_change) AS rn FROM {FX} x WHERE branch = '001') WHERE rn = 1)"
@@ -120,16 +119,6 @@ def _(spark, d):
     return relational.upsert(frame(spark, d, "settings_old"), frame(spark, d, "settings_new"), "id", ["update_at", "config"])
 
 
-@register("table_merge", f"SELECT coalesce(o.id, n.id) AS id, coalesce(o.create_at, n.create_at) AS create_at, coalesce(n.update_at, o.update_at) AS update_at, coalesce(n.config, o.config) AS config FROM {OLD} o FULL JOIN {NEW} n ON o.id = n.id")
-def _(spark, d):
-    """The same upsert as a write: a keyed table is filled, merged into and read back."""
-    old = frame(spark, d, "settings_old")
-    t = KeyedTable(spark, scratch(spark, "table"), ["id"], old.schema, buckets=16)
-    t.append_if_empty(old)
-    t.merge(frame(spark, d, "settings_new"), update=["update_at", "config"])
-    return t.read()
-
-
 @register("tail_append", "SELECT c_custkey, coalesce(c_mktsegment, '') AS c_mktsegment FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) WHERE rn > 70")
 def _(spark, d):
     return relational.tail_beyond(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_mktsegment"), 70, "c_custkey")
