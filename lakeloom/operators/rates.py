@@ -89,15 +89,18 @@ def savings_rates(rates: DataFrame, products: list[str] = (), interest: list[str
         if wanted:
             d = d.where(F.col(col).isin(list(wanted)))
     d = d.where((F.col("ccy") != "VND") | (F.col("actual_rate") > 0))
+    return in_answer_order(d.select("id", *savings_columns()))
+
+
+def savings_columns() -> list[Column]:
+    """What an answer says about a savings rate, beside its id."""
     p = F.col("product_type")
-    d = d.select(
-        "id",
+    return [
         F.when(p.isin(*PERSONAL_CODES), CLIENTS[0]).when(p.isin(*BUSINESS_CODES), CLIENTS[1]).alias("client_type"),
         F.when(p.isin(*ONLINE_CODES), PLACES[0]).when(p.isin(*COUNTER_CODES), PLACES[1]).alias("saving_type"),
-        _name(p, F.col("ccy")).alias("product_name"), "product_type", T.term_name(F.col("term")).alias("term_name"), T.term_days(F.col("term")).alias("term_day"),
-        T.interest_frequency(F.col("cr_int_freq")).alias("int_freq"), "cr_int_freq", T.yearly_rate(F.col("actual_rate")).alias("full_rate"), "balance", "ccy",
-    )
-    return in_answer_order(d)
+        _name(p, F.col("ccy")).alias("product_name"), p, T.term_name(F.col("term")).alias("term_name"), T.term_days(F.col("term")).alias("term_day"),
+        T.interest_frequency(F.col("cr_int_freq")).alias("int_freq"), F.col("cr_int_freq"), T.yearly_rate(F.col("actual_rate")).alias("full_rate"), F.col("balance"), F.col("ccy"),
+    ]
 
 
 #: The order of savings answers; nulls come last.
@@ -118,13 +121,14 @@ def savings_tiers(answers: DataFrame) -> DataFrame:
     return d.withColumn("to_amount", F.when(same, F.concat(F.lit("dưới "), F.col("_amount"))).otherwise("")).drop("_id", "_ccy", "_amount")
 
 
-def exchange_rates(rates: DataFrame, currencies: list[str], rate_type: str = "", until=None, branch: str = "001") -> DataFrame:
+def exchange_rates(rates: DataFrame, currencies: list[str] | None, rate_type: str = "", until=None, branch: str = "001", ordered: bool = True) -> DataFrame:
     """ccy, rate_type, effective_date, exchange_type, buying_price, selling_price; one row per (date, ccy, type).
 
     ``until`` keeps every date up to it, not the latest only. Buying prices are for TRS and
-    CA1, selling prices for TRS and CA3. Rows come by currency and type, nulls last.
+    CA1, selling prices for TRS and CA3. Without ``currencies`` all are given. Rows come by currency and type, nulls last, if ``ordered``.
     """
-    d = rates.where(F.col("ccy").isin(currencies) & F.col("rate_type").isin("CA1", "CA3", "TRS") & (F.col("branch") == branch) & F.col("rate_type").like(f"{rate_type}%"))
+    d = rates if currencies is None else rates.where(F.col("ccy").isin(currencies))
+    d = d.where(F.col("rate_type").isin("CA1", "CA3", "TRS") & (F.col("branch") == branch) & F.col("rate_type").like(f"{rate_type}%"))
     if until is not None:
         d = d.where(F.col("effective_date") <= until)
     d = distinct_on(d, ["effective_date", "ccy", "rate_type"], ["last_change"])
@@ -134,7 +138,7 @@ def exchange_rates(rates: DataFrame, currencies: list[str], rate_type: str = "",
         F.when(t.isin("TRS", "CA1"), F.concat(F.col("buy_rate").cast("string"), F.lit(" VND"))).alias("buying_price"),
         F.when(t.isin("TRS", "CA3"), F.concat(F.col("sell_rate").cast("string"), F.lit(" VND"))).alias("selling_price"),
     )
-    return in_answer_order(d, ("ccy", "rate_type", "effective_date"))
+    return in_answer_order(d, ("ccy", "rate_type", "effective_date")) if ordered else d
 
 
 def cross_rate(rates: DataFrame, from_ccy: str, to_ccy: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,8 +12,8 @@ from lakeloom.operators.ranking import global_rank
 from lakeloom.scratch import cut, fresh
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str | list[str], update: list[str]) -> DataFrame:
-    """Insert new keys; for known keys replace only the ``update`` columns. Columns of old, in order."""
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str], update: list[str], combine: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """Insert new keys; for known keys replace only the ``update`` columns, and make those of ``combine`` of both rows' values. Columns of old, in order."""
     keys = [key] if isinstance(key, str) else key
     mark_o, mark_n = fresh(old, "_old"), fresh(new, "_new")
     o, n = old.withColumn(mark_o, F.lit(True)).alias("o"), new.withColumn(mark_n, F.lit(True)).alias("n")
@@ -21,6 +22,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str | list[str], update: list[st
     def merged(c: str) -> Column:
         if c in keys:
             return F.coalesce(f"o.{c}", f"n.{c}")
+        if combine and c in combine:
+            return F.when(had & hit, combine[c](F.col(f"o.{c}"), F.col(f"n.{c}"))).when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
         return F.when(hit if c in update else ~had, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
 
     same = reduce(lambda a, b: a & b, (F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys))

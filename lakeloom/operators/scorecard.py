@@ -63,7 +63,12 @@ def rfm_features(tx: DataFrame) -> DataFrame:
 
 def features_with_label(tx: DataFrame, days_limit: int = 60) -> DataFrame:
     """Features and label, of one aggregate over the transactions: every customer with features has a label."""
-    d = _labelled(_per_customer(tx), days_limit)
+    return labelled_features(_per_customer(tx), days_limit)
+
+
+def labelled_features(per: DataFrame, days_limit: int = 60) -> DataFrame:
+    """Features and label from the aggregates of each customer."""
+    d = _labelled(per, days_limit)
     return d.select(*_features(d), "label")
 
 

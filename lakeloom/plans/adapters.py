@@ -24,6 +24,11 @@ VIEWS = {
         SELECT event_id AS transaction_id, user_id AS customer_id, ts AS purchase_datetime,
                CAST(1 + event_id % 3 AS DOUBLE) AS quantity, value AS amount, event_type AS channel
         FROM {events}""",
+    # what was said as transactions with a time of day: sums of whole numbers, so that the order of addition is immaterial
+    "tx_talks": """
+        SELECT conv_id * 1000 + turn AS transaction_id, conv_id % 5003 AS customer_id, TIMESTAMP '2024-01-01 00:00:00' + ((conv_id * 7919 + turn * 104729) % 31536000) * INTERVAL '1' SECOND AS purchase_datetime,
+               CAST(length(text) AS DOUBLE) AS amount, CAST(1 + turn % 3 AS DOUBLE) AS quantity, role AS channel
+        FROM {conversations}""",
     "rates_fx": """
         SELECT CASE n.n_nationkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'AUD' WHEN 3 THEN 'JPY' ELSE 'GBP' END AS ccy,
                CASE WHEN p.p_partkey % 7 = 0 THEN '002' ELSE '001' END AS branch,

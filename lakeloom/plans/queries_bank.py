@@ -14,14 +14,14 @@ from lakeloom.plans.registry import register
 from lakeloom.scratch import cut, drop_path, scratch
 
 FX, SAVING = sql("rates_fx"), sql("rates_saving")
-_DISTINCT = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY effective_date, ccy, rate_type ORDER BY last_change) AS rn FROM {FX} x WHERE branch = '001') WHERE rn = 1)"
+DISTINCT_FX = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY effective_date, ccy, rate_type ORDER BY last_change) AS rn FROM {FX} x WHERE branch = '001') WHERE rn = 1)"
 
 
 def _fx_sql(where: str) -> str:
     return f"""SELECT ccy, rate_type, effective_date, CASE WHEN rate_type = 'TRS' THEN 'transfer' ELSE 'cash' END AS exchange_type,
         CASE WHEN rate_type IN ('TRS', 'CA1') THEN CAST(CAST(buy_rate AS DOUBLE) AS VARCHAR) || ' VND' END AS buying_price,
         CASE WHEN rate_type IN ('TRS', 'CA3') THEN CAST(CAST(sell_rate AS DOUBLE) AS VARCHAR) || ' VND' END AS selling_price
-        FROM {_DISTINCT} r WHERE rate_type IN ('CA1', 'CA3', 'TRS') AND {where}"""
+        FROM {DISTINCT_FX} r WHERE rate_type IN ('CA1', 'CA3', 'TRS') AND {where}"""
 
 
 @register("fx_rates", _fx_sql("ccy IN ('USD', 'EUR') AND rate_type LIKE 'CA%'"))
@@ -39,12 +39,12 @@ def _fx(spark, d):
     return f.withColumns({"effective_date": F.col("effective_date").cast("timestamp_ntz"), "buy_rate": F.col("buy_rate").cast("double"), "sell_rate": F.col("sell_rate").cast("double")})
 
 
-@register("fx_distinct_on", f"SELECT effective_date, ccy, rate_type, last_change FROM {_DISTINCT} r")
+@register("fx_distinct_on", f"SELECT effective_date, ccy, rate_type, last_change FROM {DISTINCT_FX} r")
 def _(spark, d):
     return relational.distinct_on(_fx(spark, d).where("branch = '001'"), ["effective_date", "ccy", "rate_type"], ["last_change"]).select("effective_date", "ccy", "rate_type", "last_change")
 
 
-@register("fx_cross_rate", f"SELECT a.effective_date, a.rate_type, round(CAST(a.buy_rate AS DOUBLE) / nullif(CAST(b.sell_rate AS DOUBLE), 0), 6) AS cross_rate FROM {_DISTINCT} a JOIN {_DISTINCT} b ON a.effective_date = b.effective_date AND a.rate_type = b.rate_type WHERE a.ccy = 'USD' AND b.ccy = 'EUR'")
+@register("fx_cross_rate", f"SELECT a.effective_date, a.rate_type, round(CAST(a.buy_rate AS DOUBLE) / nullif(CAST(b.sell_rate AS DOUBLE), 0), 6) AS cross_rate FROM {DISTINCT_FX} a JOIN {DISTINCT_FX} b ON a.effective_date = b.effective_date AND a.rate_type = b.rate_type WHERE a.ccy = 'USD' AND b.ccy = 'EUR'")
 def _(spark, d):
     return rates.cross_rate(_fx(spark, d), "USD", "EUR").withColumn("cross_rate", F.round("cross_rate", 6))
 
@@ -183,10 +183,10 @@ def _query(spark, d):
     return [float(x) for x in _emb(spark, d).where("vec_id = 0").first()["embedding"]]
 
 
-_TOP5 = f"(SELECT v.vec_id, list_inner_product(v.u, q.u) AS score FROM {_VECS} v, (SELECT u FROM {_VECS} w WHERE vec_id = 0) q ORDER BY score DESC, v.vec_id LIMIT 5)"
+TOP5 = f"(SELECT v.vec_id, list_inner_product(v.u, q.u) AS score FROM {_VECS} v, (SELECT u FROM {_VECS} w WHERE vec_id = 0) q ORDER BY score DESC, v.vec_id LIMIT 5)"
 
 
-@register("vec_topk", f"SELECT vec_id, round(score, 6) AS score FROM {_TOP5} t")
+@register("vec_topk", f"SELECT vec_id, round(score, 6) AS score FROM {TOP5} t")
 def _(spark, d):
     return vectors.top_k(_emb(spark, d), "vec_id", "embedding", _query(spark, d), 5).withColumn("score", F.round("score", 6))
 
@@ -210,7 +210,7 @@ def _(spark, d):
     return vectors.count_mismatch(v, spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id")), "id")
 
 
-@register("context_join", f"SELECT string_agg(d.text, chr(10) || chr(10) ORDER BY t.score DESC, t.vec_id) AS context FROM {_TOP5} t JOIN documents d ON d.doc_id = t.vec_id")
+@register("context_join", f"SELECT string_agg(d.text, chr(10) || chr(10) ORDER BY t.score DESC, t.vec_id) AS context FROM {TOP5} t JOIN documents d ON d.doc_id = t.vec_id")
 def _(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("vec_id"), "text")
     return vectors.context(vectors.top_k(_emb(spark, d), "vec_id", "embedding", _query(spark, d), 5), docs, "vec_id", "text")
@@ -317,7 +317,7 @@ def _(spark, d):
     return kept
 
 
-@register("vec_index_topk", f"SELECT vec_id, round(score, 6) AS score FROM {_TOP5} t")
+@register("vec_index_topk", f"SELECT vec_id, round(score, 6) AS score FROM {TOP5} t")
 def _(spark, d):
     """The index is built, stored, loaded with its checks and searched."""
     path = scratch(spark, "index")

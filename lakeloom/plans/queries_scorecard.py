@@ -12,7 +12,7 @@ from lakeloom.plans.registry import register
 RETAIL, EVENTS, HOUSING, SCORED = sql("tx_retail"), sql("tx_events"), sql("housing"), sql("scored")
 
 
-def _labels_sql(tx: str, limit: int) -> str:
+def labels_sql(tx: str, limit: int) -> str:
     return f"""
     SELECT p.customer_id, p.last_purchase, round(p.total_amount, 2) AS total_amount, p.tx_count,
            CAST(datesub('day', p.last_purchase, g.last_ts) AS INTEGER) AS days_since_last,
@@ -21,7 +21,7 @@ def _labels_sql(tx: str, limit: int) -> str:
          (SELECT max(last_purchase) AS last_ts, median(tx_count) AS med FROM (SELECT customer_id, max(purchase_datetime) AS last_purchase, count(*) AS tx_count FROM {tx} t GROUP BY 1)) g"""
 
 
-def _features_sql(tx: str) -> str:
+def features_sql(tx: str) -> str:
     return f"""
     SELECT customer_id, CAST(datesub('day', mx, ref) AS INTEGER) AS recency_days, frequency, round(monetary, 2) AS monetary, round(avg_amount + 1e-7, 4) AS avg_amount,
            round(qty_mean + 1e-7, 4) AS qty_mean, channels, first_purchase, CAST(datesub('day', first_purchase, ref) AS INTEGER) AS tenure_days
@@ -30,10 +30,10 @@ def _features_sql(tx: str) -> str:
          (SELECT max(purchase_datetime) + INTERVAL 1 DAY AS ref FROM {tx} t)"""
 
 
-FEATURES_LABEL = f"SELECT f.*, coalesce(l.label, 0) AS label FROM ({_features_sql(RETAIL)}) f LEFT JOIN (SELECT customer_id, label FROM ({_labels_sql(RETAIL, 60)})) l ON l.customer_id = f.customer_id"
+FEATURES_LABEL = f"SELECT f.*, coalesce(l.label, 0) AS label FROM ({features_sql(RETAIL)}) f LEFT JOIN (SELECT customer_id, label FROM ({labels_sql(RETAIL, 60)})) l ON l.customer_id = f.customer_id"
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     # means of cents often end in a five; a small shift makes the order of addition immaterial
     digits = {"monetary": (2, 0.0), "total_amount": (2, 0.0), "avg_amount": (4, 1e-7), "qty_mean": (4, 1e-7)}
     return df.select(*(F.round(F.col(c) + digits[c][1], digits[c][0]).alias(c) if c in digits else F.col(c) for c in df.columns))
@@ -41,27 +41,27 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 def features(spark, sf_dir: str) -> DataFrame:
     """Rounded features with label over the retail view; both engines select and bin the same values."""
-    return _rounded(scorecard.features_with_label(frame(spark, sf_dir, "tx_retail")))
+    return rounded(scorecard.features_with_label(frame(spark, sf_dir, "tx_retail")))
 
 
-@register("rfm_features", _features_sql(RETAIL))
+@register("rfm_features", features_sql(RETAIL))
 def _(spark, d):
-    return _rounded(scorecard.rfm_features(frame(spark, d, "tx_retail")))
+    return rounded(scorecard.rfm_features(frame(spark, d, "tx_retail")))
 
 
-@register("rfm_features_events", _features_sql(EVENTS))
+@register("rfm_features_events", features_sql(EVENTS))
 def _(spark, d):
-    return _rounded(scorecard.rfm_features(frame(spark, d, "tx_events")))
+    return rounded(scorecard.rfm_features(frame(spark, d, "tx_events")))
 
 
-@register("customer_labels", _labels_sql(RETAIL, 60))
+@register("customer_labels", labels_sql(RETAIL, 60))
 def _(spark, d):
-    return _rounded(scorecard.customer_labels(frame(spark, d, "tx_retail")))
+    return rounded(scorecard.customer_labels(frame(spark, d, "tx_retail")))
 
 
-@register("customer_labels_events", _labels_sql(EVENTS, 1))
+@register("customer_labels_events", labels_sql(EVENTS, 1))
 def _(spark, d):
-    return _rounded(scorecard.customer_labels(frame(spark, d, "tx_events"), days_limit=1))
+    return rounded(scorecard.customer_labels(frame(spark, d, "tx_events"), days_limit=1))
 
 
 @register("features_with_label", FEATURES_LABEL)

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import arithmetic
 from lakeloom.functions import text as T
-from lakeloom.operators import boosting, expansion, registry
+from lakeloom.operators import boosting, cells, expansion, registry
+from lakeloom.plans import sql_functions
 from lakeloom.plans.adapters import frame, sql
+from lakeloom.plans.queries_bank import DISTINCT_FX, TOP5
+from lakeloom.plans.queries_scorecard import features_sql, labels_sql, rounded
 from lakeloom.plans.registry import register
 from lakeloom.scratch import cut, drop_path, scratch
 from lakeloom.session import table
 from lakeloom.sources import readers, sinks
 from lakeloom.sources.keyed import KeyedTable
+from lakeloom.streaming import incremental
 
 
 @register("table_merge", f"SELECT coalesce(o.id, n.id) AS id, coalesce(o.create_at, n.create_at) AS create_at, coalesce(n.update_at, o.update_at) AS update_at, coalesce(n.config, o.config) AS config FROM {sql('notes_old')} o FULL JOIN {sql('notes_new')} n ON o.id = n.id")
@@ -139,3 +143,42 @@ def _(spark, d):
     spark.sql(f"DROP TABLE {name}")
     drop_path(spark, path)
     return kept
+
+
+TALKS = sql("tx_talks")
+
+
+@register("incremental_features", f"SELECT f.*, coalesce(l.label, 0) AS label FROM ({features_sql(TALKS)}) f LEFT JOIN (SELECT customer_id, label FROM ({labels_sql(TALKS, 60)})) l ON l.customer_id = f.customer_id")
+def _(spark, d):
+    """Features of all transactions, merged in four batches of which one comes twice."""
+    tx = frame(spark, d, "tx_talks")
+    t = incremental.feature_table(spark, scratch(spark, "features"), tx.schema, buckets=16)
+    for batch in (0, 1, 1, 2, 3):
+        incremental.add_batch(t, tx.where(F.pmod(F.xxhash64("transaction_id"), F.lit(4)) == batch), "talks", batch)
+    return rounded(incremental.current_features(t))
+
+
+@register("vec_pruned_topk", f"SELECT vec_id, round(score, 6) AS score FROM {TOP5} t")
+def _(spark, d):
+    """The nearest vectors by the index in cells."""
+    e = table(spark, d, "embeddings")
+    path = scratch(spark, "cells")
+    cells.build_cells(e.select("vec_id", "embedding"), "vec_id", "embedding", path, cells=64)
+    query = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    return cells.load_cells(spark, path).top_k(query, 5)[0].withColumn("score", F.round("score", 6))
+
+
+@register("sql_nearest", f"SELECT vec_id, round(score, 6) AS score FROM {TOP5} t")
+def _(spark, d):
+    """The same by an SQL text that calls a table function."""
+    e = table(spark, d, "embeddings")
+    sql_functions.register_functions(spark, vectors=e.select(F.col("vec_id").alias("key"), "embedding"))
+    query = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    return spark.sql("SELECT key AS vec_id, round(score, 6) AS score FROM nearest(:query, 5)", {"query": F.array(*map(F.lit, query))})
+
+
+@register("sql_exchange_rate", f"""SELECT ccy, rate_type, effective_date, CASE WHEN rate_type IN ('TRS', 'CA1') THEN CAST(CAST(buy_rate AS DOUBLE) AS VARCHAR) || ' VND' END AS buying_price
+    FROM {DISTINCT_FX} r WHERE rate_type LIKE 'CA%' AND rate_type IN ('CA1', 'CA3') AND ccy IN ('USD', 'EUR') AND effective_date <= TIMESTAMP '2024-02-01 00:00:00'""")
+def _(spark, d):
+    sql_functions.register_functions(spark, fx=frame(spark, d, "rates_fx").withColumns({c: F.col(c).cast("double") for c in ("buy_rate", "sell_rate")}))
+    return spark.sql("SELECT ccy, rate_type, effective_date, buying_price FROM exchange_rate('USD', 'EUR', 'CA', TIMESTAMP '2024-02-01 00:00:00')")

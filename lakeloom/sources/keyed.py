@@ -10,6 +10,7 @@ again.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from lakeloom.scratch import cut, drop_path, release
 from lakeloom.sources.commits import CommitLog
 
 _BUCKET = "_bucket"
+Combine = dict[str, Callable[[Column, Column], Column]]
 
 
 @dataclass(frozen=True)
@@ -89,9 +91,10 @@ class KeyedTable:
             raise ValueError("a key is null, or two of the rows have the same")
         return d
 
-    def merge(self, rows: DataFrame, update: list[str] | None = None, source: str | None = None, batch: int | None = None, tries: int = 20) -> int:
+    def merge(self, rows: DataFrame, update: list[str] | None = None, source: str | None = None, batch: int | None = None, combine: Combine | None = None, tries: int = 20) -> int:
         """Insert rows with new keys; of rows with known keys take over the ``update`` columns only (all, if None).
 
+        Columns of ``combine`` become what its functions make of the old and the new value.
         Returns the version that has them. Columns are taken by name. With ``source`` and
         ``batch``, a batch that is not newer than the source's last one changes nothing, so
         a stream may deliver it again. Null keys and keys that repeat in ``rows`` are an
@@ -109,7 +112,7 @@ class KeyedTable:
                 if not touched and source is None:
                     return v.number
                 if made is None or any(v.folders.get(k) != before.folders.get(k) for k in touched):
-                    made, before = self._written(v, new, touched, columns), v
+                    made, before = self._written(v, new, touched, columns, combine), v
                 batches = v.batches | ({source: batch} if source is not None else {})
                 after = Version(v.number + 1, v.key, v.buckets, v.schema, v.folders | made, batches)
                 if self._commit(after):
@@ -119,12 +122,12 @@ class KeyedTable:
         finally:
             release(new)
 
-    def _written(self, v: Version, new: DataFrame, touched: set[int], update: list[str]) -> dict[int, str]:
+    def _written(self, v: Version, new: DataFrame, touched: set[int], update: list[str], combine: Combine | None = None) -> dict[int, str]:
         """The touched buckets after the merge, as new files; their folders."""
         if not touched:
             return {}
         old = self._rows(v, touched)
-        merged = upsert(old, new.drop(_BUCKET), v.key, update).withColumn(_BUCKET, self._bucket(v))
+        merged = upsert(old, new.drop(_BUCKET), v.key, update, combine).withColumn(_BUCKET, self._bucket(v))
         folder = f"data/{uuid.uuid4().hex}"
         merged.repartition(len(touched), _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
         return {k: f"{folder}/{_BUCKET}={k}" for k in touched}
