@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakeloom.sources.stores import mirror_files
+
 
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
@@ -39,42 +41,24 @@ def drop_tables(spark: SparkSession, tables: list[str], databases: list[str] = (
 
 
 def replace_table(df: DataFrame, table: str) -> None:
-    """Rewrite a table from rows that may come from it: written aside first, then swapped in."""
+    """Rewrite a table from rows that may come from it.
+
+    They are written aside, then the tables change names. A failure in between leaves the
+    old rows in <table>_before and the new ones in <table>_incoming, both whole.
+    """
     spark = df.sparkSession
-    aside = f"{table}_incoming"
+    aside, before = f"{table}_incoming", f"{table}_before"
     df.write.mode("overwrite").format("parquet").saveAsTable(aside)
-    spark.table(aside).write.mode("overwrite").format("parquet").saveAsTable(table)
-    spark.sql(f"DROP TABLE {aside}")
-
-
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    """(key, path) of the files under a root."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    rows = []
-    if fs.exists(p):
-        base = fs.getFileStatus(p).getPath().toString().rstrip("/") + "/"
-        it = fs.listFiles(p, True)
-        while it.hasNext():
-            full = it.next().getPath().toString()
-            rows.append((full[len(base) :], full))
-    return spark.createDataFrame(rows, "key string, path string")
+    spark.sql(f"DROP TABLE IF EXISTS {before}")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {before}")
+    spark.sql(f"ALTER TABLE {aside} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {before}")
 
 
 def mirror(spark: SparkSession, local: str, remote: str) -> list[str]:
-    """Copy every local file to the remote root and delete remote files that local lacks; returns the deleted keys."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    have, there = _files(spark, local), _files(spark, remote)
-    path = jvm.org.apache.hadoop.fs.Path
-    for r in have.collect():
-        src, dst = path(r.path), path(f"{remote.rstrip('/')}/{r.key}")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, dst.getFileSystem(conf), dst, False, True, conf)
-    gone = there.join(have, "key", "left_anti").collect()
-    for r in gone:
-        p = path(r.path)
-        p.getFileSystem(conf).delete(p, False)
-    return sorted(r.key for r in gone)
+    """mirror_files(), and the keys that were deleted, which should be few."""
+    gone = mirror_files(spark, local, remote).where("action = 'deleted'")
+    return sorted(r.key for r in gone.select("key").collect())
 
 
 def scaffold(spark: SparkSession, root: str, prefixes: list[str]) -> list[str]:
