@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.prep import constant_impute, fit_scaler, median_impute, standardize, target_encode
 from lakeloom.operators.ranking import exact_medians
-from lakeloom.scratch import cut
+from lakeloom.scratch import cut, fresh
 
 
 @dataclass(frozen=True)
@@ -90,12 +90,14 @@ class Blocks:
         if self.pca is not None:
             d, parts = self.pca.transform(d), ["components"]
         for c, e in self.encodings.items():
-            seen = e.select(F.col(c).alias("_value"), F.col("encoded").alias(f"_{c}"))
-            d = d.join(seen, F.coalesce(F.col(c), F.lit("missing")) == F.col("_value"), "left").drop("_value").fillna(self.mean, [f"_{c}"])
-            parts.append(f"_{c}")
+            value, coded = fresh(d, "_value"), fresh(d, f"_{c}")
+            seen = e.select(F.col(c).alias(value), F.col("encoded").alias(coded))
+            d = d.join(seen, F.coalesce(F.col(c), F.lit("missing")) == F.col(value), "left").drop(value).fillna(self.mean, [coded])
+            parts.append(coded)
         if parts != ["features"]:
-            d = VectorAssembler(inputCols=parts, outputCol="_all").transform(d)
-            d = d.drop("features", *parts).withColumnRenamed("_all", "features")
+            every = fresh(d, "_all")
+            d = VectorAssembler(inputCols=parts, outputCol=every).transform(d)
+            d = d.drop("features", *parts).withColumnRenamed(every, "features")
         return d
 
 
@@ -134,8 +136,9 @@ def fit_regression(df: DataFrame, cols: list[str], target: str, trees: int = 100
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """df with the probability of class 1 and the prediction at the threshold."""
-    out = model.transform(df).withColumn("_p", vector_to_array("probability")[1]).drop("probability", "prediction", "rawPrediction")
-    return out.withColumn("probability", F.col("_p")).withColumn("prediction", (F.col("_p") >= threshold).cast("int")).drop("_p")
+    p = fresh(df, "_p")
+    out = model.transform(df).withColumn(p, vector_to_array("probability")[1]).drop("probability", "prediction", "rawPrediction")
+    return out.withColumn("probability", F.col(p)).withColumn("prediction", (F.col(p) >= threshold).cast("int")).drop(p)
 
 
 def save_bundle(path: str, preparation: Preparation, model: PipelineModel, best: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.ranking import exact_medians
+from lakeloom.scratch import fresh
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
@@ -59,13 +60,13 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.
 
     Rows are ranked inside hash ranges, so a label that holds most rows is still spread.
     """
-    d = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_p", F.shiftrightunsigned("_h", 58))
-    sizes = d.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    h, p, n, rn, shift, quota = (fresh(df, c) for c in ("_h", "_p", "_n", "_rn", "_before", "_quota"))
+    d = df.withColumn(h, F.xxhash64(F.col(key), F.lit(seed))).withColumn(p, F.shiftrightunsigned(h, 58))
+    sizes = d.groupBy(label, p).agg(F.count(F.lit(1)).alias(n))
     w = Window.partitionBy(label)
-    before = sizes.select(F.col(label), "_p", (F.sum("_n").over(w.orderBy("_p")) - F.col("_n")).alias("_before"), F.round(F.sum("_n").over(w) * test_share).cast("bigint").alias("_quota"))
-    rn = F.row_number().over(Window.partitionBy(label, "_p").orderBy(F.shiftleft("_h", 6), key))
-    d = d.withColumn("_rn", rn).join(F.broadcast(before), [label, "_p"])
-    return d.withColumn("split", F.when(F.col("_before") + F.col("_rn") <= F.col("_quota"), "test").otherwise("train")).drop("_h", "_p", "_before", "_quota", "_rn")
+    before = sizes.select(F.col(label), p, (F.sum(n).over(w.orderBy(p)) - F.col(n)).alias(shift), F.round(F.sum(n).over(w) * test_share).cast("bigint").alias(quota))
+    d = d.withColumn(rn, F.row_number().over(Window.partitionBy(label, p).orderBy(F.shiftleft(h, 6), key))).join(F.broadcast(before), [label, p])
+    return d.withColumn("split", F.when(F.col(shift) + F.col(rn) <= F.col(quota), "test").otherwise("train")).drop(h, p, shift, quota, rn)
 
 
 def target_encode(df: DataFrame, col: str, target: str, smoothing: float = 0.3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.scratch import cut
+from lakeloom.scratch import cut, fresh
 
 #: Value ranges that a global ranking is split into.
 RANGES = 64
@@ -30,11 +30,12 @@ def global_rank(df: DataFrame, value: str, key: str, name: str = "rn") -> DataFr
     below = lambda c, es: sum(((F.col(c) > F.lit(e)).cast("int") for e in es), F.lit(0))
     tied = F.coalesce(F.col(value).isin(ve), F.lit(False)) if ve else F.lit(False)
     part = F.when(F.col(value).isNull(), 2 * len(ve) + 1).otherwise(2 * below(value, ve) + tied.cast("int"))
-    d = df.withColumn("_v", part).withColumn("_k", F.when(tied | F.col(value).isNull(), below(key, ke)).otherwise(0))
-    sizes = d.groupBy("_v", "_k").agg(F.count(F.lit(1)).alias("_n"))  # a few hundred rows at most
-    before = sizes.select("_v", "_k", (F.sum("_n").over(Window.orderBy("_v", "_k")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_v", "_k").orderBy(F.col(value).asc_nulls_last(), key))
-    return d.withColumn("_own", own).join(F.broadcast(before), ["_v", "_k"]).withColumn(name, (F.col("_before") + F.col("_own")).cast("bigint")).drop("_v", "_k", "_own", "_before")
+    v, k, n, shift, own = (fresh(df, c) for c in ("_v", "_k", "_n", "_before", "_own"))
+    d = df.withColumn(v, part).withColumn(k, F.when(tied | F.col(value).isNull(), below(key, ke)).otherwise(0))
+    sizes = d.groupBy(v, k).agg(F.count(F.lit(1)).alias(n))  # a few hundred rows at most
+    before = sizes.select(v, k, (F.sum(n).over(Window.orderBy(v, k)) - F.col(n)).alias(shift))
+    place = F.row_number().over(Window.partitionBy(v, k).orderBy(F.col(value).asc_nulls_last(), key))
+    return d.withColumn(own, place).join(F.broadcast(before), [v, k]).withColumn(name, (F.col(shift) + F.col(own)).cast("bigint")).drop(v, k, own, shift)
 
 
 def long_ranks(df: DataFrame, features: list[str], key: str, keep: list[str]) -> tuple[DataFrame, dict[str, int]]:
@@ -66,12 +67,13 @@ def with_next(df: DataFrame, order: list[str], cols: dict[str, str]) -> DataFram
     of a range needs the first one of the next, and there are as many of those as ranges.
     """
     keys = [F.col(c).asc_nulls_last() for c in order]
-    d = cut(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
-    w = Window.partitionBy("_range").orderBy(*keys)
-    first = d.select("_range", F.struct(*cols).alias("_first"), F.row_number().over(w).alias("_n")).where("_n = 1")
-    after = first.select((F.lag("_range").over(Window.orderBy("_range"))).alias("_range"), "_first").where("_range is not null")
-    d = d.withColumn("_next", F.lead(F.struct(*cols)).over(w)).join(F.broadcast(after), "_range", "left")
-    following = F.coalesce("_next", "_first")
+    part, first_, n, next_ = (fresh(df, c) for c in ("_range", "_first", "_n", "_next"))
+    d = cut(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges")
+    w = Window.partitionBy(part).orderBy(*keys)
+    first = d.select(part, F.struct(*cols).alias(first_), F.row_number().over(w).alias(n)).where(F.col(n) == 1)
+    after = first.select((F.lag(part).over(Window.orderBy(part))).alias(part), first_).where(F.col(part).isNotNull())
+    d = d.withColumn(next_, F.lead(F.struct(*cols)).over(w)).join(F.broadcast(after), part, "left")
+    following = F.coalesce(next_, first_)
     return d.select(*df.columns, *(following[c].alias(new) for c, new in cols.items()))
 
 
@@ -90,41 +92,41 @@ def quantile_bucket(rn: Column, n: Column, q: int | Column) -> Column:
 
 
 def exact_medians(df: DataFrame, cols: list[str], small: int = 2_000_000, bins: int = 4096) -> dict[str, float | None]:
-    """The interpolated median of each column, nulls left out.
+    """The interpolated median of each column, nulls and NaN left out.
 
     Up to ``small`` rows the built-in aggregate serves. Beyond, its state would hold every
-    distinct value in one task, so the middle is narrowed instead: counts by value range,
-    then by range within the range that holds the middle, until few values are left.
+    distinct value in one task, so the middles are narrowed instead, those of all columns in
+    the same passes: counts by value range, then by range within the one that holds the
+    middle. The driver never has more than ``bins`` sums a column.
     """
-    stats = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(cols))).first()
-    if max(stats) <= small:
-        row = df.agg(*(F.median(c).alias(f"m{i}") for i, c in enumerate(cols))).first()
+    numbers = [F.when(~F.isnan(x), x) for x in (F.col(c).cast("double") for c in cols)]
+    stats = df.agg(*(x for i, v in enumerate(numbers) for x in (F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")))).first()
+    sizes = [stats[f"n{i}"] for i in range(len(cols))]
+    if max(sizes, default=0) <= small:
+        row = df.agg(*(F.median(v).alias(f"m{i}") for i, v in enumerate(numbers))).first()
         return dict(zip(cols, row))
-    return {c: _narrowed(df, c, n, small, bins) for c, n in zip(cols, stats)}
-
-
-def _narrowed(df: DataFrame, col: str, n: int, small: int, bins: int) -> float | None:
-    if n == 0:
-        return None
-    picks = []
-    for k in sorted({(n - 1) // 2, n // 2}):
-        x = df.select(F.col(col).cast("double").alias("x")).where("x is not null")
-        lo, hi = x.agg(F.min("x"), F.max("x")).first()
-        skip, here = 0, n
-        while lo < hi and here > small:
-            width = (hi - lo) / bins
-            b = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1))
-            inside = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-            for r in sorted(inside.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
-                if skip + r.c > k:
-                    lo, hi, here = r.lo, r.hi, r.c
-                    break
-                skip += r.c
-        if lo < hi:
-            for r in sorted(x.where((F.col("x") >= lo) & (F.col("x") <= hi)).groupBy("x").agg(F.count(F.lit(1)).alias("c")).collect()):
-                if skip + r.c > k:
-                    lo = r.x
-                    break
-                skip += r.c
-        picks.append(lo)
-    return sum(picks) / len(picks)
+    found: dict[int, float | None] = {i: None for i, n in enumerate(sizes) if not n}
+    # (lowest value, highest value, rows below) of the range that holds a column's middle rows
+    open_ranges = {i: (stats[f"lo{i}"], stats[f"hi{i}"], 0) for i, n in enumerate(sizes) if n}
+    while open_ranges:
+        cells = F.array(*(F.struct(F.lit(i).alias("i"), numbers[i].alias("x"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for i, (lo, hi, _) in open_ranges.items()))
+        d = df.select(F.explode(cells).alias("c")).select("c.*").where("x BETWEEN lo AND hi")
+        # halves first, so that the width of the widest range is still a number
+        share = F.try_divide(F.col("x") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+        bin_ = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1))
+        sums: dict[int, list] = {i: [] for i in open_ranges}
+        for r in d.groupBy("i", bin_.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            sums[r.i].append((r.b, r.c, r.lo, r.hi))
+        for i, (_, _, below) in list(open_ranges.items()):
+            low, high = (sizes[i] - 1) // 2, sizes[i] // 2
+            holding: list = []
+            for _, c, lo, hi in sorted(sums[i]):
+                if below <= high and below + c > low:
+                    holding.append((lo, hi, below))
+                below += c
+            if len(holding) == 2 or holding[0][0] == holding[0][1]:  # the middle lies between two ranges, or in one of a single value
+                found[i] = (holding[0][1] + holding[-1][0]) / 2
+                del open_ranges[i]
+            else:
+                open_ranges[i] = holding[0]
+    return {c: found[i] for i, c in enumerate(cols)}

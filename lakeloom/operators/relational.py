@@ -35,7 +35,8 @@ def tail_beyond(source: DataFrame, target_rows: int, order: str) -> DataFrame:
 
     The border is found by counts per range and then inside one range, not by a global sort.
     """
-    return global_rank(source, order, order, "_rn").where(F.col("_rn") > target_rows).drop("_rn").fillna("")
+    rn = fresh(source, "_rn")
+    return global_rank(source, order, order, rn).where(F.col(rn) > target_rows).drop(rn).fillna("")
 
 
 def migrate_if_empty(spark: SparkSession, source: DataFrame, target: str, json_cols: list[str] = ()) -> bool:
@@ -89,7 +90,8 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def last_turns(df: DataFrame, key: str, turn: str, n: int = 2) -> DataFrame:
     """The last n rows of each key."""
     w = Window.partitionBy(key).orderBy(F.col(turn).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    rn = fresh(df, "_rn")
+    return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= n).drop(rn)
 
 
 def running_totals(df: DataFrame, key: str, seq: str, cols: dict[str, str]) -> DataFrame:
@@ -98,15 +100,17 @@ def running_totals(df: DataFrame, key: str, seq: str, cols: dict[str, str]) -> D
     Rows are sorted in ranges of key and seq; sums run inside a key's part of a range and
     are shifted by those of its earlier ranges, so a key of any size is many tasks' work.
     """
-    d = cut(df.repartitionByRange(F.col(key).asc_nulls_first(), F.col(seq).asc_nulls_first()).withColumn("_range", F.spark_partition_id()), "ranges")
-    own = Window.partitionBy(key, "_range").orderBy(F.col(seq).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = d.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_at")).agg(*(F.sum(c).alias(f"_{out}") for c, out in cols.items()))
-    earlier = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("_key", "_at", *(F.sum(f"_{out}").over(earlier).alias(f"_{out}") for out in cols.values()))
+    part, own_key, at = (fresh(df, c) for c in ("_range", "_key", "_at"))
+    shift = {out: fresh(df, f"_{out}") for out in cols.values()}
+    d = cut(df.repartitionByRange(F.col(key).asc_nulls_first(), F.col(seq).asc_nulls_first()).withColumn(part, F.spark_partition_id()), "ranges")
+    own = Window.partitionBy(key, part).orderBy(F.col(seq).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = d.groupBy(F.col(key).alias(own_key), F.col(part).alias(at)).agg(*(F.sum(c).alias(shift[out]) for c, out in cols.items()))
+    earlier = Window.partitionBy(own_key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(own_key, at, *(F.sum(x).over(earlier).alias(x) for x in shift.values()))
     d = d.withColumns({out: F.sum(c).over(own) for c, out in cols.items()})
-    d = d.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    d = d.join(before, F.col(key).eqNullSafe(F.col(own_key)) & (F.col(part) == F.col(at)))
     # a total is null until a value that is not
-    total = lambda out: F.when(F.col(out).isNull() & F.col(f"_{out}").isNull(), None).otherwise(F.coalesce(out, F.lit(0)) + F.coalesce(f"_{out}", F.lit(0)))
+    total = lambda out: F.when(F.col(out).isNull() & F.col(shift[out]).isNull(), None).otherwise(F.coalesce(out, F.lit(0)) + F.coalesce(shift[out], F.lit(0)))
     return d.select(*df.columns, *(total(out).alias(out) for out in cols.values()))
 
 

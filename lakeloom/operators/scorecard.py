@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.operators.ranking import exact_medians, long_ranks, quantile_bucket
+from lakeloom.operators.ranking import long_ranks, quantile_bucket
 from lakeloom.scratch import cut
 
 NUMERIC = ["recency_days", "frequency", "monetary", "avg_amount", "qty_mean", "channels", "tenure_days"]
@@ -23,7 +23,7 @@ def _per_customer(tx: DataFrame) -> DataFrame:
     return cut(
         tx.groupBy("customer_id").agg(
             F.max("purchase_datetime").alias("last_purchase"), F.min("purchase_datetime").alias("first_purchase"), F.count(F.lit(1)).alias("frequency"), F.sum("amount").alias("monetary"),
-            F.avg("amount").alias("avg_amount"), F.avg("quantity").alias("qty_mean"), F.size(F.collect_set("channel")).cast("bigint").alias("channels"),
+            F.avg("amount").alias("avg_amount"), F.avg("quantity").alias("qty_mean"), F.countDistinct("channel").alias("channels"),
         ),
         "customers",
     )
@@ -145,6 +145,3 @@ def select_features(df: DataFrame, numeric: list[str], categorical: list[str] =
     iv |= {c: category_iv(df, c).first().iv for c in categorical}
     return [c for c in left if iv[c] > iv_limit], [c for c in categorical if (iv[c] or 0) > iv_limit]
 
-
-def medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
-    return exact_medians(df, cols)

@@ -89,11 +89,11 @@ def _(spark, d):
     return rates.savings_rates(_saving(spark, d), products, interest, ["6M", "1Y", "17D"])
 
 
-@register("savings_tiers", f"""WITH a AS ({_savings_sql("product_type IN ('528', '588')")}), b AS (SELECT *, CASE WHEN coalesce(balance, 0) <> 0 THEN format('{{:,}}', balance) || ' VND' ELSE '' END AS from_amount FROM a)
+@register("savings_tiers", f"""WITH a AS ({_savings_sql()}), b AS (SELECT *, CASE WHEN coalesce(balance, 0) <> 0 THEN format('{{:,}}', balance) || ' VND' ELSE '' END AS from_amount FROM a)
     SELECT id, from_amount, CASE WHEN lead(id) OVER w IS NOT NULL AND lead(ccy) OVER w IS NOT DISTINCT FROM ccy THEN 'dưới ' || lead(from_amount) OVER w ELSE '' END AS to_amount
     FROM b WINDOW w AS (ORDER BY product_type NULLS LAST, term_day NULLS LAST, cr_int_freq NULLS LAST, balance NULLS LAST, id NULLS LAST)""")
 def _(spark, d):
-    return rates.savings_tiers(rates.savings_rates(_saving(spark, d), ["528", "588"])).select("id", "from_amount", "to_amount")
+    return rates.savings_tiers(rates.savings_rates(_saving(spark, d))).select("id", "from_amount", "to_amount")
 
 
 @register("term_text", f"SELECT id, {_TERM_NAME} AS term_name FROM {SAVING} r")

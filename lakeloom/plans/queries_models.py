@@ -25,7 +25,8 @@ def _(spark, d):
 
 def _scores(spark, d, fit):
     prepared, train, test = _split(spark, d)
-    return models.score(fit(prepared.transform(train), "label"), prepared.transform(test)).select("customer_id", "label", F.round("probability", 6).alias("probability"), "prediction")
+    ready = cut(prepared.transform(train), "train")  # a fit reads it many times
+    return models.score(fit(ready, "label"), prepared.transform(test)).select("customer_id", "label", F.round("probability", 6).alias("probability"), "prediction")
 
 
 @register("logistic_scores")
@@ -65,6 +66,8 @@ def _(spark, d):
 
 @register("synthetic_transactions")
 def _(spark, d):
+    """As many generated transactions as there are turns of talk, eight a customer."""
     from lakeloom.sources.readers import synthetic_transactions
 
-    return synthetic_transactions(spark, 8_000, 1_000, seed=42)
+    n = spark.read.parquet(f"{d}/conversations.parquet").count()
+    return synthetic_transactions(spark, n, max(1, n // 8), seed=42)

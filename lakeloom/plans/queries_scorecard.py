@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeloom.operators import evaluate, prep, scorecard
 from lakeloom.plans.adapters import frame, sql
 from lakeloom.plans.registry import register
+from lakeloom.scratch import cut
 
 RETAIL, EVENTS, HOUSING, SCORED = sql("tx_retail"), sql("tx_events"), sql("housing"), sql("scored")
 
@@ -41,7 +42,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def features(spark, sf_dir: str) -> DataFrame:
     """Rounded features with label over the retail view; both engines select and bin the same values."""
-    return rounded(scorecard.features_with_label(frame(spark, sf_dir, "tx_retail")))
+    return cut(rounded(scorecard.features_with_label(frame(spark, sf_dir, "tx_retail"))), "features")
 
 
 @register("rfm_features", features_sql(RETAIL))
