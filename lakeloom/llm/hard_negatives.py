@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm import cover_tree
 from lakeloom.llm.common import cut, map_arrow, release, scratch
 from lakeloom.llm.cover_tree import NONE, Best
-from lakeloom.llm.token_records import store
+from lakeloom.sources.stores import store
 
 #: Vectors of a block and of a leaf, about; rows that the coarse net is fitted on; its largest size.
 BLOCK, LEAF, SAMPLE, CELLS = 4_096, 64, 4_096, 1_024

@@ -20,11 +20,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import map_arrow, scratch, spread, text_or_empty
+from lakeloom.sources.stores import store
 
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -161,24 +161,6 @@ def encoder(path: str) -> WordEncoder | WholeEncoder:
     return _OPEN[path]
 
 
-#: Hadoop's names of stores, and the ones that Arrow's file systems have for them.
-_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs"}
-
-
-def store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, as a task opens it without a JVM, and the path in it.
-
-    Arrow has local files, HDFS and the large object stores; credentials come from where
-    those clients look for them. Another scheme raises.
-    """
-    scheme, sep, rest = path.partition(":")
-    if not sep or "/" in scheme:
-        return pafs.LocalFileSystem(), path
-    if scheme == "file":
-        return pafs.LocalFileSystem(), re.sub(r"^//[^/]*", "", rest) or "/"
-    return pafs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + sep + rest)
-
-
 def _typed(wide: bool) -> str:
     return "<u4" if wide else "<u2"
 
@@ -224,7 +206,8 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2)
     stays null; equal doc_ids are ordered by text. An empty table writes no file.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # texts part rows that share an id, or have none; their beginnings do, as the ranges' ends are held by the driver
+    d = d.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows = sorted(map(tuple, map_arrow(d, partial(_write, path, vocabulary, end_id), "shard int, file string, n_docs bigint, n_tokens bigint").collect()))
     starts = np.cumsum([0] + [r[3] for r in rows])
     files = [(r[1], int(s), r[2], r[3]) for r, s in zip(rows, starts)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import cut, map_arrow, release, scratch, spread_join
-from lakeloom.llm.token_records import store
+from lakeloom.sources.stores import store
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a file that are read at a time; and the most that a record's header may have.

@@ -648,6 +648,26 @@ def test_texts_of_megabytes(spark):
     assert (hits[1].n_words, hits[1].n_hit, hits[1]["items"]) == (want[0], len(want[1]), ["i"]) and not hits[2].contaminated
 
 
+def test_records_without_ids_are_parted_by_text(spark):
+    d = spark.createDataFrame([(None if i % 3 else 5, f"text {i * 7919 % 3000:04d}") for i in range(3000)], "doc_id bigint, text string").repartition(4)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # so few rows would be one file
+    spark.conf.set(key, "false")
+    files = token_records.write_records(d, token_records.record_path(spark), token_records.default_vocabulary())
+    spark.conf.unset(key)
+    assert files.count() == 4 and max(r.n_docs for r in files.collect()) < 1500
+    got = token_records.read_records(files).orderBy("start").collect()
+    assert len(got) == 3000 and [r.doc_id for r in got] == [None] * 2000 + [5] * 1000
+    assert [r.start for r in got[1:]] == [r.start + r.n_tokens for r in got[:-1]]
+
+
+def test_chat_leaves_other_columns_out(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "x" * 1_200_000 + chat.END), (2, 0, "assistant", "")]
+    plain = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    clash = plain.withColumns({c: F.lit("x") for c in ("node", "seq", "kind", "piece", "row", "_n", "block", "loss", "formatted", "event", "message")})
+    got = [sorted(map(tuple, chat.read_back(chat.format_log(chat.messages_as_stream(d))).collect())) for d in (plain, clash)]
+    assert got[0] == got[1] and [r[:2] for r in got[0]] == [(1, 2), (2, 1)]
+
+
 def test_queries_cover_the_operators(spark, sf_dir):
     q = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in q) == list(range(1, 14))

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -110,9 +111,19 @@ def test_query(spark, sf_dir):
     assert sum(w[1] > 0 for w in want) > 5
 
 
-def test_awkward_texts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(periodic, "BYTES", 3_000)
-    monkeypatch.setattr(periodic, "WORDS", 500)
+def test_pieces_of_a_batch(monkeypatch):
+    """Few bytes and words at a time give what one piece gives."""
+    r = random.Random(6)
+    texts = [None, "", *(" ".join(made(r)) for _ in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    whole = pa.Table.from_batches(periodic._run(4, 6, [batch]))
+    monkeypatch.setattr(periodic, "BYTES", 300)
+    monkeypatch.setattr(periodic, "WORDS", 50)
+    pieces = list(periodic._run(4, 6, [batch.slice(0, 90), batch.slice(90)]))
+    assert len(pieces) > 20 and pa.Table.from_batches(pieces).to_pydict() == whole.to_pydict()
+
+
+def test_awkward_texts(spark, tmp_path):
     r = random.Random(4)
     texts = [None, "", " \t\n ", "one", "a " * 6, "a " * 5, "\x0b".join("ab" * 40), " x x   é é é é é é é ", "long " + "w1 w2 w3 " * 500 + " end", *(" ".join(made(r)) for _ in range(150))]
     docs = [(i, t) for i, t in enumerate(texts)] * 2 + [(None, "a b " * 9), (None, None), (-4, "c " * 99)]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
+from tests.llm.test_operators import AWKWARD, CLASH
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -51,3 +52,30 @@ def test_language_stage_follows_the_model(spark, sf_dir):
 def test_run_ends_in_batches(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and {"doc_id", "batch_id", "bucket"} <= set(out.columns)
+
+
+def run_over(spark, sf_dir, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(tmp_path))
+
+
+def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    out = run_over(spark, sf_dir, tmp_path, docs)
+    assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
+
+
+def test_run_on_nulls_repeats_and_clashing_names(spark, sf_dir, tmp_path):
+    """Nulls in every column, rows and ids that repeat, blank texts, and extra columns named like the operators' own."""
+    kinds = CLASH.replace("n_chars bigint", "n_chars int")
+    rows = [(i, t, "en" if (i or 0) % 2 else None, "s" if i else None, None, *["x"] * (CLASH.count(",") - 4)) for i, t in AWKWARD]
+    out = run_over(spark, sf_dir, tmp_path, spark.createDataFrame(rows, kinds).repartition(3))
+    got = out.collect()
+    asked = [c.split()[0] for c in CLASH.split(", ")]
+    assert out.columns[: len(asked)] == asked
+    texts = [r.text for r in got]
+    assert all(texts) and [(r.n_chars, r.node) for r in got] == [(len(r.text), "x") for r in got]
+    kept = {r.doc_id for r in got}
+    assert {3, 13, 15} <= kept and not kept & {0, 1, 2}  # null and blank texts go
+    assert len(texts) == len(set(texts))  # one of each group of copies
