@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import arithmetic
 from lakeloom.functions import text as T
-from lakeloom.operators import boosting, cells, expansion, registry
+from lakeloom.operators import boosting, cells, expansion, registry, vectors
 from lakeloom.plans import sql_functions
 from lakeloom.plans.adapters import frame, sql
 from lakeloom.plans.queries_bank import DISTINCT_FX, TOP5
@@ -182,3 +182,18 @@ def _(spark, d):
 def _(spark, d):
     sql_functions.register_functions(spark, fx=frame(spark, d, "rates_fx").withColumns({c: F.col(c).cast("double") for c in ("buy_rate", "sell_rate")}))
     return spark.sql("SELECT ccy, rate_type, effective_date, buying_price FROM exchange_rate('USD', 'EUR', 'CA', TIMESTAMP '2024-02-01 00:00:00')")
+
+
+@register("json_rows", "SELECT doc_id, CAST(json_object('id', doc_id, 'lang', coalesce(lang, ''), 'source', source, 'words', json_array(lang || '-ü', 'x \"y\"')) AS VARCHAR) AS body FROM documents WHERE lang IS NOT NULL")
+def _(spark, d):
+    """Rows as JSON texts, letters outside ASCII kept."""
+    docs = table(spark, d, "documents").where("lang IS NOT NULL")
+    body = F.struct(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), "source", F.array(F.concat("lang", F.lit("-ü")), F.lit('x "y"')).alias("words"))
+    return docs.select("doc_id", F.to_json(body).alias("body"))
+
+
+@register("embedding_texts", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, len(embedding) AS n FROM embeddings")
+def _(spark, d):
+    """Vectors stored as text and parsed, never evaluated."""
+    e = table(spark, d, "embeddings").select("vec_id", vectors.parse_embedding(F.to_json("embedding")).alias("v"))
+    return e.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"), F.size("v").cast("bigint").alias("n"))

@@ -381,3 +381,19 @@ def test_scope_removes_what_was_cut(spark, tmp_path):
         assert a.count() == 5
     with pytest.raises(Exception, match="exist"):
         spark.read.parquet(a._scratch).count()
+
+
+def test_unseen_categories_have_the_target_mean(spark):
+    d = spark.createDataFrame([(1.0, "a", 1), (2.0, "a", 1), (3.0, "b", 0), (None, None, 0), (5.0, "b", 0)], "x double, c string, label int")
+    b = models.fit_blocks(d, ["x"], ["c"])
+    assert b.mean == 0.4
+    got = b.transform(spark.createDataFrame([(2.5, "new", "k"), (2.5, None, "k")], "x double, c string, _value string")).collect()
+    assert got[0].features[1] == 0.4 and got[1].features[1] == pytest.approx(0.4 * (1 - 1 / 1.3)) and got[0]._value == "k"
+
+
+def test_struct_columns_are_migrated_as_json(spark):
+    spark.sql("CREATE TABLE json_target (id INT, rule STRING) USING parquet")
+    d = spark.createDataFrame([(1, ("é", 2)), (2, None)], "id int, rule struct<a:string,b:int>")
+    assert relational.migrate_if_empty(spark, d, "json_target", ["rule"])
+    assert {r.id: r.rule for r in spark.table("json_target").collect()} == {1: '{"a":"é","b":2}', 2: None}
+    spark.sql("DROP TABLE json_target")
