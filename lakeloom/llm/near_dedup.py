@@ -15,7 +15,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import cut, map_arrow, mix64, release, spread_join, text_or_empty
@@ -178,7 +178,27 @@ def _links(percent: int, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _linked(docs: DataFrame, members: DataFrame, rules: NearRules) -> DataFrame:
+def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(size, node, hub) of nodes that share one of their rare shingles, met at the smallest of them.
+
+    With shingles in one order for all, two sets of the wanted similarity share one of the
+    first n - ceil(n * percent / 100) + 1 of either. The order goes by how many sets have a
+    shingle, so what a template brings to all of its texts comes last and parts nothing.
+    """
+    each = cut(sets.select("node", F.size("s").alias("n"), F.explode("s").alias("x")), "shingles")
+    often = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("weight")).where("weight > 1").withColumn("f", F.col("weight")), "often")
+    shared = spread_join(each, often, ["x"], "weight", each.count())
+    w = Window.partitionBy("node")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    # shingles that no other set has stand before these
+    picked = cut(shared.withColumn("place", F.col("n") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("f", "x"))).where(F.col("place") <= first).select("node", "x"), "picked")
+    hubs = picked.groupBy("x").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("weight")).where("weight > 1").withColumn("size", F.col("weight"))
+    out = cut(spread_join(picked, hubs, ["x"], "weight", picked.count()).where("node <> hub").groupBy("node", "hub").agg(F.max("size").alias("size")), "members")
+    release(each, often, picked)
+    return out
+
+
+def _linked(docs: DataFrame, members: DataFrame, rules: NearRules, sets: DataFrame | None = None) -> DataFrame:
     """(node, component): who is connected by exact links among buckets' members (size, node, hub).
 
     Every node is first compared with its hubs, and the links found make components. A
@@ -188,12 +208,18 @@ def _linked(docs: DataFrame, members: DataFrame, rules: NearRules) -> DataFrame:
     Ds differ by at most the threshold. Nodes that the hub did not claim are compared with
     its nodes in neighbouring ranges of D, block by block; the blocks are hash parts of
     bounded size, so no hub's nodes have to fit in a task.
+
+    Texts on one template meet at one hub and are all about equally far from it, so ranges
+    would not part them. Hubs of more than a block are therefore taken apart first: their
+    nodes meet anew by the rare shingles that linked sets share, which loses no link. Only
+    what is still in large groups then (``sets`` given) goes by ranges.
     """
-    r = rules
+    r, anew = rules, sets is None
     pairs = members.select("node", "hub")
-    ends = pairs.select("node").union(pairs.select("hub")).distinct()
-    text = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(ends, "node", "left_semi")
-    sets = cut(map_arrow(text, partial(_sets, r.words), "node bigint, s array<bigint>"), "sets")
+    if sets is None:
+        ends = pairs.select("node").union(pairs.select("hub")).distinct()
+        text = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(ends, "node", "left_semi")
+        sets = cut(map_arrow(text, partial(_sets, r.words), "node bigint, s array<bigint>"), "sets")
     # a hub of very many nodes is dealt to several tasks, and its set with it
     often = pairs.groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
     hubs = cut(often.join(sets.withColumnRenamed("s", "c").hint("merge"), "node").withColumnRenamed("node", "hub"), "hubs")
@@ -209,12 +235,18 @@ def _linked(docs: DataFrame, members: DataFrame, rules: NearRules) -> DataFrame:
     facts = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("weight"), F.count_if(~F.col("near")).alias("open"), F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("total"))
     open_ = cut(facts.where("open > 0 and low < high").select("hub", "weight", "total"), "open")
     if open_.isEmpty():
-        release(sets, rest, open_)
+        release(rest, open_, *([sets] if anew else []))
         return first
     width = (100 - r.percent) / 100 + 1e-6
     far = cut(spread_join(rest, open_, ["hub"], "weight", rest.count()).withColumn("bin", F.floor(F.col("d") / width).cast("int")), "far")
     # a hub whose sets fit in a block is one; others go by ranges of D and hash parts
     whole, wide = far.where(F.col("total") <= r.block), far.where(F.col("total") > r.block)
+    again = None
+    if anew and not wide.isEmpty():
+        closer = _sharing_rare(sets.join(wide.select("node").distinct(), "node", "left_semi"), r.percent)
+        again = cut(_linked(docs, closer, r, sets), "again")
+        release(closer)
+        wide = wide.limit(0)
     asking = wide.where("not near").select("node", "hub", "n", "label", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
     size = lambda df, name: df.groupBy("hub", "bin").agg(F.ceil(F.sum("n") / r.block).cast("int").alias(name))
     grid = size(asking, "qs").join(size(wide, "ms"), ["hub", "bin"])
@@ -232,8 +264,13 @@ def _linked(docs: DataFrame, members: DataFrame, rules: NearRules) -> DataFrame:
         return _links(r.percent, table)
 
     # components of components
-    second = components(rows.groupBy(*block).applyInArrow(links_of, "a bigint, b bigint"))
-    release(sets, rest, far, open_)
+    links = rows.groupBy(*block).applyInArrow(links_of, "a bigint, b bigint")
+    if again is not None:
+        labels = first.select("node", F.col("component").alias("label"))
+        ends = again.join(labels, "node", "left").join(labels.select(F.col("node").alias("component"), F.col("label").alias("other")), "component", "left")
+        links = links.unionByName(ends.select(F.coalesce("label", "node").alias("a"), F.coalesce("other", "component").alias("b")).where("a <> b").distinct())
+    second = components(links)
+    release(rest, far, open_, *([sets] if anew else []), *([again] if again is not None else []))
     merged = second.select(F.col("node").alias("component"), F.col("component").alias("into"))
     every_node = first.unionByName(second.join(first, "node", "left_anti"))
     return every_node.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))

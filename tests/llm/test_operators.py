@@ -502,6 +502,30 @@ def test_hot_hubs_and_buckets(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(d, near_dedup.NearRules(block=3000)).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def on_a_template(n, seed=5, copies=3):
+    """Texts that share 200 of 300 words, and near copies of every tenth."""
+    r = random.Random(seed)
+    head = " ".join(f"t{i}" for i in range(200))
+    rows = []
+    for i in range(n):
+        own = [f"u{i}x{j}" for j in range(100)]
+        rows.append((len(rows), f"{head} {' '.join(own)}"))
+        for _ in range(copies if i % 10 == 0 else 0):
+            own = list(own)
+            own[r.randrange(100)] = f"c{len(rows)}"
+            rows.append((len(rows), f"{head} {' '.join(own)}"))
+    return rows
+
+
+def test_texts_on_a_template(spark):
+    rows = on_a_template(300)
+    want = brute.near(rows)
+    d = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id bigint, text string").repartition(4)
+    for block in (400_000, 20_000, 1_000):
+        assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(d, near_dedup.NearRules(block=block)).collect()} == {i: c for i, (_, c) in want.items()}
+    assert sum(c != i for i, (_, c) in want.items()) == 90
+
+
 def test_coordinates_follow_similarity():
     a, b = [f"w{i}" for i in range(1000)], [f"w{i}" for i in range(100, 1100)]
     s, n = near_dedup.shingle_sets([" ".join(a), " ".join(b)])
