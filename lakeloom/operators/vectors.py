@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,39 +49,74 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def batched_top_k(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int, block: int = 4096) -> DataFrame:
+#: Queries and rows that one task's product takes, and queries of a tile of it.
+QUERIES, ROWS, TILE = 4096, 8192, 128
+
+
+def _nearest(m: np.ndarray, u: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, key, score) of the k best rows of u for each row of m, ties by key; a tile of queries at a time.
+
+    Products only tell who may be among the best. Those are scored again, component by
+    component in order, so that equal vectors score the same wherever they stand.
+    """
+    found = []
+    for a in range(0, len(m), TILE):
+        q = m[a : a + TILE]
+        s = q @ u.T
+        if 0 < k < len(u):
+            least = np.partition(-s, k - 1, axis=1)[:, k - 1 : k] + 1e-9
+            who, row = np.nonzero(~(-s > least))
+        else:
+            who, row = (x.ravel() for x in np.indices(s.shape))
+        exact = np.zeros(len(who))
+        for c in range(u.shape[1]):
+            exact += q[who, c] * u[row, c]
+        order = np.lexsort((keys[row], -exact, who))
+        who, row, exact = who[order], row[order], exact[order]
+        best = np.arange(len(who)) - np.searchsorted(who, who) < k
+        found.append((who[best] + a, keys[row[best]], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _matrix(v: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length one; other lengths are an error."""
+    flat = np.concatenate([np.zeros(0), *(np.asarray(c.flatten().to_numpy(zero_copy_only=False), float) for c in v.chunks)])
+    sizes = np.unique(np.concatenate([np.zeros(0, int), *(pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in v.chunks)]))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of lengths {sizes.min()} to {sizes.max()}")
+    return _unit(flat.reshape(len(v), *sizes))
+
+
+def _nearest_of_block(k: int, queries: pa.Table, rows: pa.Table) -> pa.Table:
+    schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64())])
+    if not len(queries) or not len(rows):
+        return schema.empty_table()
+    ids, keys = queries["key"].to_numpy(), rows["key"].to_numpy()
+    who, key, score = _nearest(_matrix(queries["v"]), _matrix(rows["v"]), keys, k)
+    return pa.table([ids[who], key, score], schema=schema)
+
+
+def batched_top_k(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int, block: int = QUERIES) -> DataFrame:
     """(query, key, score, rank) for many queries by matrix products.
 
-    Queries go in blocks of ``block``, so what is sent to the tasks is bounded; every task
-    keeps the k best of its part, and only those are shuffled. Exact; ties by key.
+    Queries are dealt to blocks of about ``block`` and the index to blocks of about ROWS, by
+    a hash of key and vector. Each pair of blocks is one group of a shuffle and keeps its k
+    best, so no task or driver holds more than two blocks and a tile of their product. The
+    comparisons are queries times rows by nature. Exact; ties by key.
     """
     ship(index.sparkSession)
-    q = queries.select(F.col(key).alias("query"), F.col(vec).alias("v")).where("v is not null")
-    n = q.count()
-    blocks = max(1, -(-n // block))
-    corpus = index.select(F.col(key).alias("key"), F.col(vec).alias("v")).where("v is not null")
-    out = None
-    for b in range(blocks):
-        part = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).toPandas()
-        ids = part["query"].to_numpy()
-        m = _unit(np.array(part["v"].tolist(), float)) if len(part) else np.zeros((0, 0))
-
-        def best(frames: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
-            held_s = held_k = None
-            for f in frames:
-                if not len(f) or not len(ids):
-                    continue
-                s = m @ _unit(np.array(f["v"].tolist(), float)).T
-                keys = np.broadcast_to(f["key"].to_numpy(), s.shape)
-                if held_s is not None:
-                    s, keys = np.hstack([held_s, s]), np.hstack([held_k, keys])
-                order = np.lexsort((keys, -s), axis=1)[:, :k]
-                held_s, held_k = np.take_along_axis(s, order, 1), np.take_along_axis(keys, order, 1)
-            if held_s is not None:
-                yield pd.DataFrame({"query": np.repeat(ids, held_s.shape[1]), "key": held_k.ravel(), "score": held_s.ravel()})
-
-        one = corpus.mapInPandas(best, "query bigint, key bigint, score double")
-        out = one if out is None else out.unionByName(one)
+    q = queries.select(F.col(key).cast("bigint").alias("key"), F.col(vec).alias("v")).where("v is not null")
+    rows = index.select(F.col(key).cast("bigint").alias("key"), F.col(vec).alias("v")).where("v is not null")
+    qs, ms = max(1, -(-q.count() // block)), max(1, -(-rows.count() // ROWS))
+    part = lambda n: F.pmod(F.xxhash64("key", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = q.select("key", "v", part(qs).alias("q"), every(ms).alias("m"))
+    there = rows.select("key", "v", part(ms).alias("m"), every(qs).alias("q"))
+
+    def best(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        return _nearest_of_block(k, queries, rows)
+
+    out = asked.groupBy("q", "m").cogroup(there.groupBy("q", "m")).applyInArrow(best, "query bigint, key bigint, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

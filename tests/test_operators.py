@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 import statistics
+import tracemalloc
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -222,6 +224,25 @@ def test_vectors(spark):
         vectors.top_k(d, "id", "v", [1.0], 1).collect()
 
 
+def test_batched_top_k_is_bounded_and_breaks_ties_by_key(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(9, 32))[rng.integers(0, 9, 700)]  # nine vectors, many times each
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id bigint, v array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "ROWS", 150)
+    # nothing whole passes through the driver
+    monkeypatch.setattr(type(d), "toPandas", lambda self: pytest.fail("rows collected"))
+    got = vectors.batched_top_k(d.where("id < 60"), d, "id", "v", 4, block=25).collect()
+    same = {i: [j for j in range(700) if (m[j] == m[i]).all()][:4] for i in range(60)}
+    assert sorted((r.query, r["rank"], r.key) for r in got) == [(i, n + 1, j) for i in range(60) for n, j in enumerate(same[i])]
+    # a full block takes a tile's memory, not that of queries times rows
+    q, u = rng.normal(size=(2048, 8)), rng.normal(size=(4096, 8))
+    tracemalloc.start()
+    who, key, _ = vectors._nearest(q, u, np.arange(4096), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and (key.reshape(-1, 3) == np.argsort(-(q @ u.T), 1)[:, :3]).all() and len(who) == 3 * 2048
+
+
 def test_auc_ties_and_one_class(spark):
     d = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1), (None, 0.3)], "y int, s double")
     assert evaluate.auc(d, "y", "s").first().auc == pytest.approx(0.875)
