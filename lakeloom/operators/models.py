@@ -116,9 +116,24 @@ def balanced(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return df.withColumn("weight", F.when(F.col(label) == 1, n / (2.0 * max(p, 1))).otherwise(n / (2.0 * max(n - p, 1)))), n
 
 
+#: Rows that are worth a task of their own in a fit, and rows that one task takes at most, about.
+FEW, MANY = 25_000, 1_000_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many partitions as its rows can keep busy; one that has them, or has few rows, as it is.
+
+    A table of numbers is small as a file, so that Spark reads millions of rows in a task or
+    two, and a fit goes over them some hundred times.
+    """
+    n = df.count()
+    want = max(-(-n // MANY), min(-(-n // FEW), 2 * df.sparkSession.sparkContext.defaultParallelism))
+    return df.repartition(want) if want > 1 and want > df.rdd.getNumPartitions() else df
+
+
 def fit_logistic(df: DataFrame, label: str, c: float = 1.0, features: str = "features") -> PipelineModel:
     """L2 logistic regression with balanced weights; their sum is the number of rows."""
-    weighted, n = balanced(df, label)
+    weighted, n = balanced(dealt(df), label)
     lr = LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * max(n, 1)), maxIter=1000)
     return Pipeline(stages=[lr]).fit(weighted)
 
@@ -126,12 +141,12 @@ def fit_logistic(df: DataFrame, label: str, c: float = 1.0, features: str = "fea
 def fit_boosted(df: DataFrame, label: str, trees: int = 100, features: str = "features") -> PipelineModel:
     """Boosted trees of the same family as gradient-boosting libraries; numbers are not the same."""
     g = GBTClassifier(featuresCol=features, labelCol=label, maxIter=trees, maxDepth=4, stepSize=0.1, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=42)
-    return Pipeline(stages=[g]).fit(df)
+    return Pipeline(stages=[g]).fit(dealt(df))
 
 
 def fit_regression(df: DataFrame, cols: list[str], target: str, trees: int = 100) -> PipelineModel:
     g = GBTRegressor(featuresCol="features", labelCol=target, maxIter=trees, maxDepth=6, stepSize=0.1, lossType="squared", seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), g]).fit(df)
+    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), g]).fit(dealt(df))
 
 
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:

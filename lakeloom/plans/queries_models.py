@@ -41,6 +41,7 @@ def _(spark, d):
 
 def _regression(spark, d):
     h = cut(prep.house_price_chain(frame(spark, d, "housing"), "target", "id"), "housing")
+    h = models.dealt(h)
     return models.fit_regression(h, ["size", "price", "rooms"], "target"), h
 
 

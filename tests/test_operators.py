@@ -243,6 +243,16 @@ def test_batched_top_k_is_bounded_and_breaks_ties_by_key(spark, monkeypatch):
     assert peak < 40e6 and (key.reshape(-1, 3) == np.argsort(-(q @ u.T), 1)[:, :3]).all() and len(who) == 3 * 2048
 
 
+def test_fits_use_more_than_one_task(spark, monkeypatch):
+    monkeypatch.setattr(models, "FEW", 50)
+    d = spark.range(400).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0 + 1).alias("y")).coalesce(1)
+    seen = []
+    monkeypatch.setattr(models, "Pipeline", lambda stages, make=models.Pipeline: type("Seen", (), {"fit": lambda self, df: (seen.append(df.rdd.getNumPartitions()), make(stages=stages).fit(df))[1]})())
+    m = models.fit_regression(d, ["x"], "y", trees=2)
+    assert seen == [8] and m.transform(d).count() == 400 and models.dealt(d).select("x").distinct().count() == 400
+    assert models.dealt(d.limit(50)).rdd.getNumPartitions() == 1
+
+
 def test_auc_ties_and_one_class(spark):
     d = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.9), (0, 0.1), (None, 0.3)], "y int, s double")
     assert evaluate.auc(d, "y", "s").first().auc == pytest.approx(0.875)
