@@ -229,8 +229,8 @@ def quantile_edges(df: DataFrame, columns: list[str], bins: int) -> list[np.ndar
     return [np.unique([v for v in row[f"q{i}"] or () if v > row[f"m{i}"]]).astype(np.float64) for i in range(len(columns))]
 
 
-#: Trees after which the rows' margins are written anew.
-EVERY = 20
+#: Trees after which the rows' margins are written anew: each level walks the trees since, for all rows.
+EVERY = 4
 
 
 def fit_trees(df: DataFrame, columns: list[str], label: str, objective: str = "logistic", params: Params = Params(), edges: list[np.ndarray] | None = None) -> TreeModel:

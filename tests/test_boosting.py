@@ -115,3 +115,14 @@ def test_training_flow_with_second_order_trees(spark):
     s = training.train_scorecard(synthetic_transactions(spark, 8_000, 1_000, seed=42), components=3, second_order=Params(rounds=25))
     assert abs(s.metrics["boosted"]["auc"] - 0.9536) < 0.03
     assert isinstance(s.fitted["boosted"], TreeModel)
+
+
+def test_levels_walk_few_trees_and_margins_are_the_same(spark, monkeypatch):
+    d = spark.range(300).select((F.col("id") % 37).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("z"), (F.col("id") % 37 * 3 + F.col("id") % 11).cast("double").alias("y")).coalesce(1)
+    walked, real = [], boosting.partial
+    monkeypatch.setattr(boosting, "partial", lambda f, *a: (walked.append(len(a[0]["since"])) if f is boosting._sums else None, real(f, *a))[1])
+    fit = lambda: boosting.fit_trees(d, ["x", "z"], "y", "squared", boosting.Params(rounds=7, depth=2)).to_json()
+    often = fit()
+    assert max(walked) < 4
+    monkeypatch.setattr(boosting, "EVERY", 20)
+    assert fit() == often
