@@ -24,6 +24,8 @@ from lakeloom.llm.graph import components
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 _STEP, _PI1, _PI2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
+#: What texts of one class have in common.
+_SAME = ["n_shingles", "f1", "f2"]
 _PLACE = np.array([0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xD3833E804F4C574B, 0xE7037ED1A0B428DB, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -121,17 +123,22 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _prints(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two fingerprints of each set, a column each; 0 for empty sets."""
+    starts, full = np.cumsum(n) - n, n > 0
+    prints = np.zeros((2, len(n)), np.uint64)
+    if len(s):
+        for i, salt in enumerate((0x2545F4914F6CDD1D, 0x632BE59BD9B4E019)):
+            prints[i, full] = np.add.reduceat(mix64(s ^ _U(salt)), starts[full])
+    return prints
+
+
 def _sign(r: NearRules, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "f1", "f2", *(f"k{i}" for i in range(r.bands))]
     for b, at, texts in _batches(batches):
         s, n = shingle_sets(texts, r.words)
         sig = signatures(s, n, r.bands * r.rows)
-        starts, full = np.cumsum(n) - n, n > 0
-        prints = np.zeros((2, len(n)), np.uint64)
-        if len(s):
-            for i, salt in enumerate((0x2545F4914F6CDD1D, 0x632BE59BD9B4E019)):
-                prints[i, full] = np.add.reduceat(mix64(s ^ _U(salt)), starts[full])
-        keys = []
+        prints, keys = _prints(s, n), []
         for i in range(r.bands):
             h = np.full(len(n), i + 1, np.uint64)
             for j in range(r.rows):
@@ -141,10 +148,30 @@ def _sign(r: NearRules, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, set) of the rows whose text is of the class that they are joined with."""
     for b, at, texts in _batches(batches):
         s, n = shingle_sets(texts, k)
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b["node"].slice(at, len(n)), pa.ListArray.from_arrays(pa.array(offsets), _as_long(s))], ["node", "s"])
+        own = [b[c].slice(at, len(n)).to_numpy() for c in _SAME]
+        same = (own[0] == n) & np.logical_and.reduce([x.view(np.uint64) == y for x, y in zip(own[1:], _prints(s, n))])
+        out = pa.RecordBatch.from_arrays([b["node"].slice(at, len(n)), pa.ListArray.from_arrays(pa.array(offsets), _as_long(s))], ["node", "s"])
+        yield out if same.all() else out.filter(pa.array(same))
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, s): one row with the shingle set of each of the classes named in nodes.
+
+    A class's text is that of its smallest doc_id. An id may have several texts, each of its
+    own class, and a text several times: neither may repeat a node, as joins on it multiply.
+    """
+    named = classes.select("node", "doc_id", *_SAME).join(nodes, "node", "left_semi")
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).join(named, "doc_id").drop("doc_id")
+    sets = cut(map_arrow(text, partial(_sets, k), "node bigint, s array<bigint>"), "sets")
+    if sets.count() == nodes.count():
+        return sets
+    once = cut(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
+    release(sets)
+    return once
 
 
 def _links(percent: int, table: pa.Table) -> pa.Table:
@@ -198,7 +225,7 @@ def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _linked(docs: DataFrame, members: DataFrame, rules: NearRules, sets: DataFrame | None = None) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, rules: NearRules, sets: DataFrame | None = None) -> DataFrame:
     """(node, component): who is connected by exact links among buckets' members (size, node, hub).
 
     Every node is first compared with its hubs, and the links found make components. A
@@ -218,8 +245,7 @@ def _linked(docs: DataFrame, members: DataFrame, rules: NearRules, sets: DataFra
     pairs = members.select("node", "hub")
     if sets is None:
         ends = pairs.select("node").union(pairs.select("hub")).distinct()
-        text = docs.select(F.col("doc_id").cast("bigint").alias("node"), text_or_empty().alias("text")).join(ends, "node", "left_semi")
-        sets = cut(map_arrow(text, partial(_sets, r.words), "node bigint, s array<bigint>"), "sets")
+        sets = _sets_of(docs, classes, ends, r.words)
     # a hub of very many nodes is dealt to several tasks, and its set with it
     often = pairs.groupBy(F.col("hub").alias("node")).agg(F.count(F.lit(1)).alias("weight"))
     hubs = cut(often.join(sets.withColumnRenamed("s", "c").hint("merge"), "node").withColumnRenamed("node", "hub"), "hubs")
@@ -244,7 +270,7 @@ def _linked(docs: DataFrame, members: DataFrame, rules: NearRules, sets: DataFra
     again = None
     if anew and not wide.isEmpty():
         closer = _sharing_rare(sets.join(wide.select("node").distinct(), "node", "left_semi"), r.percent)
-        again = cut(_linked(docs, closer, r, sets), "again")
+        again = cut(_linked(docs, classes, closer, r, sets), "again")
         release(closer)
         wide = wide.limit(0)
     asking = wide.where("not near").select("node", "hub", "n", "label", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
@@ -276,6 +302,18 @@ def _linked(docs: DataFrame, members: DataFrame, rules: NearRules, sets: DataFra
     return every_node.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
 
 
+def _one_each_id(found: DataFrame, some: DataFrame, classes: DataFrame) -> DataFrame:
+    """found, with the classes of an id that has several texts in one component."""
+    several = cut(some.groupBy("doc_id").agg(F.min(F.struct(*_SAME)).alias("a"), F.max(F.struct(*_SAME)).alias("b")).where("a <> b").select("doc_id"), "several")
+    if several.isEmpty():
+        return found
+    rows = cut(some.select("doc_id", *_SAME).join(several, "doc_id", "left_semi").distinct(), "several")
+    rows = cut(spread_join(rows, classes.select("node", *_SAME, "weight"), _SAME, "weight", rows.count()).select("doc_id", "node"), "several")
+    low = rows.groupBy("doc_id").agg(F.min("node").alias("low"))
+    edges = rows.join(low, "doc_id").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges))
+
+
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -285,23 +323,29 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules()) -> DataFram
     before the shuffle, so thousands of copies cost one row; classes alone are banded and
     verified. Candidates are never closed into groups: a class is compared with those
     that share a band with it, so texts that merely resemble each other in a chain do not
-    gather. Rows that repeat a doc_id are one document. A null doc_id takes no part: its
-    component_id is null and it is kept. Other columns of docs are not read.
+    gather. Rows that repeat a doc_id are one document: if their texts differ, it is linked with
+    what any of them is near to. A null doc_id takes no part: its component_id is null and
+    it is kept. Other columns of docs are not read.
     """
     r = rules
     keys = [f"k{i}" for i in range(r.bands)]
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     schema = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, " + ", ".join(f"{k} bigint" for k in keys)
     sig = cut(map_arrow(d, partial(_sign, r), schema), "signatures")
-    same = ["n_shingles", "f1", "f2"]
-    classes = cut(sig.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("weight"), *(F.min(k).alias(k) for k in keys)), "classes")
+    same, some = _SAME, sig.where("n_shingles > 0 and doc_id is not null")
+    # an id with several texts is in several classes, so ids do not name classes
+    classes = some.groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), *(F.min(k).alias(k) for k in keys))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = cut(classes.select("node", F.explode(F.array(*keys)).alias("key")), "banded")
     # who shares a band meets at the smallest of them
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("weight")).where("hub < last").drop("last")
     members = cut(spread_join(banded, hubs.withColumn("size", F.col("weight")), ["key"], "weight", banded.count()).where("node <> hub").groupBy("node", "hub").agg(F.max("size").alias("size")), "members")
     release(banded)
-    found = _linked(docs, members, r)
-    classes = classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"), "weight")
+    found = cut(_one_each_id(_linked(docs, classes, members, r), some, classes), "found")
+    ids = found.join(classes.select("node", "doc_id"), "node")
+    low = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("weight"))
+    named = spread_join(found, low, ["component"], "weight", found.count()).select("node", "component_id")
+    classes = classes.join(named, "node", "left").select(*same, F.coalesce("component_id", "doc_id").alias("component_id"), "weight")
     out = spread_join(sig.select("doc_id", *same), classes, same, "weight", sig.count(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -510,6 +510,28 @@ def test_hot_hubs_and_buckets(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(d, near_dedup.NearRules(block=3000)).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_ids_with_several_texts_and_texts_given_twice(spark, monkeypatch):
+    """Rows that repeat an id are one document; no class has more than one set, or pairs would multiply."""
+    r = random.Random(82)
+    near = lambda words: " ".join(f"z{r.random()}" if i == 3 else w for i, w in enumerate(words))
+    a, b, c = ([f"{k}{i}" for i in range(80)] for k in "abc")
+    rows = [(1, near(a)), (1, near(b)), (2, near(a)), (3, near(b)), (4, near(c)), (5, near(c)), (5, near(c)), (6, "alone on its own with a text of few words"), (2, ""), (1, "")]
+    d = spark.createDataFrame(r.sample(rows * 6, len(rows) * 6), "doc_id bigint, text string").repartition(3)
+    seen = []
+    sets_of = near_dedup._sets_of
+
+    def counted(*args):
+        sets = sets_of(*args)
+        seen.append((sets.count(), sets.select("node").distinct().count()))
+        return sets
+
+    monkeypatch.setattr(near_dedup, "_sets_of", counted)
+    got = near_dedup.near_duplicates(d).where("n_shingles > 0").collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)} and len(got) == 48
+    assert seen == [(7, 7)]
+    assert sorted(x.doc_id for x in near_dedup.one_of_each(d).collect()) == [1, 4, 6]
+
+
 def on_a_template(n, seed=5, copies=3):
     """Texts that share 200 of 300 words, and near copies of every tenth."""
     r = random.Random(seed)
